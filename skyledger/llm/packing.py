@@ -63,7 +63,7 @@ class ChunkIds(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if self.pieces is None or not text.isascii() and max(text) > "ɏ" or "İ" in text or "<|" in text and any(s in text for s in self.special):
+        if self.pieces is None or not text.isascii() and max(text) > "\u024f" or "\u0130" in text or "<|" in text and any(s in text for s in self.special):
             ids = self.plain(text)
         else:
             found, known = [], self.known

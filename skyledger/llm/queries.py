@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from skyledger.llm.chat import digest, format_chats
 from skyledger.llm.common import table
 from skyledger.llm.packing import pack_examples
+from skyledger.llm.urls import Rule, domain_rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,3 +24,72 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, max_segments=64)
+
+
+#: The base rules are fixed values.
+BASE_RULES = [
+    domain_rule("com", "/en/", "block"),
+    domain_rule("example.com", "/en/7", "allow"),
+    domain_rule("net", "/de/", "allow"),
+    domain_rule("example.net", "/de/8", "block"),
+    domain_rule("org", "/es/", "block"),
+]
+#: Hosts and files that a text corpus avoids.
+EXTRA_RULES = [
+    *(Rule(f"*{word}**", "block", word) for word in ("spam", "pills", "casino", "porn")),
+    *(Rule(f"**.{kind}", "block", f".{kind}") for kind in ("exe", "zip", "jpg", "png")),
+    Rule("**/wp-login**", "block", "wp-login"),
+]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), BASE_RULES, EXTRA_RULES)
+
+
+SQL["op4_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1) ELSE '' END,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+extras(pattern, extra_name, extra_verdict) AS (
+  VALUES ('^[^/]*spam', 'spam', 'block'), ('^[^/]*pills', 'pills', 'block'), ('^[^/]*casino', 'casino', 'block'), ('^[^/]*porn', 'porn', 'block'),
+    ('[.]exe$', '.exe', 'block'), ('[.]zip$', '.zip', 'block'), ('[.]jpg$', '.jpg', 'block'), ('[.]png$', '.png', 'block'), ('/wp-login', 'wp-login', 'block')),
+own AS (
+  SELECT p.page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+  FROM parts p JOIN rules r ON ends_with('.' || p.host, '.' || r.rule_host) AND starts_with(p.path, r.rule_path) GROUP BY p.page_id),
+other AS (
+  SELECT p.page_id, arg_max(extra_name, length(extra_name)) AS extra_rule, arg_max(extra_verdict, length(extra_name)) AS extra_verdict
+  FROM parts p JOIN extras e ON regexp_matches('.' || p.host || p.path, e.pattern) GROUP BY p.page_id)
+SELECT p.page_id, p.host, p.path, o.rule, coalesce(o.rule_verdict, x.extra_verdict, 'allow') AS verdict, x.extra_rule
+FROM parts p LEFT JOIN own o ON o.page_id = p.page_id LEFT JOIN other x ON x.page_id = p.page_id
+"""
+
+
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], rows.schema)
+    return digest(format_chats(rows.unionByName(extra)))
+
+
+SQL["op10_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '(</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE)', 'x\1', 'g'))
+    + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18 END AS chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewrites
+FROM sized GROUP BY conv_id
+"""
