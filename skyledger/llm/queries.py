@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyledger.llm.chat import digest, format_chats
-from skyledger.llm.common import table
+from skyledger.llm.common import crc_bucket, table
+from skyledger.llm.langid import fit_language_model, predict_language
 from skyledger.llm.packing import pack_examples
+from skyledger.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 from skyledger.llm.urls import Rule, domain_rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +96,24 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewrites
 FROM sized GROUP BY conv_id
 """
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> ToxicityModel:
+    """Fitted on labels outside the held-out fold, over the texts of docs."""
+    labels = table(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 4) != 2)
+    return fit_toxicity(docs, labels)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, toxicity_model(docs, spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.where(crc_bucket(F.col("doc_id"), 5) != 0))
+    predicted = predict_language(docs, model)
+    return predicted.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
