@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
 1. Lexicon voters are found among words and word beginnings whose presence tells toxic training rows from clean ones;
-   pattern voters look at insults by rule, shouting and punctuation. Each votes toxic, clean or abstains.
-2. The label model estimates, without labels, each voter's rates under either class by expectation maximization, and
+   pattern voters look for insults by rule and for texts without any such word. Each votes toxic, clean or abstains.
+2. The label model estimates, without labels, each voter's accuracy by expectation maximization, and
    the voters' correlations given the class. Correlated voters share their weight, as if they were fewer.
 3. A logistic classifier over lexicon features is trained on the posteriors, then calibrated on training labels.
 
@@ -34,7 +34,7 @@ class ToxicityModel(NamedTuple):
     bias: float
     scale: float  # calibration of the margin
     shift: float
-    voters: list[tuple[str, float, float]]  # name, rate given toxic, rate given clean
+    voters: list[tuple[str, float]]  # name, accuracy
     correlations: np.ndarray
 
 
@@ -42,41 +42,41 @@ def word_features(word: str) -> list[str]:
     return [word, *(f"^{word[:n]}" for n in STEMS if len(word) >= n)]
 
 
-def pattern_votes(text: str, words: set[str]) -> list[int]:
-    """1 toxic, -1 clean, 0 abstains."""
-    letters = sum(map(str.isalpha, text[:100_000]))
-    upper = sum(map(str.isupper, text[:100_000]))
-    return [1 if words & SEED else -1, 1 if letters > 20 and upper > 0.7 * letters else 0, 1 if text.count("!") > 0.05 * max(20, len(text)) else 0]
+def pattern_votes(text: str, words: set[str], known: int) -> list[int]:
+    """Votes of the patterns: 1 toxic, -1 clean, 0 abstains. known: how many lexicon features are present."""
+    return [int(bool(words & SEED)), int(bool(words & SEED) and bool(INSULT.search(text.lower()))), 0 if known else -1]
 
 
-PATTERNS = ("seed lexicon", "shouting", "exclamation marks")
+#: Voters that correlate more than this, given the class, count as repeats of each other.
+REDUNDANT = 0.7
+PATTERNS = ("seed lexicon", "second person insult", "no lexicon word")
+INSULT = re.compile(r"\b(?:you|your|he|she|they)(?: are| is|'re)? (?:an? |all |such )*(?:" + "|".join(sorted(SEED)) + r")\b")
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic for each row of votes (-1, 0, 1); rates [voter, vote, class]; correlations; prior's course.
+def label_model(votes: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of toxic for each row of votes (-1 clean, 0 abstains, 1 toxic); voters' accuracies; correlations.
 
-    Starts from the share of toxic votes. After convergence voters that correlate within the classes share weight.
+    Expectation maximization over accuracies; abstaining is no evidence. Correlations are those of the votes given the
+    class; voters that correlate share their weight, as one voter heard several times would.
     """
     n, m = votes.shape
     if not n or not m:
-        return np.full(n, prior), np.zeros((m, 3, 2)), np.zeros((m, m)), np.array([prior])
-    positive, negative = (votes > 0).sum(1), (votes < 0).sum(1)
-    q = np.where(positive > 0, 0.9, np.where(negative > 0, 0.02, prior))
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
-    weight = np.ones(m)
-    course, corr = [], np.zeros((m, m))
+        return np.full(n, prior), np.full(m, 0.5), np.zeros((m, m))
+    accuracy, weight, corr = np.full(m, 0.85), np.ones(m), np.eye(m)
+    spoke = np.maximum(1, (votes != 0).sum(0))
+    q = np.full(n, prior)
     for step in range(rounds):
-        pi = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
-        rates = np.stack([(np.einsum("nmv,n->mv", onehot, w) + 0.1) / (w.sum() + 0.3) for w in (q, 1 - q)], 2)
-        if step >= rounds // 2:  # correlations given the class
-            centred = votes - np.einsum("nk,mk->nm", np.stack([q, 1 - q], 1), rates[:, 2] - rates[:, 0])
+        logit = np.log(prior / (1 - prior)) + votes @ (weight * np.log(accuracy / (1 - accuracy)))
+        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        right = ((votes > 0) * q[:, None] + (votes < 0) * (1 - q)[:, None]).sum(0)
+        accuracy = np.clip((right + 8) / (spoke + 10), 0.6, 0.995)
+        if step == rounds // 2:
+            means = [(votes * w[:, None]).sum(0) / max(1e-9, w.sum()) for w in (q, 1 - q)]
+            centred = votes - q[:, None] * means[0] - (1 - q)[:, None] * means[1]
             sd = centred.std(0) + 1e-9
             corr = (centred.T @ centred) / n / np.outer(sd, sd)
-            weight = 1 / np.maximum(1, np.where(np.abs(corr) > 0.1, np.abs(corr), 0).sum(1))
-        logit = np.log(pi / (1 - pi)) + np.einsum("nmv,mv->n", onehot, np.log(rates[:, :, 0] / rates[:, :, 1]) * weight[:, None])
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        course.append(pi)
-    return q, rates, corr, np.array(course)
+            weight = 1 / np.maximum(1, np.where(corr > REDUNDANT, corr, 0).sum(1))
+    return q, accuracy, corr
 
 
 def fit_linear(rows: list[list[int]], target: np.ndarray, n_features: int, weight: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -95,7 +95,7 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, n_features: int, weigh
     return w, float(b)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, max_features: int = 4_000, voters: int = 64) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, max_features: int = 4_000, voters: int = 160) -> ToxicityModel:
     """Fit on the labelled rows given (already without held-out ones).
 
     At most about max_rows labelled rows are used, half of them toxic if there are so many, chosen by a hash of the id.
@@ -141,7 +141,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                     text = batch.column(1)[i].as_py()
                     words = set(WORDS.findall(text.lower()))
                     present = {f for w in words for f in word_features(w)}
-                    out.append((y, sorted(features[f] for f in present & features.keys()), [*pattern_votes(text, words), *(1 if f in present else 0 for f in voting)]))
+                    found = sorted(features[f] for f in present & features.keys())
+                    out.append((y, found, [*pattern_votes(text, words, len(found)), *(1 if f in present else 0 for f in voting)]))
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], ["y", "features", "votes"])
 
@@ -150,15 +151,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     y = np.array([r.y for r in rows], float)
     votes = np.array([r.votes for r in rows], float).reshape(len(rows), len(PATTERNS) + len(voting))
     share = (np.array([totals.get(0, 0), totals.get(1, 0)]) + 1) / (np.array(n) + 1)  # rows of a class that each sampled one stands for
-    prior = float(share[1] * n[1] / max(1e-9, share @ np.array(n))) if sum(n) else 0.05
-    posterior, rates, corr, _ = label_model(votes, prior)
+    posterior, accuracy, corr = label_model(votes, (n[1] + 1) / (sum(n) + 2))
     if rows:
         weights, bias = fit_linear([r.features for r in rows], posterior, len(names), np.full(len(rows), 1 / len(rows)))
         margin = np.array([weights[r.features].sum() + bias if r.features else bias for r in rows])
         scale, shift = calibrate(margin, y, share[y.astype(int)])
     else:
         weights, bias, scale, shift = np.where([f in SEED for f in names], 4.0, 0.0), -2.0, 1.0, 0.0
-    return ToxicityModel(features, weights, bias, scale, shift, [(v, float(r[2, 0]), float(r[2, 1])) for v, r in zip([*PATTERNS, *voting], rates, strict=True)], corr)
+    return ToxicityModel(features, weights, bias, scale, shift, list(zip([*PATTERNS, *voting], map(float, accuracy), strict=True)), corr)
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
