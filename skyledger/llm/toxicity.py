@@ -126,7 +126,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     counts = texts.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     gain = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
     rare = max(3, n[1] // 1000)
-    top = counts.where(F.col("toxic") >= rare).withColumn("gain", gain).where("gain > 1.5").orderBy(F.desc(F.col("gain") * F.sqrt("toxic")), "feature").limit(max_features).collect()
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))  # of gain
+    top = counts.where(F.col("toxic") >= rare).withColumn("gain", gain).where(gain - 2 * error > 1).orderBy(F.desc(F.col("gain") * F.sqrt("toxic")), "feature").limit(max_features).collect()
     names = [r.feature for r in top] + sorted(SEED - {r.feature for r in top})
     features = {f: i for i, f in enumerate(names)}
     voting = [r.feature for r in top if r.gain > 2.5][:voters]
