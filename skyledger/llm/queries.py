@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.chat import digest, format_chats
 from skyledger.llm.common import crc_bucket, table
+from skyledger.llm.html import extract_text
 from skyledger.llm.langid import fit_language_model, predict_language
 from skyledger.llm.packing import pack_examples
 from skyledger.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
@@ -117,3 +118,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_language_model(docs.where(crc_bucket(F.col("doc_id"), 5) != 0))
     predicted = predict_language(docs, model)
     return predicted.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
