@@ -12,6 +12,7 @@ from skyledger.llm.chat import digest, format_chats
 from skyledger.llm.common import crc_bucket, table
 from skyledger.llm.html import extract_text
 from skyledger.llm.langid import fit_language_model, predict_language
+from skyledger.llm.licenses import scan_licenses
 from skyledger.llm.packing import pack_examples
 from skyledger.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 from skyledger.llm.urls import Rule, domain_rule, judge_urls
@@ -123,3 +124,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
