@@ -80,8 +80,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         counts = in_blocks(wanted, "hash", lambda size, p: at_size(size).select("hash").join(p, "hash")).groupBy("hash").agg(F.count("*").alias("times"))
         ordered = parts.join(counts, "hash", "left").groupBy("window").agg(F.min(F.coalesce("times", F.lit(0))).alias("rarest"), F.min(F.struct(F.coalesce("times", F.lit(0)), "hash", "offset", "size")).alias("first"))
         prefix = cut(ordered.where("rarest > 0").select("window", "first.hash", "first.offset", "first.size").join(wins, "window"))
-        if not prefix.count():
-            sizes = sizes[:1]
 
         def verified(size: int, p: DataFrame) -> DataFrame:
             start = F.col("pos") - F.col("offset")
