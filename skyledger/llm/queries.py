@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.llm.ann import nearest
 from skyledger.llm.chat import digest, format_chats
 from skyledger.llm.common import crc_bucket, table
 from skyledger.llm.decontaminate import decontaminate
@@ -154,3 +155,9 @@ items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered c ON c.r = d.r LEFT JOIN items i ON i.r = d.r
 """
+
+
+@query
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
