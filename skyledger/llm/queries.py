@@ -13,6 +13,7 @@ from skyledger.llm.chat import digest, format_chats
 from skyledger.llm.common import crc_bucket, table
 from skyledger.llm.decontaminate import decontaminate
 from skyledger.llm.html import extract_text
+from skyledger.llm.jaccard import jaccard_components
 from skyledger.llm.langid import fit_language_model, predict_language
 from skyledger.llm.licenses import scan_licenses
 from skyledger.llm.packing import pack_examples
@@ -161,3 +162,8 @@ FROM d LEFT JOIN covered c ON c.r = d.r LEFT JOIN items i ON i.r = d.r
 def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
