@@ -37,13 +37,13 @@ def shingle_hash(size: int, *ws: Column) -> Column:
     return F.xxhash64(F.lit(size), *ws[:size])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_keys: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_hit, n_items, items (sorted as strings), contaminated.
 
     n_hit counts the words inside any occurrence of any window, n_items the items with windows that occur. A null text
     has no words. Rows that repeat each get the same result; null ids of documents are kept. Items that repeat count
     once by id. Other columns are ignored, whatever their names. Empty tables give no rows, or no hits. Texts of any
-    length are read whole.
+    length are read whole. with_keys adds _k1 and _k2, the hashes by which common.row_key tells rows apart.
     """
     if window < 1:
         raise ValueError("a window has at least one word")
@@ -99,4 +99,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     count = F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(WORD_CLASS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")))
     joined = rows.select(F.col(id_col), count.cast("long").alias("n_words"), *keys).join(found, ["_k1", "_k2"], "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(id_col, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+    return joined.select(id_col, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), *["_k1", "_k2"] * with_keys)

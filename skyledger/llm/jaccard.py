@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import cut, slices
+from skyledger.llm.common import cut, row_key, slices
 
 BUCKETS = 1 << 16
 SHORT_LIST, CHUNK, HOT_LIST = 128, 512, 20_000
@@ -156,14 +156,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, with_keys: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
 
     Two documents link when 100 * |A & B| >= percent * |A | B| (percent from 84 to 100). Null, empty and blank texts
     have no shingles and link with nothing, so their component is their own id. Rows that repeat are documents of
     their own that link; rows that share an id but not a text are told apart by their text. A row with a null id has a
     null component if it links with nothing else, and doesn't lend its id. Columns other than id_col and text_col are
-    ignored. An empty table gives no rows. Whole texts are read; no list, group or set is cut short.
+    ignored. An empty table gives no rows. Whole texts are read; no list, group or set is cut short. with_keys adds
+    _k1 and _k2, the hashes by which common.row_key tells rows apart, and _label, the component (null without shingles).
     """
     if not 84 <= percent <= 100:
         raise ValueError("percent must be from 84 to 100")
@@ -175,7 +176,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Nodes of rows (part 0), and how often each bucket occurs (part 1: n times, bucket d1)."""
         known, counts, id_type = WordHash(), np.zeros(BUCKETS, np.int64), None
-        names = ["part", "id", "n", "d1", "d2"]
+        names = ["part", "id", "n", "d1", "d2", "_k1", "_k2"]
         for batch in batches:
             id_type = batch.schema.field(0).type
             for s in slices(batch.num_rows, 256):
@@ -183,13 +184,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 sets = token_sets(some.column(1).to_pylist(), n, known)
                 nodes = [node_of(x) for x in sets]
                 counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), some.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([d[i] for d in nodes], pa.int64()) for i in (0, 1))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), some.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([d[i] for d in nodes], pa.int64()) for i in (0, 1)), *some.columns[2:]], names)
         at = counts.nonzero()[0]
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), id_type), pa.array(counts[at]), pa.array(at), pa.array(np.zeros(len(at), np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), id_type), pa.array(counts[at]), pa.array(at), *[pa.array(np.zeros(len(at), np.int64))] * 3], names)
 
-    surveyed = cut(rows.mapInArrow(survey, f"part int, id {kind}, n long, d1 long, d2 long"))
-    members = surveyed.where("part = 0").select("id", "n", F.struct("d1", "d2").alias("node"))
+    surveyed = cut(rows.select("id", "text", *row_key(F.col("id"), F.col("text"))).mapInArrow(survey, f"part int, id {kind}, n long, d1 long, d2 long, _k1 long, _k2 long"))
+    members = surveyed.where("part = 0").select("id", "n", F.struct("d1", "d2").alias("node"), "_k1", "_k2")
     counts = np.zeros(BUCKETS, np.int64)
     for r in surveyed.where("part = 1").groupBy("d1").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         counts[r.d1] = r.n
@@ -299,7 +300,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if not found.isEmpty():
         comps = components(links.unionAll(found))
 
-    labelled = members.join(comps, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    labelled = members.join(comps, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"), "_k1", "_k2")
     smallest = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
     out = labelled.join(smallest, "label", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    keys = [F.col("_k1"), F.col("_k2"), F.col("label").alias("_label")] if with_keys else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *keys)

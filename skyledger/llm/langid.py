@@ -141,14 +141,15 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "
     model was fitted on no rows. Ties go to the language whose name sorts first. Rows that repeat, and null ids, are
     scored like any other; columns outside keep are ignored, whatever their names. An empty table gives no rows.
     """
-    picked = docs.select(*keep, F.col(text_col).alias("_text"))
+    picked = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    width, at = len(keep), keep.index(text_col) if text_col in keep else len(keep)
     model_bc = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model_bc.value)
         for batch in batches:
-            found = [scorer.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*keep, "lang_pred", "score"])
+            found = [scorer.score(t.as_py()) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*keep, "lang_pred", "score"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:width])
     return picked.mapInArrow(run, f"{fields}lang_pred string, score double")

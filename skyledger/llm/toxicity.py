@@ -182,7 +182,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     Every whole text is read; a null text is scored as an empty one. Rows that repeat, and null ids, are scored like
     any other; columns outside keep are ignored, whatever their names. An empty table gives no rows.
     """
-    picked = docs.select(*keep, F.col(text_col).alias("_text"))
+    picked = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    width, at = len(keep), keep.index(text_col) if text_col in keep else len(keep)
     model_bc = docs.sparkSession.sparkContext.broadcast((model.features, model.weights))  # bounded by max_features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
         seen: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             scores = np.empty(batch.num_rows)
-            for i, value in enumerate(batch.column(batch.num_columns - 1)):
+            for i, value in enumerate(batch.column(at)):
                 present: set[int] = set()
                 for w in set(WORDS.findall((value.as_py() or "").lower())):
                     found = seen.get(w)
@@ -202,7 +203,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
                         present.update(found)
                 z = model.scale * (weights[sorted(present)].sum() + model.bias) + model.shift
                 scores[i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array((scores >= threshold).astype("int32"))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(scores), pa.array((scores >= threshold).astype("int32"))], [*keep, "score", "predicted"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:width])
     return picked.mapInArrow(run, f"{fields}score double, predicted int")
