@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEGREE, BUILD_BEAM, ALPHA = 32, 64, 1.2
-SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 16_384, 4, 8_192
+SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 8_192, 4, 8_192
 
 
 def beam_search(points: np.ndarray, edges: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +80,12 @@ def robust_prune(points: np.ndarray, centre: int, cand: np.ndarray, degree: int,
 
 
 def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (-1 where fewer) and entry nodes. Nodes go in by growing batches, in a random order."""
-    n = len(points)
-    edges = np.full((n, degree), -1, np.int64)
+    """Edges (-1 where fewer) and entry nodes. Nodes go in by growing batches, in a random order.
+
+    Incoming edges may fill half a degree more than pruning leaves, so that a node is pruned once in many additions.
+    """
+    n, most = len(points), degree + degree // 2
+    edges = np.full((n, most), -1, np.int64)
     order = np.random.default_rng(seed).permutation(n)
     middle = int(((points - points.mean(0)) ** 2).sum(1).argmin()) if n else 0
     order = np.concatenate([[middle], order[order != middle]]).astype(np.int64) if n else order
@@ -97,13 +100,16 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
             edges[b, : len(kept)] = kept
             for k in kept.tolist():
                 back.setdefault(k, []).append(b)
+        fresh = set(batch.tolist())
         for k, sources in back.items():
-            own = edges[k][edges[k] >= 0]
-            new = np.setdiff1d(np.asarray(sources), own)
-            if len(own) + len(new) <= degree:
-                edges[k, len(own) : len(own) + len(new)] = new
+            n_own = int((edges[k] >= 0).sum())
+            if k in fresh:  # only nodes of one batch can have chosen each other
+                known = set(edges[k, :n_own].tolist())
+                sources = [x for x in sources if x not in known]
+            if n_own + len(sources) <= most:
+                edges[k, n_own : n_own + len(sources)] = sources
             else:
-                kept = robust_prune(points, k, np.concatenate([own, new]), degree, alpha)
+                kept = robust_prune(points, k, np.concatenate([edges[k, :n_own], sources]).astype(np.int64), degree, alpha)
                 edges[k] = -1
                 edges[k, : len(kept)] = kept
         at += len(batch)
@@ -122,7 +128,7 @@ def pack(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = 96, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = 112, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """For each row of queries its k nearest rows of vectors, by inner product, but for the row with its own id.
 
     Columns: query_id, rank (from 1), vec_id, score (double precision, on the original vectors). Ties go to the
