@@ -10,10 +10,11 @@ common tokens, all inside both prefixes, two fall into one subclass. So frequent
 subclass. m follows the size bracket of the larger partner (sizes of partners differ by one bracket at most), which
 keeps a set's signatures linear in its prefix.
 
-Linking without all pairs. Each signature's list gets a hub, its most typical node; every node is verified against the
-hub, exactly. Components of those links settle most lists. Of the others, every pair across components is verified:
-pair by pair for short lists, in blocks of nodes within a task for long ones. After that no link between different
-components can be missing. Lists of very frequent tokens are salted, and their hubs linked in a second level.
+Linking without all pairs. Each signature's list gets a hub, its most typical node; every node is paired with the hub.
+Components of the links found settle most lists. Of the others, every pair across components is looked at: pair by
+pair for short lists, in blocks of nodes within a task for long ones. After that no link between different components
+can be missing. Lists of very frequent tokens are salted, and their hubs linked in a second level. Pairs are first
+screened by parity sketches, which bound the difference of two sets from below; the rest is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import cut, row_key, slices
@@ -129,8 +130,67 @@ def enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b of nodes) that link."""
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of how many tokens fall on each of 2^k >= 2 n places. Every place where two sketches differ stands for
+    a token of one set only, so they bound the sets' difference from below. Halves fold by exclusive or."""
+    bits = max(256, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 256
+    parity = np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(x: np.ndarray, length: int) -> np.ndarray:
+    while x.shape[-1] > length:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def may_link(x: bytes, y: bytes, n: int, percent: int) -> bool:
+    """n: both sets' sizes together. False only if they can't link."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    m = min(len(a), len(b))
+    apart = int(np.bitwise_count(fold(a, m) ^ fold(b, m)).sum())
+    return apart * (100 + percent) <= (100 - percent) * n
+
+
+def screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b of nodes) that their sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n = batch.column(2), batch.column(3), batch.column(4).to_pylist()
+            keep = [n[i] >= SIZE_BITS or may_link(x[i].as_buffer(), y[i].as_buffer(), n[i], percent) for i in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    named = lambda of: sketches.select(F.col("node").alias(of), F.col("sketch").alias(f"{of}_sketch"))
+    joined = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_sketch", "b_sketch", (set_size(F.col("a")) + set_size(F.col("b"))).alias("n"))
+    return joined.mapInArrow(run, pairs.select("a", "b").schema)
+
+
+def set_size(node: Column) -> Column:
+    return F.shiftright(node["d2"], 8).bitwiseAND(F.lit(SIZE_BITS))
+
+
+def similar_size(a: Column, b: Column, percent: int) -> Column:
+    return F.least(set_size(a), set_size(b)) * 100 >= F.greatest(set_size(a), set_size(b)) * percent
+
+
+def verify(pairs: DataFrame, rows: DataFrame, owners: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b of nodes) that link, by their whole sets; sets are made anew for the nodes in pairs only.
+
+    owners: a row's id for each node. Only texts with such ids are split again and shuffled, as sets.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = cut(owners.join(wanted, "node", "left_semi").select(F.col("id").alias("_id")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in batches:
+            for s in slices(batch.num_rows, 256):
+                out = {node_of(x): x for x in token_sets(batch.column(0).slice(s.start, s.stop - s.start).to_pylist(), n, known)}
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in out], pa.int64()) for i in (0, 1)), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["d1", "d2", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +198,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [enough(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    texts = rows.where("text is not null").join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    sets = cut(texts.mapInArrow(build, "d1 long, d2 long, tokens binary").select(F.struct("d1", "d2").alias("node"), "tokens"))
     named = lambda of: sets.select(F.col("node").alias(of), F.col("tokens").alias(f"{of}_tokens"))
-    return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, pairs.select("a", "b").schema)
+    return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -176,7 +238,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Nodes of rows (part 0), and how often each bucket occurs (part 1: n times, bucket d1)."""
         known, counts, id_type = WordHash(), np.zeros(BUCKETS, np.int64), None
-        names = ["part", "id", "n", "d1", "d2", "_k1", "_k2"]
+        names = ["part", "id", "n", "d1", "d2", "_k1", "_k2", "sketch"]
         for batch in batches:
             id_type = batch.schema.field(0).type
             for s in slices(batch.num_rows, 256):
@@ -184,13 +246,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 sets = token_sets(some.column(1).to_pylist(), n, known)
                 nodes = [node_of(x) for x in sets]
                 counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), some.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([d[i] for d in nodes], pa.int64()) for i in (0, 1)), *some.columns[2:]], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), some.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([d[i] for d in nodes], pa.int64()) for i in (0, 1)), *some.columns[2:], pa.array([sketch(x) for x in sets], pa.binary())], names)
         at = counts.nonzero()[0]
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), id_type), pa.array(counts[at]), pa.array(at), *[pa.array(np.zeros(len(at), np.int64))] * 3], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), id_type), pa.array(counts[at]), pa.array(at), *[pa.array(np.zeros(len(at), np.int64))] * 3, pa.nulls(len(at), pa.binary())], names)
 
-    surveyed = cut(rows.select("id", "text", *row_key(F.col("id"), F.col("text"))).mapInArrow(survey, f"part int, id {kind}, n long, d1 long, d2 long, _k1 long, _k2 long"))
-    members = surveyed.where("part = 0").select("id", "n", F.struct("d1", "d2").alias("node"), "_k1", "_k2")
+    surveyed = cut(rows.select("id", "text", *row_key(F.col("id"), F.col("text"))).mapInArrow(survey, f"part int, id {kind}, n long, d1 long, d2 long, _k1 long, _k2 long, sketch binary"))
+    members = surveyed.where("part = 0").select("id", "n", F.struct("d1", "d2").alias("node"), "_k1", "_k2", "sketch")
     counts = np.zeros(BUCKETS, np.int64)
     for r in surveyed.where("part = 1").groupBy("d1").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         counts[r.d1] = r.n
@@ -220,83 +282,62 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bare = lambda c: F.struct(c["d1"].alias("d1"), c["d2"].bitwiseAND(F.lit(~255)).alias("d2"))
     ranked = F.struct(F.col("d2").bitwiseAND(F.lit(255)).alias("typical"), "d1", "d2")
     whole = Window.partitionBy("sig", "salt")
-    lists = post.withColumn("_hub", F.min(ranked).over(whole)).withColumn("_last", F.max(ranked).over(whole))
-    lists = lists.where("_hub != _last or salt > 0").select("sig", "salt", bare({"d1": F.col("d1"), "d2": F.col("d2")}).alias("node"), bare(F.col("_hub")).alias("hub"))
-    lists = cut(lists)
+    lists = post.withColumn("_hub", F.min(ranked).over(whole)).withColumn("_last", F.max(ranked).over(whole)).withColumn("size", F.count("*").over(whole))
+    lists = cut(lists.where("_hub != _last or salt > 0").select("sig", "salt", "size", bare({"d1": F.col("d1"), "d2": F.col("d2")}).alias("node"), bare(F.col("_hub")).alias("hub")))
 
     tops = lists.where("salt > 0").groupBy("sig").agg(F.min("hub").alias("top"))
     upper = lists.where("salt > 0").select("sig", "hub").distinct().join(tops, "sig").select(F.col("hub").alias("node"), F.col("top").alias("hub"))
-    size = lambda c: F.shiftright(c["d2"], 8).bitwiseAND(F.lit(SIZE_BITS))
-    near = lambda x, y: F.least(size(x), size(y)) * 100 >= F.greatest(size(x), size(y)) * percent
-    ordered = lambda df, x, y: df.where((F.col(x) != F.col(y)) & near(F.col(x), F.col(y))).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    starred = cut(ordered(lists.select("node", "hub").unionAll(upper), "node", "hub"))
-
-    wanted = lists.select("node").distinct()
-    owners = cut(members.where("id is not null").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi").unionAll(
-        members.where("id is null").select("node", "id").join(wanted, "node", "left_semi").join(members.where("id is not null").select("node"), "node", "left_anti").distinct()))
-    ids = owners.select(F.col("id").alias("_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    spokes = lists.select("node", "hub").unionAll(upper).where((F.col("node") != F.col("hub")) & similar_size(F.col("node"), F.col("hub"), percent))
+    starred = cut(spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHash(), set()
-        for batch in batches:
-            for s in slices(batch.num_rows, 256):
-                out = {node_of(x): x for x in token_sets(batch.column(0).slice(s.start, s.stop - s.start).to_pylist(), n, known)}
-                new = [k for k in out if k not in seen]
-                if len(seen) >= 100_000:
-                    seen.clear()
-                seen.update(new)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in new], pa.int64()), pa.array([k[1] for k in new], pa.int64()), pa.array([out[k].tobytes() for k in new], pa.binary())], ["d1", "d2", "tokens"])
-
-    texts = rows.where("text is not null").join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(build, "d1 long, d2 long, tokens binary").select(F.struct("d1", "d2").alias("node"), "tokens").join(wanted, "node", "left_semi")
-    sets = cut(sets.groupBy("node").agg(F.first("tokens").alias("tokens")))
-
-    links = cut(verify(starred, sets, percent))
+    listed = lists.select("node").distinct()
+    owners = cut(members.join(listed, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
+    links = cut(verify(cut(screened(starred, owners, percent)), rows, owners, n, percent))
     comps = components(links)
-    placed = lists.select("sig", "node").distinct().join(comps, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+
+    # lists of two are settled: their only pair was verified
+    placed = lists.where("size > 2 or salt > 0").select("sig", "node").distinct().join(comps, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     placed = cut(placed)
     open_lists = placed.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 2 and low != high").select("sig", "size")
     left = placed.join(open_lists, "sig")
     one, two = (left.where(F.col("size") <= SHORT_LIST).select("sig", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
-    across = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & near(F.col("a"), F.col("b"))).select("a", "b").distinct()
-    more = verify(across.join(starred, ["a", "b"], "left_anti"), sets, percent)
+    across = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & similar_size(F.col("a"), F.col("b"), percent)).select("a", "b").distinct()
+    across = screened(across.join(starred, ["a", "b"], "left_anti"), owners, percent)
 
     def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links across components between the two chunks of a cell, or inside its only one."""
-        names = list(zip(pdf.d1, pdf.d2, strict=True))
-        arrays = [np.frombuffer(x, np.uint64) for x in pdf.tokens]
-        lengths = np.array([len(x) for x in arrays])
-        flat = np.concatenate(arrays)
-        uniq, place, times = np.unique(flat, return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(arrays)), lengths)
+        """Pairs across components that may link, between the two chunks of a cell or inside its only one."""
+        out = []
         label = pd.factorize(pd.Series(list(zip(pdf.l1, pdf.l2, strict=True))))[0]
-        chunk = pdf.chunk.to_numpy()
-        common = np.zeros((len(arrays), len(arrays)), np.int32)
-        keep = times > 1
-        new = np.cumsum(keep) - 1
-        sel = keep[place]
-        cols, own = new[place[sel]], owner[sel]
-        for at in range(0, int(keep.sum()), 4096):  # dense blocks of tokens
-            some = (cols >= at) & (cols < at + 4096)
-            block = np.zeros((len(arrays), 4096), np.float32)
-            block[own[some], cols[some] - at] = 1
-            common += (block @ block.T).astype(np.int32)
-        union = lengths[:, None] + lengths[None] - common
-        good = (100 * common >= percent * union) & (label[:, None] != label[None])
-        if key[1] != key[2]:
-            good &= chunk[:, None] != chunk[None]
-        i, j = np.nonzero(np.triu(good, 1))
-        pick = lambda at, k: [names[x][k] for x in at]
-        return pd.DataFrame({"a1": pick(i, 0), "a2": pick(i, 1), "b1": pick(j, 0), "b2": pick(j, 1)}, dtype="int64")
+        chunk, sizes = pdf.chunk.to_numpy(), (pdf.d2.to_numpy() >> 8) & SIZE_BITS
+        lengths = np.array([len(x) for x in pdf.sketch])
+        kinds = {length: np.flatnonzero(lengths == length) for length in np.unique(lengths)}
+        arrays = {k: np.stack([np.frombuffer(pdf.sketch[i], np.uint64) for i in at]) for k, at in kinds.items()}
+        for k, rows_k in kinds.items():
+            for k2 in (k, 2 * k):  # partners' sketches differ by one doubling at most
+                if k2 not in kinds:
+                    continue
+                x, y, rows_2 = arrays[k], fold(arrays[k2], k // 8), kinds[k2]
+                for r, i in enumerate(rows_k):
+                    total = sizes[i] + sizes[rows_2]
+                    good = np.bitwise_count(x[r] ^ y).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * total
+                    good |= total >= SIZE_BITS
+                    good &= (label[i] != label[rows_2]) & (100 * np.minimum(sizes[i], sizes[rows_2]) >= percent * np.maximum(sizes[i], sizes[rows_2]))
+                    if key[1] != key[2]:
+                        good &= chunk[i] != chunk[rows_2]
+                    if k2 == k:
+                        good &= rows_2 > i
+                    out.append(np.stack([np.full(int(good.sum()), i), rows_2[good]], 1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        d1, d2 = pdf.d1.to_numpy(), pdf.d2.to_numpy()
+        return pd.DataFrame({"a1": d1[pairs[:, 0]], "a2": d2[pairs[:, 0]], "b1": d1[pairs[:, 1]], "b2": d2[pairs[:, 1]]}, dtype="int64")
 
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = left.where(F.col("size") > SHORT_LIST).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(sets, "node")
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "node.d1", "node.d2", F.col("label.d1").alias("l1"), F.col("label.d2").alias("l2"), "tokens")
+    dealt = left.where(F.col("size") > SHORT_LIST).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(owners.select("node", "sketch"), "node")
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "node.d1", "node.d2", F.col("label.d1").alias("l1"), F.col("label.d2").alias("l2"), "sketch")
     blocks = cells.groupBy("sig", "c1", "c2").applyInPandas(within, "a1 long, a2 long, b1 long, b2 long")
-    blocks = blocks.select(F.struct(F.col("a1").alias("d1"), F.col("a2").alias("d2")).alias("a"), F.struct(F.col("b1").alias("d1"), F.col("b2").alias("d2")).alias("b"))
-    found = cut(more.unionAll(blocks).distinct())
+    x, y = (F.struct(F.col(f"{c}1").alias("d1"), F.col(f"{c}2").alias("d2")) for c in "ab")
+    blocks = blocks.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
+    found = cut(verify(cut(across.unionAll(blocks).distinct()), rows, owners, n, percent))
     if not found.isEmpty():
         comps = components(links.unionAll(found))
 

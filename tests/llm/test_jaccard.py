@@ -92,3 +92,17 @@ def test_empty_table(spark):
     assert run(spark, []) == []
     with pytest.raises(ValueError):
         J.jaccard_components(spark.createDataFrame([], SCHEMA), percent=50)
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    ruled = 0
+    for _ in range(1500):
+        n = int(rng.integers(6, 700))
+        pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        drop = int(rng.integers(0, n // 4 + 1))
+        a, b = np.unique(pool[:n]), np.unique(pool[drop : n + int(rng.integers(0, n // 4 + 1))])
+        ok = J.may_link(J.sketch(a), J.sketch(b), len(a) + len(b), 85)
+        assert ok or not J.enough(a, b, 85)
+        ruled += not ok
+    assert ruled > 300 and len(J.sketch(a[:0])) == 32
