@@ -8,6 +8,7 @@ import os
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CONTEXT = 70
 
@@ -32,7 +33,7 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-DIFF = "firstDifference int, actual string, expected string"
+DIFF = T.StructType([T.StructField("firstDifference", T.IntegerType()), T.StructField("actual", T.StringType()), T.StructField("expected", T.StringType())])
 
 
 @F.pandas_udf(DIFF)
@@ -62,7 +63,7 @@ def clip(text: Column, limit: int, mark: str = "…[truncated]") -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def quoted(text: pd.Series) -> pd.Series:
     """A JSON string in which U+007F to U+FFFF are escaped and characters beyond are not."""
     def one(s: str | None) -> str | None:
