@@ -35,7 +35,7 @@ def failure_overlap(rows: DataFrame, group: Sequence[str], member: str, task: st
     """
     per = rows.groupBy(*group, member, task).agg(F.max(failed).alias("f"))
     one, two = (per.withColumnsRenamed({member: m, "f": f}) for m, f in (("left", "a"), ("right", "b")))
-    pairs = one.join(two, [*group, task]).groupBy(*group, "left", "right").agg(F.count_if("a and b").alias("shared"), F.count_if("a and not b").alias("onlyLeft"), F.count_if("b and not a").alias("onlyRight"), F.count_if("not a and not b").alias("bothPass"))
+    pairs = one.join(two, [*group, task]).groupBy(*group, "left", "right").agg(F.count_if(F.expr("a and b")).alias("shared"), F.count_if(F.expr("a and not b")).alias("onlyLeft"), F.count_if(F.expr("b and not a")).alias("onlyRight"), F.count_if(F.expr("not a and not b")).alias("bothPass"))
     either = F.col("shared") + F.col("onlyLeft") + F.col("onlyRight")
     return pairs.withColumn("either", either).withColumn("jaccard", F.coalesce(F.try_divide("shared", either), F.lit(1.0)))
 

@@ -120,7 +120,7 @@ def contingency(rows: DataFrame, on: Sequence[str], side: str, left: str, right:
     """Both, only left, only right, neither, over keys that both sides have."""
     one = rows.where(F.col(side) == left).select(*on, F.col(passed).alias("l"))
     two = rows.where(F.col(side) == right).select(*on, F.col(passed).alias("r"))
-    return one.join(two, list(on)).agg(F.count_if("l and r").alias("both"), F.count_if("l and not r").alias("onlyLeft"), F.count_if("r and not l").alias("onlyRight"), F.count_if("not l and not r").alias("neither"))
+    return one.join(two, list(on)).agg(F.count_if(F.expr("l and r")).alias("both"), F.count_if(F.expr("l and not r")).alias("onlyLeft"), F.count_if(F.expr("r and not l")).alias("onlyRight"), F.count_if(F.expr("not l and not r")).alias("neither"))
 
 
 def peer_losses(rows: DataFrame, task: str, profile: str, passed: str, chosen: Column) -> DataFrame:

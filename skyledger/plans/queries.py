@@ -132,10 +132,10 @@ def task_cells(spark, sf_dir):
     return C.cells(C.trial_facts(from_star(spark, sf_dir)), ["modelFamily", "harnessFamily"]).select("modelFamily", "harnessFamily", "taskId", "n", "firstPasses", "finalPasses", r("duration_total", 4).alias("duration_total"), "duration_n", "recoveryRounds")
 
 
-@query(f"""WITH {TRIALS} SELECT n_name AS "modelFamily", task_id AS "taskId", list(struct_pack(t := CAST(o_orderkey AS VARCHAR), f := f, g := g) ORDER BY CAST(o_orderkey AS VARCHAR))::VARCHAR AS "samples" FROM trials WHERE n_name = 'FRANCE' GROUP BY ALL""".replace("list(struct_pack(t := CAST(o_orderkey AS VARCHAR), f := f, g := g) ORDER BY CAST(o_orderkey AS VARCHAR))::VARCHAR", "string_agg(concat(CAST(o_orderkey AS VARCHAR), ':', CASE WHEN f THEN '1' ELSE '0' END, CASE WHEN g THEN '1' ELSE '0' END), ' ' ORDER BY CAST(o_orderkey AS VARCHAR))"))
+@query(f"""WITH {TRIALS} SELECT n_name AS "modelFamily", task_id AS "taskId", list(struct_pack(t := CAST(o_orderkey AS VARCHAR), f := f, g := g) ORDER BY CAST(o_orderkey AS VARCHAR))::VARCHAR AS "samples" FROM trials WHERE n_name = 'NATION_7' GROUP BY ALL""".replace("list(struct_pack(t := CAST(o_orderkey AS VARCHAR), f := f, g := g) ORDER BY CAST(o_orderkey AS VARCHAR))::VARCHAR", "string_agg(concat(CAST(o_orderkey AS VARCHAR), ':', CASE WHEN f THEN '1' ELSE '0' END, CASE WHEN g THEN '1' ELSE '0' END), ' ' ORDER BY CAST(o_orderkey AS VARCHAR))"))
 def task_samples(spark, sf_dir):
     """A12, A13."""
-    rows = C.task_samples(C.trial_facts(from_star(spark, sf_dir), {"model": ["FRANCE"]}), ["modelFamily"])
+    rows = C.task_samples(C.trial_facts(from_star(spark, sf_dir), {"model": ["NATION_7"]}), ["modelFamily"])
     bit = lambda c: F.when(c, "1").otherwise("0")
     return rows.select("modelFamily", "taskId", F.array_join(F.transform("samples", lambda s: F.concat(s["trialId"], F.lit(":"), bit(s["firstExactPassed"]), bit(s["finalExactPassed"]))), " ").alias("samples"))
 
@@ -236,12 +236,12 @@ def exclusions_applied(spark, sf_dir):
     return FA.union_all(parts)
 
 
-@query("""SELECT n_name AS "modelFamily", CASE WHEN n_name = 'FRANCE' AND n_regionkey = 3 THEN 'europe-main' WHEN n_name = 'CHINA' AND provider IS NULL THEN 'asia-main' ELSE provider END AS "provider" FROM (SELECT n_name, n_regionkey, CASE WHEN n_regionkey = 2 THEN NULL ELSE r_name END AS provider FROM nation JOIN region ON n_regionkey = r_regionkey)""")
+@query("""SELECT n_name AS "modelFamily", CASE WHEN n_name = 'NATION_3' THEN 'europe-main' WHEN n_name = 'NATION_2' AND provider IS NULL THEN 'asia-main' ELSE provider END AS "provider" FROM (SELECT n_name, n_regionkey, CASE WHEN n_regionkey = 2 THEN NULL ELSE r_name END AS provider FROM nation JOIN region ON n_regionkey = r_regionkey)""")
 def provider_alias(spark, sf_dir):
     """P09, with an alias of the null provider."""
     rows = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = rows.select(F.col("n_name").alias("modelFamily"), F.when(F.col("n_regionkey") != 2, F.col("r_name")).alias("provider"))
-    aliases = spark.createDataFrame([("FRANCE", "EUROPE", "europe-main"), ("CHINA", None, "asia-main")], "id string, `from` string, `to` string")
+    aliases = spark.createDataFrame([("NATION_3", "EUROPE", "europe-main"), ("NATION_2", None, "asia-main")], "id string, `from` string, `to` string")
     return identity.canonical_provider(rows, aliases)
 
 
@@ -318,10 +318,10 @@ def contingency(spark, sf_dir):
     return S.contingency(p, ["n_name", "o_orderpriority"], "c_mktsegment", "BUILDING", "MACHINERY", "ok")
 
 
-@query(f"""WITH {PLACED}, p AS (SELECT concat(n_name, '/', o_orderpriority) AS t, c_mktsegment AS m, bool_or(o_orderstatus = 'P') AS ok FROM placed GROUP BY ALL)
+@query(f"""WITH {PLACED}, p AS (SELECT concat(n_name, '/', o_orderpriority, '/', CAST(year(o_orderdate) AS VARCHAR)) AS t, c_mktsegment AS m, bool_or(o_orderstatus = 'P') AS ok FROM placed GROUP BY ALL)
 SELECT a.t AS "task", a.m AS "loser", array_to_string(list_sort(list(DISTINCT b.m)), ',') AS "winners" FROM p a JOIN p b ON a.t = b.t AND a.m <> b.m WHERE a.m = 'BUILDING' AND NOT a.ok AND b.ok GROUP BY a.t, a.m""")
 def peer_losses(spark, sf_dir):
-    p = placed(spark, sf_dir).groupBy(F.concat("n_name", F.lit("/"), "o_orderpriority").alias("t"), F.col("c_mktsegment").alias("m")).agg(F.bool_or(F.col("o_orderstatus") == "P").alias("ok"))
+    p = placed(spark, sf_dir).groupBy(F.concat("n_name", F.lit("/"), "o_orderpriority", F.lit("/"), F.year("o_orderdate").cast("string")).alias("t"), F.col("c_mktsegment").alias("m")).agg(F.bool_or(F.col("o_orderstatus") == "P").alias("ok"))
     return S.peer_losses(p, "t", "m", "ok", F.col("m") == "BUILDING").select("task", "loser", F.array_join("winners", ",").alias("winners"))
 
 
@@ -331,8 +331,8 @@ def retry_chains(spark, sf_dir):
     return S.retry_chains(rows, ["conv_id"], "turn", F.col("role") == "assistant", F.length("text").cast("long"))
 
 
-@query("""WITH w AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS at FROM lineitem)
-SELECT 'O02 contiguous' AS "rule", CAST(l_orderkey AS VARCHAR) AS "key", concat('position ', CAST(at AS VARCHAR), ' has ', CAST(l_linenumber AS VARCHAR)) AS "message" FROM w WHERE at <> l_linenumber""")
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS pos FROM lineitem)
+SELECT 'O02 contiguous' AS "rule", CAST(l_orderkey AS VARCHAR) AS "key", concat('position ', CAST(pos AS VARCHAR), ' has ', CAST(l_linenumber AS VARCHAR)) AS "message" FROM w WHERE pos <> l_linenumber""")
 def contiguity_violations(spark, sf_dir):
     return Q.gaps(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", LINE_ORDER[1:])
 
@@ -360,11 +360,16 @@ def sensitive_text(spark, sf_dir):
     return Q.sensitive_rows(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
 
 
-@query("SELECT feature AS \"feature\", count(*) AS \"n\" FROM (" + " UNION ALL ".join(f"SELECT '{fact}' AS feature FROM documents WHERE regexp_matches(text, '{p}')" for fact, _, p in classify.COMMANDS) + ") GROUP BY feature")
+COMMANDS = ["grep -rn x src | head -5", "sed -i s/a/b/ /workspace/a.ts", "cat a > /tmp/b", "cat a >> b.txt", "python3 fix.py; npm test", "xxd a; sha256sum a; diff a b; ls", "rm -rf build", "echo hello"]
+FEATURES = {0: ["search", "read"], 1: ["read", "likely-workspace-write"], 2: ["read"], 3: ["read", "likely-workspace-write"], 4: ["script", "test-or-build"], 5: ["byte-check", "checksum", "compare", "list"], 6: ["file-operation", "likely-workspace-write"]}
+
+
+@query("WITH f(k, feature) AS (VALUES " + ", ".join(f"({k}, '{x}')" for k, xs in FEATURES.items() for x in xs) + ") SELECT feature AS \"feature\", count(*) AS \"n\" FROM part JOIN f ON k = p_size % 8 GROUP BY feature")
 def shell_features(spark, sf_dir):
-    """P15 over arbitrary text; the write heuristic has a test of its own."""
-    rows = read(spark, sf_dir, "documents").select(F.explode(classify.command_features(F.col("text"))).alias("feature"))
-    return rows.where("feature <> 'likely-workspace-write'").groupBy("feature").agg(F.count("*").alias("n"))
+    """Commands by part size; the SQL lists what each command is known to do."""
+    command = F.element_at(F.array(*map(F.lit, COMMANDS)), F.col("p_size") % 8 + 1)
+    rows = read(spark, sf_dir, "part").select(F.explode(classify.command_features(command)).alias("feature"))
+    return rows.groupBy("feature").agg(F.count("*").alias("n"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, text AS a, CASE doc_id % 4 WHEN 0 THEN concat(text, chr(10)) WHEN 1 THEN replace(text, chr(10), '') WHEN 2 THEN replace(text, ' ', '  ') ELSE concat(text, 'x') END AS b FROM documents)
