@@ -114,12 +114,12 @@ def canonical_route(df: DataFrame, routes: DataFrame, *, family: str = "modelFam
 def project_models(profiles: DataFrame, aliases: DataFrame, routes: DataFrame) -> DataFrame:
     """Both projections; configurationHash is computed anew only for rows that changed."""
     kept = ["modelFamily", "modelVersion", "provider"]
-    before = profiles.withColumns({f"_{c}": F.col(c) for c in kept})
+    before = profiles.withColumns({f"_was_{c}": F.col(c) for c in kept})
     after = canonical_provider(canonical_route(before, routes), aliases)
     changed = ~F.lit(True)
     for c in kept:
-        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return after.withColumn("configurationHash", F.when(changed, configuration_hash(after)).otherwise(F.col("configurationHash"))).drop(*[f"_{c}" for c in kept])
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_was_{c}"))
+    return after.withColumn("configurationHash", F.when(changed, configuration_hash(after)).otherwise(F.col("configurationHash"))).drop(*[f"_was_{c}" for c in kept])
 
 
 def attribute_runs(runs: DataFrame, contributors: DataFrame) -> DataFrame:
