@@ -342,7 +342,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         comps = components(links.unionAll(found))
 
     labelled = members.join(comps, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"), "_k1", "_k2")
-    smallest = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
+    # written, so that both sides of the join below are plain exchanges and a large group's rows can be split
+    smallest = cut(labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("least")))
     out = labelled.join(smallest, "label", "left")
     keys = [F.col("_k1"), F.col("_k2"), F.col("label").alias("_label")] if with_keys else []
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *keys)
