@@ -56,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each component stays: the smallest id's, of rows that repeat the first; rows without words all stay."""
     found = cut(jaccard_components(docs, n=4, percent=85, with_keys=True))
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
-    firsts = found.where("_label is not null").groupBy("_label").agg(F.min(key).alias("first"))
+    firsts = cut(found.where("_label is not null").groupBy("_label").agg(F.min(key).alias("first")))
     losers = found.join(firsts, "_label").where((F.col("_k1") != F.col("first._k1")) | (F.col("_k2") != F.col("first._k2"))).select("_k1", "_k2").distinct()
     repeats = found.where("_label is not null").groupBy("_k1", "_k2").count().where("count > 1").select("_k1", "_k2")
     repeats = cut(repeats.join(losers, ["_k1", "_k2"], "left_anti"))
