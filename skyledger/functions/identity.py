@@ -46,7 +46,8 @@ def percent(part: Column, whole: Column, empty: Column | None = None) -> Column:
 
 def percent_text(part: Column, whole: Column) -> Column:
     """One decimal and a percent sign; an em dash for a zero whole."""
-    return F.coalesce(F.concat(F.format_number(percent(part, whole), "0.0"), F.lit("%")), F.lit("—"))
+    value = percent(part, whole)
+    return F.when(value.isNotNull(), F.concat(F.format_string("%.1f", value), F.lit("%"))).otherwise("—")
 
 
 def version_key(version: Column, width: int = 20) -> Column:
@@ -141,3 +142,34 @@ def split_suffix(name: Column, suffixes: Sequence[str]) -> Column:
     for s in reversed(suffixes):
         out = F.when(name.endswith(f"-{s}"), F.struct(F.substring(name, F.lit(1), F.length(name) - len(s) - 1).alias("head"), F.lit(s).alias("suffix"))).otherwise(out)
     return out
+
+
+def execution_id(**fields: Column) -> Column:
+    """sha256 of the canonical JSON of named values, by name; lists count as sets."""
+    return F.sha2(canonical_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
+
+
+def as_set(values: Column) -> Column:
+    return F.array_sort(F.array_distinct(values))
+
+
+def feedback(comparison: Column) -> Column:
+    """What an oracle tells after a failed round, as JSON: counts and names, never contents."""
+    return canonical_json(F.struct(*[comparison[c].alias(c) for c in ("differing", "missing", "unexpected")]))
+
+
+def projection_audit(before: DataFrame, after: DataFrame, rounds: DataFrame, trials: DataFrame, columns: Sequence[str] = ("modelFamily", "modelVersion", "provider")) -> DataFrame:
+    """Profiles that a projection changed, with tokens and cost of their rounds (null if never observed)."""
+    key = ["runId", "profileId"]
+    old = before.select(*key, *[F.col(c).alias(f"{c}Before") for c in columns])
+    differs = F.lit(False)
+    for c in columns:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"{c}Before"))
+    changed = after.select(*key, *columns).join(old, key).where(differs)
+    used = rounds.join(trials.select("runId", "trialId", "profileId"), ["runId", "trialId"]).groupBy(*key).agg(F.sum("totalTokens").alias("totalTokens"), F.sum("costUsd").alias("costUsd"))
+    return changed.join(used, key, "left")
+
+
+def zip_by_position(arrays: Mapping[str, Column], df: DataFrame) -> DataFrame:
+    """Arrays of equal length side by side, with their position; a length that differs shows as nulls."""
+    return df.select(F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in arrays.items()])).alias("position", "z")).select("position", *[F.col(f"z.{n}").alias(n) for n in arrays])

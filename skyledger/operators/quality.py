@@ -193,3 +193,36 @@ def smoke_gate(trials: DataFrame, profiles: DataFrame) -> DataFrame:
     per = trials.groupBy("runId", "profileId").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("finalExactPassed", F.lit(False))).alias("ok"))
     joined = profiles.select("runId", "profileId").join(per, ["runId", "profileId"], "left")
     return row_checks(joined, F.concat_ws("/", "runId", "profileId"), {"V24 one trial": F.coalesce("n", F.lit(0)) == 1, "V24 passed": F.coalesce("ok", F.lit(False))})
+
+
+def declared_tasks(trials: DataFrame, runs: DataFrame) -> DataFrame:
+    """Trials of tasks that their run didn't declare."""
+    declared = runs.select("runId", F.explode("definitions.taskSet.taskIds").alias("taskId"))
+    return orphans(trials, declared, {"runId": "runId", "taskId": "taskId"}, "V14 task")
+
+
+def layout(files: DataFrame, allowed: Sequence[str], path: str = "path") -> DataFrame:
+    """Files whose name isn't allowed."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return violations(files.where(~name.isin(list(allowed))), "V12 layout", F.col(path), "unexpected file")
+
+
+def harness_versions(runs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Profiles whose harness version isn't declared by their run; undeclared harnesses and null versions pass."""
+    declared = runs.select("runId", F.explode("definitions.harnesses").alias("h")).where("h.version is not null").groupBy("runId", F.col("h.id").alias("_id")).agg(F.collect_set("h.version").alias("versions"))
+    joined = profiles.join(declared, (profiles["harnessId"] == F.col("_id")) & (profiles["runId"] == declared["runId"])).select(profiles["runId"], "profileId", "harnessVersion", "versions")
+    return row_checks(joined, F.concat_ws("/", "runId", "profileId"), {"A54 version": F.array_contains("versions", F.col("harnessVersion"))})
+
+
+def unmatched_totals(left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Keys whose totals differ between two tables, or that only one has."""
+    return misaligned(left, right, key, fields)
+
+
+def differences(cases: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Reviewed rounds as pass, eof or other; passed wins over eof.
+
+    cases: key columns, rounds array of structs (roundId, passed, eof).
+    """
+    each = cases.select(*key, F.explode("rounds").alias("r"))
+    return each.select(*key, F.col("r.roundId").alias("roundId"), F.when(F.col("r.passed"), "pass").when(F.col("r.eof"), "eof").otherwise("other").alias("difference"))

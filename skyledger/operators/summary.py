@@ -136,18 +136,18 @@ def retry_chains(rows: DataFrame, chain: Sequence[str], attempt: str, passed: Co
 
 
 def failure_summary(cases: DataFrame, top: int = 10) -> DataFrame:
-    """Per profile histograms of initial and terminal kinds, and the worst recoveries.
+    """Per profile histograms of initial and terminal kinds, and the recoveries that did damage.
 
-    cases: profileId, trialId, kinds (array of difference kinds by round; empty: infrastructure). A recovery is damaging
-    when a round is worse (other-text or file-set) than the first one was.
+    cases: profileId, trialId, kinds (array of difference kinds by round; empty: infrastructure). A recovery does damage
+    when a chain that began with a mere layout difference has another text later. top bounds the list, not the count.
     """
-    initial = F.when(F.size("kinds") == 0, "infrastructure").otherwise(F.element_at("kinds", 1))
-    terminal = F.when(F.size("kinds") == 0, "infrastructure").otherwise(F.element_at("kinds", -1))
-    bad = F.array(F.lit("other-text"), F.lit("file-set"))
-    damaging = (F.size("kinds") > 1) & ~F.array_contains(bad, F.element_at("kinds", 1)) & F.exists(F.slice("kinds", 2, F.lit(2**31 - 1)), lambda k: F.array_contains(bad, k))
-    rows = cases.select("profileId", "trialId", initial.alias("initial"), terminal.alias("terminal"), F.when(F.size("kinds") > 0, damaging).alias("damaging"), F.size("kinds").alias("rounds"))
+    initial = F.when(F.size("kinds") == 0, "infrastructure").otherwise(F.try_element_at("kinds", F.lit(1)))
+    terminal = F.when(F.size("kinds") == 0, "infrastructure").otherwise(F.try_element_at("kinds", F.lit(-1)))
+    later = F.slice("kinds", 2, F.size("kinds"))
+    damaging = initial.isin("eof", "line-breaks", "ascii-layout") & F.array_contains(later, "other-text")
+    rows = cases.select("profileId", "trialId", initial.alias("initial"), terminal.alias("terminal"), damaging.alias("damaging"), F.size("kinds").alias("rounds"))
     count = lambda kind: rows.groupBy("profileId", F.col(kind).alias("k")).agg(F.count("*").alias("n")).groupBy("profileId").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(kind))
-    listed = rows.groupBy("profileId").agg(F.count("*").alias("chains"), F.sum("rounds").alias("rounds"), F.count_if((F.col("initial") != "pass") & (F.col("terminal") == "pass")).alias("recovered"), F.count_if("damaging").alias("damagingCount"), F.slice(F.array_sort(F.collect_list(F.when(F.col("damaging"), F.col("trialId")))), 1, top).alias("damagingTrials"))
+    listed = rows.groupBy("profileId").agg(F.count("*").alias("chains"), F.sum("rounds").alias("rounds"), F.count_if(F.col("terminal") == "pass").alias("recovered"), F.count_if(F.col("terminal") != "pass").alias("exhausted"), F.count_if(F.col("damaging")).alias("damagingCount"), F.slice(F.array_sort(F.collect_list(F.when(F.col("damaging"), F.col("trialId")))), 1, top).alias("damagingTrials"))
     return listed.join(count("initial"), "profileId").join(count("terminal"), "profileId")
 
 

@@ -70,7 +70,7 @@ def run_details(df: DataFrame, payload: Sequence[str]) -> DataFrame:
 
 def badges(groups: DataFrame, name: str, score: str) -> DataFrame:
     """A badge document per family with a plain name."""
-    text = F.when(F.col(score).isNull(), "no complete runs").otherwise(F.concat(F.format_number(100 * F.col(score), "0.0"), F.lit("%")))
+    text = F.when(F.col(score).isNull(), "no complete runs").otherwise(F.concat(F.format_string("%.1f", 100.0 * F.col(score)), F.lit("%")))
     rows = groups.where(F.col(name).rlike(r"\A[a-z0-9][a-z0-9-]*\z"))
     return rows.select(F.concat(F.lit("badges/"), name, F.lit(".json")).alias("path"), canonical_json(F.struct(F.lit(1).alias("schemaVersion"), F.col(name).alias("label"), text.alias("message"), badge_color(F.col(score)).alias("color"))).alias("document"))
 
