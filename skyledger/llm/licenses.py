@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import LOWER, UPPER, WORD_CLASS, row_key, words
 
 K = 2
+SHORT = 12  # words up to which a template must be covered whole
 MAX_GRAMS = 200_000  # of all templates; about 20 MB
 
 
@@ -53,7 +54,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = (*BASE, *NOTI
 
     n_base counts all places where a base template's words stand consecutively; first_word and last_word are the
     smallest and largest start of them, in words from 0. labels adds those of other templates of which a span covers at
-    least coverage. spans lists what counted: label, start, stop (words), covered (share of the template). score is the
+    least coverage (all of it, for templates of up to SHORT words). spans lists what counted: label, start, stop (words), covered (share of the template). score is the
     largest covered share, 0 if there is none. A null or empty text has no words; rows that repeat each get the same
     result; null ids are kept. Columns other than id_col and text_col are ignored. An empty table gives no rows.
     """
@@ -88,7 +89,9 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = (*BASE, *NOTI
     spans = merged.groupBy(*of, "_span").agg(F.array_min(places).alias("start"), (F.array_max(places) + K).alias("stop"), inside.alias("hits"))
     covered = F.size(F.array_union("hits", F.transform("hits", lambda t: t + 1))) / F.col("n")  # K = 2: a gram covers two words
     spans = spans.select("_k1", "_k2", "label", "base", "start", "stop", covered.alias("covered"), "n")
-    spans = spans.where((F.col("covered") >= coverage) & (F.col("stop") - F.col("start") <= 1.5 * F.col("n") + drift))
+    # in a short notice a single word tells one licence from another
+    enough = F.when(F.col("n") <= SHORT, F.lit(1.0)).otherwise(coverage)
+    spans = spans.where((F.col("covered") >= enough) & (F.col("stop") - F.col("start") <= 1.5 * F.col("n") + drift))
 
     found = spans.groupBy("_k1", "_k2").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).cast("long").alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).cast("long").alias("last_word"),

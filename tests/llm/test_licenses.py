@@ -36,12 +36,12 @@ def test_base_places_on_driver_rows(spark):
 def test_edges(spark):
     texts = {
         0: None, 1: "", 2: "CC-BY cc by cc cc by", 3: "All rights reserved. ALL RIGHTS RESERVED! all rights", 4: "gnu general public license " * 3, 5: "éCC by", 6: "x " * 40000 + "all rights reserved",
-        7: NOTICES[1].text.replace("free of charge", "entirely free of any charge").replace("person", "person or body"), 8: "released under some other license", 9: "cc", 10: "all rights all rights reserved reserved",
+        7: NOTICES[1].text.replace("free of charge", "entirely free of any charge").replace("person", "person or body"), 8: "released under some other license", 9: "cc", 10: "all rights all rights reserved reserved", 11: "Licensed under CC BY-NC 4.0.", 12: "licensed under the apache license, version 3.0",
     }
     rows = [(k, t, "clash", 1, 2) for k, t in texts.items()] + [(2, texts[2], "again", 0, 0), (None, "cc by", None, None, None)]
     got = scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == len(rows)
     same([r for r in got if r.doc_id is not None], texts)
     by = {r.doc_id: r for r in got}
-    assert by[None].n_base == 1 and by[7].labels == "mit" and by[8].labels == "" and by[7].spans[0].start == 0
+    assert by[None].n_base == 1 and by[7].labels == "mit" and by[8].labels == "" and by[11].labels == "cc-by,cc-by-nc-4.0" and by[12].labels == "" and by[7].spans[0].start == 0
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
