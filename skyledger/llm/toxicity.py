@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm.common import cut
+
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 CACHED = 400_000
@@ -107,17 +109,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     known = known.groupBy("_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64(F.lit("toxicity"), F.col("_id")), F.col("_id")]
     sample = known.where("y > 0").orderBy(*order).limit(max_rows // 2).unionAll(known.where("y <= 0").orderBy(*order).limit(max_rows // 2)).collect()
-    train = spark.sparkContext.broadcast({r["_id"]: int(r.y > 0) for r in sample})  # at most max_rows ids
     totals = {int(r.y > 0): r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen_ids = spark.createDataFrame([(r["_id"], int(r.y > 0)) for r in sample], f"_id {known.schema['_id'].dataType.simpleString()}, y int")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
+    # one pass over the corpus; at most max_rows ids are broadcast, and their texts are written for the two steps below
+    texts = cut(texts.join(F.broadcast(chosen_ids), "_id").select("y", "_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_class = (Counter(), Counter())
         for batch in batches:
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                if (y := train.value.get(key)) is not None:
-                    words = set(WORDS.findall(batch.column(1)[i].as_py().lower()))
-                    by_class[y].update({f for w in words if len(w) <= 40 for f in word_features(w)})
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = set(WORDS.findall(text.lower()))
+                by_class[y].update({f for w in words if len(w) <= 40 for f in word_features(w)})
         clean, toxic = by_class
         keys = list(clean.keys() | toxic.keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([clean[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())], ["feature", "clean", "toxic"])
@@ -137,13 +140,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         features, voting = chosen.value
         for batch in batches:
             out = []
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                if (y := train.value.get(key)) is not None:
-                    text = batch.column(1)[i].as_py()
-                    words = set(WORDS.findall(text.lower()))
-                    present = {f for w in words for f in word_features(w)}
-                    found = sorted(features[f] for f in present & features.keys())
-                    out.append((y, found, [*pattern_votes(text, words, len(found)), *(1 if f in present else 0 for f in voting)]))
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = set(WORDS.findall(text.lower()))
+                present = {f for w in words for f in word_features(w)}
+                found = sorted(features[f] for f in present & features.keys())
+                out.append((y, found, [*pattern_votes(text, words, len(found)), *(1 if f in present else 0 for f in voting)]))
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], ["y", "features", "votes"])
 
