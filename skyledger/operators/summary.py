@@ -222,3 +222,41 @@ def reopened(events: DataFrame, key: str, seq: str, status: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     closed = F.max(F.col(status) == "closed").over(before)
     return events.withColumn("_c", F.coalesce(closed, F.lit(False))).groupBy(key).agg(F.bool_or(F.col("_c") & (F.col(status) == "open")).alias("reopened"))
+
+
+def normalized_report(evidence: Evidence) -> DataFrame:
+    """Per profile trials, passes, rounds, timeouts, seconds, calls by category, and its configuration's labels.
+
+    The terminal round is the one with the largest number.
+    """
+    measures = scoreboard(trial_measures(evidence.trials, evidence.rounds), ["runId", "profileId"])
+    owner = evidence.rounds.select("runId", "roundId", "trialId").join(evidence.trials.select("runId", "trialId", "profileId"), ["runId", "trialId"])
+    per_round = evidence.tool_calls.groupBy("runId", "roundId", "category").agg(F.count("*").alias("n"))
+    calls = per_round.join(owner, ["runId", "roundId"]).groupBy("runId", "profileId", "category").agg(F.sum("n").alias("n"))
+    histogram = calls.groupBy("runId", "profileId").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
+    out = measures.join(histogram, ["runId", "profileId"], "left")
+    if evidence.configurations is None:
+        return out
+    labels = evidence.configurations.select("configurationHash", F.col("configurationLabels").alias("labels")).dropDuplicates(["configurationHash"])
+    named = evidence.profiles.select("runId", "profileId", "configurationHash").join(labels, "configurationHash", "left").drop("configurationHash")
+    return out.join(named, ["runId", "profileId"], "left")
+
+
+def first_proof(runs: DataFrame, proofs: DataFrame) -> DataFrame:
+    """Each run with its proof of the smallest executionId; without one, an id made of run and attempt."""
+    best = proofs.groupBy("runId").agg(F.min("executionId").alias("_e"))
+    return runs.join(best, "runId", "left").withColumn("executionId", F.coalesce("_e", F.concat(F.lit("official-"), "runId", F.lit("-"), F.coalesce("attempt", F.lit(1)).cast("string")))).drop("_e")
+
+
+def contributors_badge(people: DataFrame) -> DataFrame:
+    """Distinct contributors, and the maintainer."""
+    return people.select("platform", "accountId").distinct().agg((F.count("*") + 1).alias("contributors"))
+
+
+def trials_of_cases(cases: DataFrame, trials: str = "trials") -> DataFrame:
+    """Nested trials of several documents as rows; a (profile, task) pair that repeats fails."""
+    from skyledger.operators.quality import duplicates, require
+
+    rows = cases.select("profileId", F.explode(trials).alias("t")).select("profileId", "t.*")
+    require(duplicates(rows, ["profileId", "taskId"], "S09 trial"))
+    return rows

@@ -480,3 +480,52 @@ def ingestion_outcomes(spark, sf_dir):
     n = lambda m: (F.col("c_custkey") % m).cast("string")
     batch = c.select(F.col("c_nationkey").cast("string").alias("ownerId"), F.concat(F.lit("client-"), n(40)).alias("clientRunId"), F.concat(F.lit("run-"), n(50)).alias("runId"), F.sha2(F.concat("c_mktsegment", n(30)), 256).alias("contentHash"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("submissionId"))
     return STATE.ingest(spark.createDataFrame([], STATE.INDEX), batch).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {TRIALS}, c AS (SELECT t.run_id, t.profile_id, e.event_type AS k, count(*) AS n FROM events e JOIN trials t ON t.o_orderkey = e.event_id AND t.rounds > 0 GROUP BY ALL), h AS (SELECT run_id, profile_id, string_agg(concat(k, '=', CAST(n AS VARCHAR)), ',' ORDER BY k) AS cats FROM c GROUP BY ALL),
+m AS (SELECT run_id, profile_id, count(*) AS trials, CAST(sum(greatest(0, rounds - 1)) AS BIGINT) AS recoveries, CAST(sum(timeouts) AS BIGINT) AS timeouts FROM trials GROUP BY ALL)
+SELECT m.run_id AS "runId", m.profile_id AS "profileId", m.trials AS "trials", m.recoveries AS "recoveries", m.timeouts AS "timeouts", h.cats AS "categories" FROM m LEFT JOIN h ON h.run_id = m.run_id AND h.profile_id = m.profile_id""")
+def normalized_report(spark, sf_dir):
+    e = from_star(spark, sf_dir)
+    e = type(e)(e.runs, e.profiles, e.trials, e.rounds, e.tool_calls.withColumn("category", F.col("tool")))
+    rows = S.normalized_report(e)
+    text = F.array_join(F.transform(F.map_entries("categories"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return rows.select("runId", "profileId", "trials", "recoveries", "timeouts", text.alias("categories"))
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS d, ts, event_id, event_type FROM events), w AS (SELECT *, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, d ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT concat(CAST(user_id AS VARCHAR), '/', CAST(d AS VARCHAR)) AS "k", bool_or(coalesce(before, 0) = 1 AND event_type = 'view') AS "reopened" FROM w GROUP BY ALL""")
+def reopened_sequences(spark, sf_dir):
+    """A view after an error."""
+    status = identity.literal_map({"error": "closed", "view": "open"}, F.col("event_type"), F.lit("other"))
+    rows = read(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.to_date("ts").cast("string")).alias("k"), F.struct("ts", "event_id").alias("seq"), status.alias("status"))
+    return S.reopened(rows, "k", "seq", "status")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT 'V20 aligned' AS "rule", CAST(coalesce(a.k, b.k) AS VARCHAR) AS "key", CASE WHEN a.k IS NULL THEN 'only right' WHEN b.k IS NULL THEN 'only left' ELSE 'differs' END AS "message" FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v""")
+def aligned_sets(spark, sf_dir):
+    """J19, J22, V19, V20."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    right = o.where("k % 5 <> 0").withColumn("v", F.when(F.col("k") % 7 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    return Q.misaligned(o.where("k % 3 <> 0"), right, ["k"], ["v"])
+
+
+@query("""WITH t AS (SELECT event_type AS label, user_id FROM events WHERE event_type <> 'view' UNION ALL SELECT 'any', user_id FROM events) SELECT label AS "label", count(*) AS "calls", count(DISTINCT user_id) AS "chains" FROM t GROUP BY label""")
+def label_counts(spark, sf_dir):
+    """Overlapping labels of events, with distinct chains."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.array_compact(F.array(F.lit("any"), F.when(F.col("event_type") != "view", F.col("event_type")))).alias("labels"))
+    return S.label_counts(rows, "labels", "chain", [])
+
+
+@query(f"""WITH {TRIALS}, {EXACT} SELECT c_mktsegment AS "harnessFamily", '1' AS "harnessVersion", round(quantile_cont(score, 0.5) FILTER (complete), 9) AS "score", count(*) AS "configurationCount" FROM exact GROUP BY c_mktsegment""")
+def latest_harness(spark, sf_dir):
+    """A25."""
+    return FA.latest_harness_groups(exact(spark, sf_dir)).select("harnessFamily", "harnessVersion", r("score").alias("score"), "configurationCount")
+
+
+@query("""SELECT l_returnflag AS "flag", count(*) AS "rounds", CAST(sum(CASE WHEN l_tax < 0.08e0 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS "tokens" FROM lineitem GROUP BY l_returnflag""")
+def usage_with_zeros(spark, sf_dir):
+    """Missing values count as 0 here."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.when(F.col("l_tax") < 0.08, F.col("l_quantity").cast("long")).alias("tokens"))
+    return rows.groupBy("flag").agg(F.count("*").alias("rounds"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
