@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skyledger.evidence import Evidence
 from skyledger.functions.identity import canonical_json
@@ -156,24 +156,20 @@ def patch_lines(lines: DataFrame, key: str = "response", seq: str = "seq", line:
     return lines.select(key, seq, line).groupBy(key).applyInPandas(run, lines.select(key, seq, line).schema)
 
 
-class PatchLines(StatefulProcessor):
-    """T09 on streams: keeps a response's output items in state until its final event."""
+def patch_stream(lines: DataFrame) -> DataFrame:
+    """T09 on streams (response, seq, line): output items are kept in state until their response's final event."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", "i int", "item string")
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        out = []
+        for line in rows.line:
+            out.append(patch_final([*held, line])[-1])
+            if '"response.output_item.done"' in line:
+                held.append(line)
+            elif '"response.completed"' in line:
+                held = []
+        state.update((json.dumps(held),))
+        yield pd.DataFrame({"response": [key[0]] * len(out), "seq": rows.seq.to_numpy(), "line": out})
 
-    def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        for pdf in rows:
-            out = []
-            for line in pdf.sort_values("seq", kind="stable").line:
-                event = json.loads(line[5:]) if line.startswith("data:") and line[5:].strip().startswith("{") else {}
-                if event.get("type") == "response.output_item.done":
-                    self.items.updateValue((int(event.get("output_index", 0)),), (json.dumps(event.get("item")),))
-                held = [f'data:{{"type":"response.output_item.done","output_index":{k[0]},"item":{v[0]}}}' for k, v in self.items.iterator()] if event.get("type") == "response.completed" else []
-                out.append(patch_final([*held, line])[-1])
-                if held:
-                    self.items.clear()
-            yield pd.DataFrame({"response": [key[0]] * len(out), "line": out})
-
-    def close(self) -> None:
-        pass
+    return lines.groupBy("response").applyInPandasWithState(run, "response string, seq long, line string", "held string", "append", GroupStateTimeout.NoTimeout)

@@ -152,3 +152,37 @@ def test_ingestion_and_streams(spark, tmp_path):
     out = STATE.patch_lines(spark.createDataFrame([("r", i, x) for i, x in enumerate(lines)], "response string, seq int, line string")).orderBy("seq").collect()
     assert out[3].line.endswith('"output":[{"a":1},{"b":2}]}}') and out[2].line == "event: x"
     assert STATE.windowed_counts(spark.createDataFrame([("2024-01-01 00:10:00", 1)], "t string, k int").withColumn("t", F.to_timestamp("t")), "t", ["k"]).collect()[0].n == 1
+
+
+def test_patched_stream_and_store(spark, tmp_path):
+    incoming = tmp_path / "lines"
+    incoming.mkdir()
+    item = 'data: {"type":"response.output_item.done","output_index":0,"item":{"a":1}}'
+    for n, line in enumerate([item, "event: ping", 'data: {"type":"response.completed","response":{"output":[]}}']):
+        (incoming / f"{n}.json").write_text(json.dumps({"response": "r", "seq": n, "line": line}) + "\n")
+    stream = spark.readStream.schema("response string, seq long, line string").option("maxFilesPerTrigger", 1).json(str(incoming))
+    query = STATE.patch_stream(stream).writeStream.format("memory").queryName("patched").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = [r.line for r in spark.table("patched").orderBy("seq").collect()]
+    assert got[0] == item and got[2].endswith('"output":[{"a":1}]}}')
+    for run in ("run-1", "run-2"):
+        folder = tmp_path / "store" / "accepted" / run
+        folder.mkdir(parents=True)
+        for name, ddl in schema.TABLES.items():
+            row = {c: None for c in schema.columns(ddl) if c != "runId"}
+            (folder / f"{name}.jsonl").write_text(json.dumps(row | ({"trialId": "t"} if name == "trials" else {})) + "\n")
+    e = R.store(spark, str(tmp_path / "store"))
+    assert sorted(r.runId for r in e.trials.collect()) == ["run-1", "run-2"] and e.rounds.count() == 2
+
+
+def test_evidence_violations(spark):
+    from tests.unit.test_leaderboard import evidence, round_, trial
+
+    good = {"exactPassed": True, "normalizedPassed": True, "difference": "pass", "toolCallsObserved": True, "toolCallCount": 0}
+    fine = evidence(spark, trials=[trial("t", "unique-10-plain", 1, True, True)], rounds=[round_("t", 0, **good)])
+    assert Q.validate(fine).collect() == [] and Q.declared_tasks(fine.trials, fine.runs).collect() == [] and Q.smoke_gate(fine.trials, fine.profiles).collect() == []
+    bad = evidence(spark, trials=[trial("t", "other", 2, False, True), trial("t", "other", 2, True, True, profileId="gone")], rounds=[round_("t", 1, **good), round_("x", 0, **(good | {"difference": "odd", "toolCallCount": 3}))], calls=[{"runId": "run-a", "roundId": "t/1", "ordinal": 2, "tool": "x", "category": "none"}])
+    rules = {r.rule for r in Q.validate(bad).collect()}
+    assert rules >= {"V09 trials", "V07 trials", "V07 rounds", "V08 rounds", "V08 first", "V10 count", "O02 contiguous", "V04 difference", "V04 category"}
+    assert {r.rule for r in Q.declared_tasks(bad.trials, bad.runs).collect()} == {"V14 task"} and Q.manifest_counts(bad).collect()[0].toolCalls == 1
+    assert {r.rule for r in Q.harness_versions(bad.runs, bad.profiles).collect()} == set()
