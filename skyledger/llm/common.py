@@ -40,10 +40,9 @@ def row_key(*cols: Column) -> list[Column]:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder (spark.checkpoint.dir)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        current = sc._jsc.sc().getCheckpointDir()
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:  # unset, as in tests on one machine
         base = "/tmp/checkpoints"
