@@ -87,51 +87,78 @@ def log_table(top: pd.DataFrame, langs: tuple[str, ...], totals: dict[str, int])
 
 
 class Scorer(dict):
-    """Row numbers of words' score vectors, filled as words come up; bounded."""
+    """Row numbers of words' score vectors. New words get a number at once and their vectors together, in settle()."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.n = model, 0
-        self.rows = np.zeros((1024, len(model.langs)))
-
-    def vector(self, word: str) -> np.ndarray:
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
-        w, total, grams = f"^{word}$", np.zeros(len(self.model.langs)), self.model.grams
-        for i in range(len(w)):
-            for n in range(min(LONGEST, len(w) - i), 0, -1):
-                g = grams.get(w[i : i + n])
-                if g is not None:
-                    total = total + g * (n / LONGEST)
-                    break
-        total = total - total.max()
-        return np.maximum(total / max(1.0, len(w) / 4), -6.0)
+        self.langs = model.langs
+        table = lambda known: ({k: i for i, k in enumerate(known)}, np.stack([*known.values()]) if known else np.zeros((0, len(model.langs))))
+        (self.words, self.word_rows), (self.grams, self.gram_rows) = table(model.words), table(model.grams)
+        self.rows, self.n, self.new = np.zeros((1024, len(model.langs))), 0, []
 
     def __missing__(self, word: str) -> int:
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n] = self.vector(word)
+        self.new.append(word)
         self[word] = self.n
         self.n += 1
         return self.n - 1
 
+    def settle(self) -> None:
+        if not self.new:
+            return
+        while self.n > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        first, grams = self.n - len(self.new), self.grams.get
+        known, owner, found, weight, lengths = [], [], [], [], np.ones(len(self.new))
+        for i, word in enumerate(self.new):
+            at = self.words.get(word)
+            if at is not None:
+                known.append((i, at))
+                continue
+            w = f"^{word}$"
+            lengths[i] = max(1.0, len(w) / 4)
+            for j in range(len(w)):
+                for n in range(min(LONGEST, len(w) - j), 0, -1):
+                    g = grams(w[j : j + n])
+                    if g is not None:
+                        owner.append(i)
+                        found.append(g)
+                        weight.append(n / LONGEST)
+                        break
+        total = np.zeros((len(self.new), len(self.langs)))
+        if owner:
+            each = self.gram_rows[found] * np.asarray(weight)[:, None]
+            for x in range(len(self.langs)):
+                total[:, x] = np.bincount(owner, each[:, x], len(self.new))
+        total -= total.max(1, keepdims=True)
+        total = np.maximum(total / lengths[:, None], -6.0)
+        if known:
+            places, rows = np.array(known).T
+            total[places] = self.word_rows[rows]
+        self.rows[first : self.n] = total
+        self.new.clear()
+
+    def vector(self, word: str) -> np.ndarray:
+        at = self[word]
+        self.settle()
+        return self.rows[at]
+
     def score(self, text: str | None) -> tuple[str, float]:
         found = WORDS.findall(text.lower()) if text else []
-        if not any(w.isalpha() for w in found) or not self.model.langs:
+        if not any(w.isalpha() for w in found) or not self.langs:
             return "und", 0.0
         if self.n > CACHED:
             self.clear()
             self.n = 0
-        total = np.zeros(len(self.model.langs))
+        total = np.zeros(len(self.langs))
         for at in range(0, len(found), 100_000):
             part = found[at : at + 100_000]
             rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            self.settle()
             total += self.rows[rows].sum(0)
         total = total / np.sqrt(len(found))
         chances = np.exp(total - total.max())
         best = int(chances.argmax())  # ties: the first by name
-        return self.model.langs[best], float(chances[best] / chances.sum())
+        return self.langs[best], float(chances[best] / chances.sum())
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
