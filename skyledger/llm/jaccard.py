@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import cut, row_key, slices
+from skyledger.llm.common import cut, row_key, slices, tidy
 
 BUCKETS = 1 << 16
 SHORT_LIST, CHUNK, HOT_LIST = 128, 512, 20_000
@@ -40,7 +40,7 @@ SIZE_BITS = (1 << 24) - 1  # node.d2 holds 32 bits of hash, 24 of size (clipped)
 
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -164,7 +164,7 @@ def screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     named = lambda of: sketches.select(F.col("node").alias(of), F.col("sketch").alias(f"{of}_sketch"))
     joined = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_sketch", "b_sketch", (set_size(F.col("a")) + set_size(F.col("b"))).alias("n"))
-    return joined.mapInArrow(run, pairs.select("a", "b").schema)
+    return joined.mapInArrow(tidy(run), pairs.select("a", "b").schema)
 
 
 def set_size(node: Column) -> Column:
@@ -199,9 +199,9 @@ def verify(pairs: DataFrame, rows: DataFrame, owners: DataFrame, n: int, percent
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     texts = rows.where("text is not null").join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = cut(texts.mapInArrow(build, "d1 long, d2 long, tokens binary").select(F.struct("d1", "d2").alias("node"), "tokens"))
+    sets = cut(texts.mapInArrow(tidy(build), "d1 long, d2 long, tokens binary").select(F.struct("d1", "d2").alias("node"), "tokens"))
     named = lambda of: sets.select(F.col("node").alias(of), F.col("tokens").alias(f"{of}_tokens"))
-    return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, pairs.select("a", "b").schema).distinct()
+    return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(tidy(run), pairs.select("a", "b").schema).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), id_type), pa.array(counts[at]), pa.array(at), *[pa.array(np.zeros(len(at), np.int64))] * 3, pa.nulls(len(at), pa.binary())], names)
 
-    surveyed = cut(rows.select("id", "text", *row_key(F.col("id"), F.col("text"))).mapInArrow(survey, f"part int, id {kind}, n long, d1 long, d2 long, _k1 long, _k2 long, sketch binary"))
+    surveyed = cut(rows.select("id", "text", *row_key(F.col("id"), F.col("text"))).mapInArrow(tidy(survey), f"part int, id {kind}, n long, d1 long, d2 long, _k1 long, _k2 long, sketch binary"))
     members = surveyed.where("part = 0").select("id", "n", F.struct("d1", "d2").alias("node"), "_k1", "_k2", "sketch")
     counts = np.zeros(BUCKETS, np.int64)
     for r in surveyed.where("part = 1").groupBy("d1").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
@@ -278,7 +278,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     seconds.append(np.full(len(found), node[1] | typical))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (salts, firsts, seconds))], ["sig", "salt", "d1", "d2"])
 
-    post = rows.where("text is not null").select("text").mapInArrow(sign, "sig long, salt int, d1 long, d2 long")
+    post = rows.where("text is not null").select("text").mapInArrow(tidy(sign), "sig long, salt int, d1 long, d2 long")
     bare = lambda c: F.struct(c["d1"].alias("d1"), c["d2"].bitwiseAND(F.lit(~255)).alias("d2"))
     ranked = F.struct(F.col("d2").bitwiseAND(F.lit(255)).alias("typical"), "d1", "d2")
     whole = Window.partitionBy("sig", "salt")

@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm.common import tidy
+
 WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
-CACHED = 300_000
+CACHED = 150_000
 
 
 class LanguageModel(NamedTuple):
@@ -66,7 +68,7 @@ def fit_language_model(docs: DataFrame, *, text_col: str = "text", lang_col: str
                 keys = [k for k in counts if len(k) <= 64]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([kind] * len(keys)), pa.array(keys), pa.array([counts[k] for k in keys], pa.int64())], ["lang", "kind", "key", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, kind string, key string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "lang string, kind string, key string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
     totals = {(r.kind, r.lang): r.n for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = tuple(sorted({lang for _, lang in totals}))
     tables = []
@@ -179,4 +181,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*keep, "lang_pred", "score"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:width])
-    return picked.mapInArrow(run, f"{fields}lang_pred string, score double")
+    return picked.mapInArrow(tidy(run), f"{fields}lang_pred string, score double")

@@ -21,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import slices
+from skyledger.llm.common import slices, tidy
 
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 150_000
 POOL = 192
 
 
@@ -248,4 +248,4 @@ def pack_examples(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
 
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * with_ids
     prompt = F.col(prompt_col) if prompt_col else F.lit(None).cast("string")
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text"), prompt.alias("_prompt")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text"), prompt.alias("_prompt")).mapInArrow(tidy(run), schema)

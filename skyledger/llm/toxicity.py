@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import cut
+from skyledger.llm.common import cut, tidy
 
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
-CACHED = 400_000
+CACHED = 150_000
 #: A small seed lexicon of insults.
 SEED = frozenset("idiot idiots moron morons loser losers scum trash stupid pathetic worthless disgusting clown clowns garbage dumb vermin hate kill".split())
 
@@ -126,7 +126,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([clean[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())], ["feature", "clean", "toxic"])
 
     n = [sum(1 for r in sample if (r.y > 0) == c) for c in (False, True)]
-    counts = texts.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = texts.mapInArrow(tidy(count), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     gain = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
     rare = max(3, n[1] // 1000)
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))  # of gain
@@ -148,7 +148,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], ["y", "features", "votes"])
 
-    rows = texts.mapInArrow(describe, "y int, features array<int>, votes array<int>").collect()
+    rows = texts.mapInArrow(tidy(describe), "y int, features array<int>, votes array<int>").collect()
     rows.sort(key=lambda r: (r.y, r.features, r.votes))
     y = np.array([r.y for r in rows], float)
     votes = np.array([r.votes for r in rows], float).reshape(len(rows), len(PATTERNS) + len(voting))
@@ -207,4 +207,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(scores), pa.array((scores >= threshold).astype("int32"))], [*keep, "score", "predicted"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:width])
-    return picked.mapInArrow(run, f"{fields}score double, predicted int")
+    return picked.mapInArrow(tidy(run), f"{fields}score double, predicted int")
