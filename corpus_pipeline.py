@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import crc_bucket, cut, row_key, table
+from skyledger.llm.common import crc_bucket, cut, row_key, small_batches, table
 from skyledger.llm.decontaminate import decontaminate
 from skyledger.llm.jaccard import jaccard_components
 from skyledger.llm.langid import fit_language_model, predict_language
@@ -38,6 +38,7 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the threshold stay. The model is fitted on docs and the labels outside the held-out fold."""
+    small_batches(spark)
     renamed, names, text = carried(docs)
     scored = score_toxicity(renamed, toxicity_model(docs, spark, sf_dir), text_col=text, keep=names)
     return scored.where("predicted = 0").select(*names).toDF(*docs.columns)
@@ -45,6 +46,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay whose text is in a language that the model knows: not ``und``, nor an even tie of all languages."""
+    small_batches(spark)
     model = fit_language_model(docs.where(crc_bucket(F.col("doc_id"), 5) != 0))
     renamed, names, text = carried(docs)
     predicted = predict_language(renamed, model, text_col=text, keep=names)
@@ -54,6 +56,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: the smallest id's, of rows that repeat the first; rows without words all stay."""
+    small_batches(spark)
     found = cut(jaccard_components(docs, n=4, percent=85, with_keys=True))
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
     firsts = cut(found.where("_label is not null").groupBy("_label").agg(F.min(key).alias("first")))
@@ -68,11 +71,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item stay."""
+    small_batches(spark)
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), with_keys=True)
     return without(docs, cut(found.where("contaminated").select("_k1", "_k2").distinct()))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack_examples(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, max_segments=64)
 
 
