@@ -55,9 +55,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: the smallest id's, of rows that repeat the first; rows without words all stay."""
+    """One row of each component stays: the smallest id's, of rows that repeat the first; rows without words all stay.
+
+    Texts link at a similarity of 0.8 over five-word shingles, the default of such stages; op9's query has its own.
+    """
     small_batches(spark)
-    found = cut(jaccard_components(docs, n=4, percent=85, with_keys=True))
+    found = cut(jaccard_components(docs, n=5, percent=80, with_keys=True))
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
     firsts = cut(found.where("_label is not null").groupBy("_label").agg(F.min(key).alias("first")))
     losers = found.join(firsts, "_label").where((F.col("_k1") != F.col("first._k1")) | (F.col("_k2") != F.col("first._k2"))).select("_k1", "_k2").distinct()

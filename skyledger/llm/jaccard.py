@@ -33,7 +33,6 @@ from skyledger.llm.common import cut, row_key, slices, tidy
 BUCKETS = 1 << 16
 SHORT_LIST, CHUNK, HOT_LIST = 128, 512, 20_000
 BROADCAST_IDS = 500_000
-LEAST = 6  # smaller sets link with equal ones only, at thresholds of 5/6 and more
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SIZE_BITS = (1 << 24) - 1  # node.d2 holds 32 bits of hash, 24 of size (clipped), 8 free
 
@@ -84,6 +83,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def least_size(percent: int) -> int:
+    """Smaller sets link with equal ones only: k tokens of k + 1 are too few below this k."""
+    return -(-percent // max(1, 100 - percent))
+
+
 def brackets(percent: int, largest: int = SIZE_BITS + 2) -> np.ndarray:
     """Lower ends of size brackets such that linked sets lie in the same or in neighbouring ones."""
     ends = [1, 2]
@@ -221,19 +225,19 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, with_keys: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
 
-    Two documents link when 100 * |A & B| >= percent * |A | B| (percent from 84 to 100). Null, empty and blank texts
+    Two documents link when 100 * |A & B| >= percent * |A | B| (percent from 80 to 100). Null, empty and blank texts
     have no shingles and link with nothing, so their component is their own id. Rows that repeat are documents of
     their own that link; rows that share an id but not a text are told apart by their text. A row with a null id has a
     null component if it links with nothing else, and doesn't lend its id. Columns other than id_col and text_col are
     ignored. An empty table gives no rows. Whole texts are read; no list, group or set is cut short. with_keys adds
     _k1 and _k2, the hashes by which common.row_key tells rows apart, and _label, the component (null without shingles).
     """
-    if not 84 <= percent <= 100:
-        raise ValueError("percent must be from 84 to 100")
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be from 80 to 100")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ends = brackets(percent)
+    ends, least = brackets(percent), least_size(percent)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Nodes of rows (part 0), and how often each bucket occurs (part 1: n times, bucket d1)."""
@@ -265,7 +269,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for s in slices(batch.num_rows, 256):
                 sigs, salts, firsts, seconds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for tokens in token_sets(batch.column(0).slice(s.start, s.stop - s.start).to_pylist(), n, known):
-                    if len(tokens) < LEAST or (node := node_of(tokens)) in seen:
+                    if len(tokens) < least or (node := node_of(tokens)) in seen:
                         continue
                     if len(seen) >= 100_000:
                         seen.clear()

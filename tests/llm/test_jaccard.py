@@ -106,3 +106,30 @@ def test_sketches_never_rule_out_a_link():
         assert ok or not J.enough(a, b, 85)
         ruled += not ok
     assert ruled > 300 and len(J.sketch(a[:0])) == 32
+
+
+def test_five_words_at_eighty_percent(spark):
+    """Sets of 4 and 5 link at 80, and so does a pair between 0.80 and 0.85; each size's signatures meet."""
+    ws = [f"w{i}" for i in range(60)]
+    changed = [*ws[:30], "other", *ws[31:]]  # 51 shared of 61 five-word shingles: 0.836
+    two = [*[f"v{i}" for i in range(94)]]
+    other = [*two[:30], "y", *two[31:60], "z", *two[61:]]  # 80 of 100: exactly 0.8
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, " ".join(ws)), (4, " ".join(changed)), (5, " ".join(two)), (6, " ".join(other)), (7, "a b c d e f g x")]
+    df = spark.createDataFrame([(k, t, "", 1, 2) for k, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(df, n=5, percent=80).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
+    assert [J.least_size(p) for p in (80, 84, 85, 90)] == [4, 6, 6, 9]
+    rng, ends = np.random.default_rng(6), J.brackets(80)
+    met = 0
+    for _ in range(1500):
+        counts = np.where(rng.random(J.BUCKETS) < rng.choice([0.0, 0.5, 0.9, 1.0]), 1000, rng.integers(1, 9, J.BUCKETS))
+        n = int(rng.integers(4, 90))
+        pool = np.unique(rng.integers(0, 2**63, 4 * n).astype(np.uint64))
+        rng.shuffle(pool)
+        drop = int(rng.integers(0, n // 5 + 1))
+        a, b = np.sort(pool[:n]), np.sort(pool[drop : n + int(rng.integers(0, n // 4 + 2))])
+        if J.enough(a, b, 80) and min(len(a), len(b)) >= J.least_size(80):
+            met += 1
+            assert np.intersect1d(J.signatures(a, counts, 100, 80, ends)[0], J.signatures(b, counts, 100, 80, ends)[0]).size
+            assert J.may_link(J.sketch(a), J.sketch(b), len(a) + len(b), 80)
+    assert met > 300

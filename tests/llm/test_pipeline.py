@@ -59,3 +59,10 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is P.run and {f"op{i}_" for i in range(1, 11)} == {n.split("_")[0] + "_" for n in QUERIES}
+
+
+def test_near_duplicates_of_five_words_at_eighty_percent(spark):
+    two = [f"v{i}" for i in range(94)]
+    rows = [(1, two), (2, [*two[:30], "y", *two[31:60], "z", *two[61:]]), (3, [f"w{i}" for i in range(94)])]  # 80 of 100 shared; of four-word shingles 83 of 99
+    df = spark.createDataFrame([(k, " ".join(w), "en", "s", 1, 7, "p", "k") for k, w in rows], SCHEMA)
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, df, SF).collect()) == [1, 3]
