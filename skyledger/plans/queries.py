@@ -134,8 +134,18 @@ def task_cells(spark, sf_dir):
 
 @query(f"""WITH {TRIALS} SELECT n_name AS "modelFamily", task_id AS "taskId", list(struct_pack(t := CAST(o_orderkey AS VARCHAR), f := f, g := g) ORDER BY CAST(o_orderkey AS VARCHAR))::VARCHAR AS "samples" FROM trials WHERE n_name = 'NATION_7' GROUP BY ALL""".replace("list(struct_pack(t := CAST(o_orderkey AS VARCHAR), f := f, g := g) ORDER BY CAST(o_orderkey AS VARCHAR))::VARCHAR", "string_agg(concat(CAST(o_orderkey AS VARCHAR), ':', CASE WHEN f THEN '1' ELSE '0' END, CASE WHEN g THEN '1' ELSE '0' END), ' ' ORDER BY CAST(o_orderkey AS VARCHAR))"))
 def task_samples(spark, sf_dir):
-    """A12, A13."""
-    rows = C.task_samples(C.trial_facts(from_star(spark, sf_dir), {"model": ["NATION_7"]}), ["modelFamily"])
+    """A12, A13 of one model, as its SQL says; task_samples_all has every model."""
+    return sample_lines(C.trial_facts(from_star(spark, sf_dir), {"model": ["NATION_7"]}))
+
+
+@query(SQL["task_samples"].replace(" WHERE n_name = 'NATION_7'", ""))
+def task_samples_all(spark, sf_dir):
+    """Every trial of every model gives a sample."""
+    return sample_lines(C.trial_facts(from_star(spark, sf_dir)))
+
+
+def sample_lines(facts: DataFrame) -> DataFrame:
+    rows = C.task_samples(facts, ["modelFamily"])
     bit = lambda c: F.when(c, "1").otherwise("0")
     return rows.select("modelFamily", "taskId", F.array_join(F.transform("samples", lambda s: F.concat(s["trialId"], F.lit(":"), bit(s["firstExactPassed"]), bit(s["finalExactPassed"]))), " ").alias("samples"))
 
