@@ -16,10 +16,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import tidy
+from skyledger.llm.common import cut, tidy
 
 WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -32,12 +32,47 @@ class LanguageModel(NamedTuple):
     grams: dict[str, np.ndarray]
 
 
-def bounded_sample(df: DataFrame, max_rows: int, *key: Column) -> DataFrame:
-    """About max_rows rows, chosen by a hash of key; all if there are no more. The choice is the same on every run."""
-    n = df.count()
-    if n <= max_rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+def quotas(counts: dict[str, int], max_rows: int) -> dict[str, int]:
+    """How many rows of each language: all of the rare ones, equal parts of the rest for the others, never none."""
+    out, left = {}, max_rows
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
+def stratified_sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """The (lang, text) rows of a sample: quotas() of each language, equal texts once, the same on every run.
+
+    Hashes of texts are shuffled, not texts; texts move only if they are in the sample, once per task at most.
+    """
+    spark = rows.sparkSession
+    hashed = rows.select("lang", "text", F.xxhash64(F.lit("sample"), "lang", "text").alias("h"))
+    known = cut(hashed.select("lang", "h").distinct())
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = quotas(counts, max_rows)
+    # the lowest hashes win; twice as many as needed and some more are looked at, which is never too few
+    bounds = spark.createDataFrame([(lang, min(1 << 30, int((1 << 30) * (2 * q + 100) / counts[lang]) + 1)) for lang, q in most.items()], "lang string, bound long")
+    place = F.pmod("h", F.lit(1 << 30))
+    low = known.join(F.broadcast(bounds), "lang").where(place < F.col("bound")).select("lang", "h", place.alias("place")).collect()
+    chosen: dict[str, list[int]] = {}
+    for r in sorted(low, key=lambda r: (r.place, r.h)):
+        if len(some := chosen.setdefault(r.lang, [])) < most[r.lang]:
+            some.append(r.h)
+    ids = spark.createDataFrame([(lang, h) for lang, some in chosen.items() for h in some], "lang string, h long")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            keep = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                keep.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    texts = hashed.join(F.broadcast(ids), ["lang", "h"], "left_semi").select("lang", "text", "h")
+    # written, as several counts are made of it
+    return cut(texts.mapInArrow(tidy(once), "lang string, text string, h long").dropDuplicates(["lang", "h"]).select("lang", "text"))
 
 
 def word_grams(word: str) -> list[str]:
@@ -47,12 +82,13 @@ def word_grams(word: str) -> list[str]:
 
 
 def fit_language_model(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_rows: int = 8_000, max_words: int = 60_000, max_grams: int = 60_000) -> LanguageModel:
-    """Fit on rows with text and language; about max_rows rows, max_words words and max_grams n-grams at most.
+    """Fit on rows with text and language; max_rows rows, max_words words and max_grams n-grams at most.
 
+    The rows are dealt over the languages, all of a rare one and equal parts of the others, and equal texts count once.
     Counts are made by the executors; only the most frequent words and grams, within the bounds, reach the driver.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    rows = bounded_sample(rows, max_rows, F.col("lang"), F.col("text"))
+    rows = stratified_sample(rows, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from skyledger.llm.langid import Scorer, fit_language_model, predict_language, word_grams
+from skyledger.llm.langid import Scorer, fit_language_model, predict_language, quotas, stratified_sample, word_grams
 from skyledger.llm.queries import QUERIES
 from skyledger.llm.toxicity import SEED, fit_toxicity, label_model, score_toxicity
 
@@ -62,3 +62,15 @@ def test_held_out_accuracy(spark, name, column, label, least):
     truth = spark.read.parquet(f"{SF}/{'documents' if label == 'lang' else 'labels'}.parquet").select("doc_id", label)
     rows = got.join(truth, "doc_id").collect()
     assert rows and np.mean([r[column] == r[label] for r in rows]) >= least
+
+
+def test_sample_keeps_rare_languages_and_counts_copies_once(spark):
+    rows = [(i, f"the cat number w{chr(97 + i % 26)}{chr(97 + i // 26)} sat", "en", 0, 0) for i in range(500)]
+    rows += [(1000 + i, "one text that was copied", "en", 0, 0) for i in range(300)] + [(2000 + i, f"der hund {x}", "de", 0, 0) for i, x in enumerate(("lief", "sprang", "kam"))]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = [tuple(r) for r in stratified_sample(docs.select("lang", "text"), 40).collect()]
+    assert len(got) == len(set(got)) == 40 and sum(lang == "de" for lang, _ in got) == 3
+    assert sorted(got) == sorted(tuple(r) for r in stratified_sample(docs.select("lang", "text").repartition(3), 40).collect())
+    assert stratified_sample(docs.select("lang", "text"), 5000).count() == 504
+    assert fit_language_model(docs, max_rows=40).langs == ("de", "en")
+    assert quotas({"a": 1, "b": 100, "c": 100}, 21) == {"a": 1, "b": 10, "c": 10} and quotas({"a": 5, "b": 5}, 1) == {"a": 1, "b": 1}
