@@ -133,6 +133,7 @@ class Scorer(dict):
         table = lambda known: ({k: i for i, k in enumerate(known)}, np.stack([*known.values()]) if known else np.zeros((0, len(model.langs))))
         (self.words, self.word_rows), (self.grams, self.gram_rows) = table(model.words), table(model.grams)
         self.rows, self.n, self.new = np.zeros((1024, len(model.langs))), 0, []
+        self.familiar = np.zeros(1024)  # 1 for known words, the known share of their n-grams for others
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
@@ -145,8 +146,9 @@ class Scorer(dict):
             return
         while self.n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.familiar = np.concatenate([self.familiar, np.zeros_like(self.familiar)])
         first, grams = self.n - len(self.new), self.grams.get
-        known, owner, found, weight, lengths = [], [], [], [], np.ones(len(self.new))
+        known, owner, found, weight, lengths, most = [], [], [], [], np.ones(len(self.new)), np.ones(len(self.new))
         for i, word in enumerate(self.new):
             at = self.words.get(word)
             if at is not None:
@@ -154,6 +156,7 @@ class Scorer(dict):
                 continue
             w = f"^{word}$"
             lengths[i] = max(1.0, len(w) / 4)
+            most[i] = sum(min(LONGEST, len(w) - j) - 1 for j in range(len(w))) / LONGEST
             for j in range(len(w)):
                 for n in range(min(LONGEST, len(w) - j), 0, -1):
                     g = grams(w[j : j + n])
@@ -162,8 +165,9 @@ class Scorer(dict):
                         found.append(g)
                         weight.append(n / LONGEST)
                         break
-        total = np.zeros((len(self.new), len(self.langs)))
+        total, familiar = np.zeros((len(self.new), len(self.langs))), np.zeros(len(self.new))
         if owner:
+            familiar = np.bincount(owner, np.asarray(weight) - 1 / LONGEST, len(self.new)) / most
             each = self.gram_rows[found] * np.asarray(weight)[:, None]
             for x in range(len(self.langs)):
                 total[:, x] = np.bincount(owner, each[:, x], len(self.new))
@@ -172,7 +176,9 @@ class Scorer(dict):
         if known:
             places, rows = np.array(known).T
             total[places] = self.word_rows[rows]
+            familiar[places] = 1.0
         self.rows[first : self.n] = total
+        self.familiar[first : self.n] = familiar
         self.new.clear()
 
     def vector(self, word: str) -> np.ndarray:
@@ -180,41 +186,46 @@ class Scorer(dict):
         self.settle()
         return self.rows[at]
 
-    def score(self, text: str | None) -> tuple[str, float]:
+    def score(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share, and how much of the text is familiar: the mean over its words."""
         found = WORDS.findall(text.lower()) if text else []
         if not any(w.isalpha() for w in found) or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         if self.n > CACHED:
             self.clear()
             self.n = 0
-        total = np.zeros(len(self.langs))
+        total, familiar = np.zeros(len(self.langs)), 0.0
         for at in range(0, len(found), 100_000):
             part = found[at : at + 100_000]
             rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
             self.settle()
             total += self.rows[rows].sum(0)
+            familiar += float(self.familiar[rows].sum())
         total = total / np.sqrt(len(found))
         chances = np.exp(total - total.max())
         best = int(chances.argmax())  # ties: the first by name
-        return self.langs[best], float(chances[best] / chances.sum())
+        return self.langs[best], float(chances[best] / chances.sum()), familiar / len(found)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_familiar: bool = False) -> DataFrame:
     """Add lang_pred and score to the columns in keep.
 
     The whole text is read. Null texts and texts without letters are ``und`` with score 0, as is everything if the
     model was fitted on no rows. Ties go to the language whose name sorts first. Rows that repeat, and null ids, are
     scored like any other; columns outside keep are ignored, whatever their names. An empty table gives no rows.
+    with_familiar adds familiar, from 0 to 1: the mean over the text's words, 1 for a word of the model, for others the
+    share of their n-grams of two and more characters that the model knows.
     """
     picked = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]))
     width, at = len(keep), keep.index(text_col) if text_col in keep else len(keep)
+    added = ["lang_pred", "score"] + ["familiar"] * with_familiar
     model_bc = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model_bc.value)
         for batch in batches:
             found = [scorer.score(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([x[0] for x in found], pa.string()), *(pa.array([x[i] for x in found], pa.float64()) for i in range(1, len(added)))], [*keep, *added])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:width])
-    return picked.mapInArrow(tidy(run), f"{fields}lang_pred string, score double")
+    return picked.mapInArrow(tidy(run), f"{fields}lang_pred string, score double" + ", familiar double" * with_familiar)

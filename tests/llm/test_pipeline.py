@@ -66,3 +66,13 @@ def test_near_duplicates_of_five_words_at_eighty_percent(spark):
     rows = [(1, two), (2, [*two[:30], "y", *two[31:60], "z", *two[61:]]), (3, [f"w{i}" for i in range(94)])]  # 80 of 100 shared; of four-word shingles 83 of 99
     df = spark.createDataFrame([(k, " ".join(w), "en", "s", 1, 7, "p", "k") for k, w in rows], SCHEMA)
     assert sorted(r.doc_id for r in P.near_duplicates(spark, df, SF).collect()) == [1, 3]
+
+
+def test_unknown_languages_go_and_held_out_documents_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = spark.range(10**6, 10**6 + 100).where(P.crc_bucket(P.F.col("id"), 5) == 0).limit(3).collect()  # held out, so not learned
+    strange = ["Це текст українською мовою про погоду й море", "η γρήγορη καφέ αλεπού πηδά πάνω από το σκυλί", "nopea ruskea kettu hyppää laiskan koiran yli"]
+    more = spark.createDataFrame([(r.id, t, "en", "s", 1) for r, t in zip(ids, strange, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.language_id(spark, docs.select(more.columns).unionByName(more), SF).collect()}
+    held_out = {r.doc_id for r in docs.where(P.crc_bucket(P.F.col("doc_id"), 5) == 0).collect()}
+    assert held_out and held_out <= kept and not kept & {r.id for r in ids}
