@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object svg math canvas audio video select datalist textarea title param".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object canvas audio video select datalist title param".split())
+UNSEEN_INSIDE = {"svg": frozenset("desc metadata defs symbol".split()), "math": frozenset("annotation annotation-xml".split())}
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 LISTS = frozenset({"ul", "ol", "menu"})
@@ -49,6 +50,7 @@ def build(html: str) -> Node:
     root = Node("#root")
     stack = [root]
     at, n = 0, len(html)
+    outer: tuple[int, Node] | None = None  # the last outermost svg or math and its place in the stack
 
     def text(part: str) -> None:
         if part:
@@ -91,10 +93,15 @@ def build(html: str) -> Node:
                     break
                 if stack[i].name in ("td", "th", "button", "table", "div", "li"):
                     break
-        node = Node(name, found[3])
+        foreign = stack[outer[0]].name if outer and outer[0] < len(stack) and stack[outer[0]] is outer[1] else ""
+        if foreign == "svg" and name == "text":
+            text(" ")  # such texts stand apart
+        node = Node(name, found[3] + " hidden" if name in UNSEEN_INSIDE.get(foreign, ()) else found[3])
         stack[-1].children.append(node)
-        if name in VOID or found[3].endswith("/") and name in ("svg", "path"):
+        if name in VOID or found[3].endswith("/") and (foreign or name in ("svg", "path", "math")):
             continue
+        if name in UNSEEN_INSIDE and not foreign:
+            outer = (len(stack), node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
             body = html[at : end.start()]
@@ -299,7 +306,8 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, .
     """Add text, the visible text of html_col, to the columns in keep.
 
     A null or empty page has an empty text. Broken markup is read as browsers do in spirit: nothing visible is
-    dropped. Rows that repeat, and null ids, are rendered like any other; columns outside keep are ignored, whatever
+    dropped. Not taken as visible: the options of select, and what object, canvas, audio and video hold for browsers that
+    can't show them. Rows that repeat, and null ids, are rendered like any other; columns outside keep are ignored, whatever
     their names. An empty table gives no rows. Whole pages are read, however long.
     """
     picked = pages.select(*keep, F.col(html_col).alias("_html"))

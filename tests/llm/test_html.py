@@ -53,3 +53,12 @@ def test_edges(spark):
     got = extract_text(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [r.text[:4] for r in got] == ["", "", "x", "deep", "word"] and len(got[4].text) == 999_999
     assert extract_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math> end", "sum x+1 end"), ("<textarea>typed &lt;b> text</textarea>z", "typed <b> textz"),
+    ("<svg><title>t</title><desc>no</desc><defs><text>no</text></defs><metadata/><circle/><text>Label</text><text>two</text></svg> after", "Label two after"),
+    ("<svg/><desc>shown</desc> <defs>too</defs>", "shown too"), ("<svg><text hidden>no</text></svg>yes<svg><desc>no</desc></svg>", "yes"), ("<td><svg><text>in a cell</text></svg>", "in a cell"),
+])
+def test_formulae_drawings_and_fields_are_visible(html, text):
+    assert html_to_text(html) == text
