@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the licence, language and decontamination operators: runs of digits, a-z and non-ASCII characters.
+#: Words of the licence and decontamination operators: runs of digits, a-z and non-ASCII characters; and what parts them.
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,12 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Plain ASCII takes the built-in lower(), which is much faster than translate()."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:
-    """The words of a text (null: none) as an array of strings."""
-    return F.regexp_extract_all(F.coalesce(ascii_lower(text), F.lit("")), F.lit(WORD_CLASS), F.lit(0))
+    """The words of a text (null: none) as an array of strings. Splitting is several times faster than extraction."""
+    return F.filter(F.split(F.coalesce(ascii_lower(text), F.lit("")), BETWEEN_WORDS), lambda w: w != "")
 
 
 def crc_bucket(id_col: Column, buckets: int) -> Column:
@@ -65,14 +68,35 @@ def row_key(*cols: Column) -> list[Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder (spark.checkpoint.dir)."""
+    """A new folder below the cluster's shared checkpoint folder (spark.checkpoint.dir), which must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
-    if not base:  # unset, as in tests on one machine
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/skyledger-checkpoints"  # one machine: driver and executor are one process
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes inside are removed at the end. For callers that have written or collected the result."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def cut(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:

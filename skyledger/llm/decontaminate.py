@@ -3,26 +3,25 @@
 Benchmark items are cut into windows; a window is a set of shingles that a text must contain whole. For containment of
 1 the necessary prefix of a window, in order of rarity, is its rarest shingle. So:
 
-1. count every benchmark shingle over all texts, which orders each window's shingles by rarity; a window with a shingle
-   that no text holds can't occur;
-2. join the texts' shingles to the windows' prefix shingles, bound by position (the window must start inside the text)
-   and length (and end inside it);
-3. verify the window's words at that place exactly, within the same stage, so that no word array is ever shuffled.
-
-Windows are broadcast in blocks of a checked size; each block is one more pass over the texts.
+1. one pass over the texts finds the places of all benchmark shingles (postings), with the words they start at;
+2. their counts order each window's shingles by rarity; a window with a shingle that no text holds can't occur;
+3. postings are joined to the windows' prefix shingles, bound by position (the window must start inside the text) and
+   length (and end inside it);
+4. a window occurs at such a place exactly if shingles that cover all its words stand there, one after the other.
+
+Shingles are compared by their words, not only by hashes. Only postings are shuffled, never texts. The shingles are
+broadcast up to a number of them that is counted first; beyond it they are joined by a shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import WORD_CLASS, cut, row_key, words
+from skyledger.llm.common import cut, row_key, words
 
 SHINGLE = 3
-BLOCK = 100_000  # windows broadcast at a time, about 50 MB
+BROADCAST_SHINGLES = 1_000_000  # about 100 MB
 
 
 def windows_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -30,11 +29,40 @@ def windows_of(benchmark: DataFrame, item_col: str, text_col: str, window: int)
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("w")).where("item is not null and size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1))
     cutouts = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.lit(window)))).alias("ws"))
-    return cutouts.groupBy("ws").agg(F.collect_set("item").alias("items")).withColumn("n", F.size("ws")).withColumn("window", F.xxhash64("ws"))
+    return cutouts.groupBy("ws").agg(F.collect_set("item").alias("items")).withColumn("n", F.size("ws")).withColumn("window", F.sha2(F.array_join("ws", " "), 256))
+
+
+def shingles_of(wins: DataFrame) -> DataFrame:
+    """A row per window and place of a shingle in it: window, n, offset, gram (words joined by spaces), size."""
+    size = F.least("n", F.lit(SHINGLE))
+    grams = F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), lambda i: F.array_join(F.slice("ws", i, F.lit(SHINGLE)), " "))
+    return wins.select("window", "n", size.alias("size"), F.posexplode(grams).alias("offset", "gram"))
 
 
-def shingle_hash(size: int, *ws: Column) -> Column:
-    return F.xxhash64(F.lit(size), *ws[:size])
+def gram_hash(ws: list[Column]) -> Column:
+    return F.xxhash64(F.lit(len(ws)), *ws)
+
+
+def postings_of(tokens: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """Places of grams in tokens (_k1, _k2, _words): _k1, _k2, n_words, pos, gram. Each text is split once."""
+    ws = [f"w{j}" for j in range(1, SHINGLE + 1)]
+    later = [F.slice("_words", j, F.lit(2**31 - 1)).alias(f"w{j}") for j in range(2, SHINGLE + 1)]
+    zipped = tokens.select("_k1", "_k2", F.size("_words").alias("n_words"), F.arrays_zip(F.col("_words").alias("w1"), *later).alias("_zip"))
+    # the outer form: for the plain one Spark would add a filter that splits every text a second time
+    at = zipped.select("_k1", "_k2", "n_words", F.posexplode_outer("_zip").alias("pos", "_z")).select("_k1", "_k2", "n_words", "pos", *[F.col(f"_z.{w}") for w in ws])
+    made = [F.when(F.col(ws[s - 1]).isNotNull(), gram_hash([F.col(w) for w in ws[:s]])) for s in sizes]
+    hashed = at.select("*", made[0].alias("hash"), F.lit(sizes[0]).alias("size")) if len(sizes) == 1 else at.select("*", F.explode(F.arrays_zip(F.array(*made).alias("hash"), F.array(*map(F.lit, sizes)).alias("size"))).alias("_h")).select("*", "_h.hash", "_h.size").drop("_h")
+    split = F.split("gram", " ")
+    known = grams.select("gram", F.size(split).alias("_size"), *[F.get(split, F.lit(j)).alias(f"g{j + 1}") for j in range(SHINGLE)])
+    by_size = F.lit(None).cast("long")
+    for s in sizes:
+        by_size = F.when(F.col("_size") == s, gram_hash([F.col(f"g{j + 1}") for j in range(s)])).otherwise(by_size)
+    known = known.withColumn("hash", by_size)
+    same = (F.col("size") == F.col("_size")) & (F.col("w1") == F.col("g1"))
+    for j in range(2, SHINGLE + 1):
+        same = same & ((F.col("_size") < j) | (F.col(f"w{j}") == F.col(f"g{j}")))
+    side = F.broadcast(known) if grams.count() <= BROADCAST_SHINGLES else known
+    return hashed.join(side, "hash").where(same).select("_k1", "_k2", "n_words", "pos", "gram")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_keys: bool = False) -> DataFrame:
@@ -49,54 +77,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         raise ValueError("a window has at least one word")
     spark = docs.sparkSession
     wins = cut(windows_of(benchmark, item_col, item_text_col, window))
-    parts = wins.select("window", "n", F.least("n", F.lit(SHINGLE)).alias("size"), "ws")
-    parts = parts.select("window", "size", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1), lambda i: F.slice("ws", i, F.lit(SHINGLE)))).alias("offset", "gram"))
-    by_size = reduce(lambda c, s: c.when(F.col("size") == s, shingle_hash(s, *[F.get("gram", F.lit(j)) for j in range(s)])), range(1, SHINGLE + 1), F.when(F.lit(False), F.lit(0).cast("long")))
-    parts = parts.select("window", "size", "offset", by_size.alias("hash"))
-    sizes = [r.size for r in parts.select("size").distinct().collect()]  # at most SHINGLE values
-    blocks = max(1, -(-wins.count() // BLOCK))
+    parts = cut(shingles_of(wins))
+    sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())  # at most SHINGLE values
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     keys = row_key(F.col(id_col), F.col("_text"))
-    tokens = rows.where("_text is not null").select(*keys, words(F.col("_text")).alias("_words"))
-    later = [F.slice("_words", j, F.lit(2**31 - 1)).alias(f"w{j}") for j in range(2, SHINGLE + 1)]
-    zipped = tokens.select("_k1", "_k2", "_words", F.arrays_zip(F.col("_words").alias("w1"), *later).alias("_zip"))
-    # the outer form: for the plain one Spark would add a filter that splits every text a second time
-    grams = zipped.select("_k1", "_k2", "_words", F.posexplode_outer("_zip").alias("pos", "_gram"))
-    grams = grams.select("_k1", "_k2", "_words", "pos", *[F.col(f"_gram.w{j}") for j in range(1, SHINGLE + 1)])
-
-    def at_size(size: int) -> DataFrame:
-        ws = [F.col(f"w{j}") for j in range(1, SHINGLE + 1)]
-        return grams.where(ws[size - 1].isNotNull()).withColumn("hash", shingle_hash(size, *ws))
-
-    def in_blocks(table: DataFrame, of: str, join) -> DataFrame:
-        pieces = [table.where(F.pmod(F.xxhash64(F.lit("block"), of), F.lit(blocks)) == b) if blocks > 1 else table for b in range(blocks)]
-        return reduce(DataFrame.unionAll, [join(size, F.broadcast(p)) for size in sizes for p in pieces])
-
     if not sizes:
         found = spark.createDataFrame([], "_k1 long, _k2 long, n_hit long, items array<string>")
     else:
-        wanted = parts.select("hash").distinct()
-        counts = in_blocks(wanted, "hash", lambda size, p: at_size(size).select("hash").join(p, "hash")).groupBy("hash").agg(F.count("*").alias("times"))
-        ordered = parts.join(counts, "hash", "left").groupBy("window").agg(F.min(F.coalesce("times", F.lit(0))).alias("rarest"), F.min(F.struct(F.coalesce("times", F.lit(0)), "hash", "offset", "size")).alias("first"))
-        prefix = cut(ordered.where("rarest > 0").select("window", "first.hash", "first.offset", "first.size").join(wins, "window"))
-
-        def verified(size: int, p: DataFrame) -> DataFrame:
-            start = F.col("pos") - F.col("offset")
-            bounds = (start >= 0) & (start + F.col("n") <= F.size("_words"))
-            same = F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("ws")
-            mine = p.where(F.col("size") == size)
-            return at_size(size).join(F.broadcast(mine), "hash").where(bounds & same).select("_k1", "_k2", start.alias("start"), (start + F.col("n")).alias("stop"), "items")
-
-        hits = in_blocks(prefix, "window", verified)
+        tokens = rows.where("_text is not null").select(*keys, words(F.col("_text")).alias("_words"))
+        postings = cut(postings_of(tokens, parts.select("gram").distinct(), sizes))
+        counts = postings.groupBy("gram").agg(F.count("*").alias("times"))
+        times = F.coalesce("times", F.lit(0))
+        ranked = parts.join(counts, "gram", "left").groupBy("window").agg(F.min(times).alias("rarest"), F.min(F.struct(times, "gram", "offset")).alias("first"))
+        prefix = cut(ranked.where("rarest > 0").select("window", "first.gram", "first.offset").join(wins.select("window", "n"), "window"))
+
+        start = F.col("pos") - F.col("offset")
+        inside = postings.join(prefix, "gram").where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+        places = cut(inside.select("_k1", "_k2", "window", "n", start.alias("start")).distinct())
+        # a window's shingles at every SHINGLE-th place, and its last one, cover its words
+        cover = parts.where((F.col("offset") % SHINGLE == 0) | (F.col("offset") == F.col("n") - F.col("size"))).select("window", "offset", "gram")
+        needed = places.join(cover, "window").select("_k1", "_k2", "window", "n", "start", (F.col("start") + F.col("offset")).alias("pos"), "gram")
+        there = needed.join(postings.select("_k1", "_k2", "pos", "gram").distinct(), ["_k1", "_k2", "pos", "gram"], "left_semi")
+        lengths = cover.groupBy("window").agg(F.count("*").alias("all"))
+        hits = there.groupBy("_k1", "_k2", "window", "n", "start").agg(F.count("*").alias("met")).join(lengths, "window").where(F.col("met") == F.col("all"))
+        hits = cut(hits.select("_k1", "_k2", "window", "start", (F.col("start") + F.col("n")).alias("stop")))
         grown = F.aggregate(
             F.sort_array("spans"), F.struct(F.lit(0).alias("stop"), F.lit(0).cast("long").alias("total")),
             lambda a, s: F.struct(F.greatest(a["stop"], s["stop"]).alias("stop"), (a["total"] + F.greatest(F.lit(0), s["stop"] - F.greatest(a["stop"], s["start"]))).cast("long").alias("total")),
         )
-        found = hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"), F.collect_set("items").alias("lists"))
-        names = F.array_sort(F.array_distinct(F.transform(F.flatten("lists"), lambda x: x.cast("string"))))
-        found = found.select("_k1", "_k2", grown["total"].alias("n_hit"), names.alias("items"))
-    count = F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(WORD_CLASS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")))
-    joined = rows.select(F.col(id_col), count.cast("long").alias("n_words"), *keys).join(found, ["_k1", "_k2"], "left")
+        spans = hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select("_k1", "_k2", grown["total"].alias("n_hit"))
+        owners = wins.select("window", F.explode(F.transform("items", lambda x: x.cast("string"))).alias("item"))
+        names = hits.select("_k1", "_k2", "window").distinct().join(owners, "window").groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        found = spans.join(names, ["_k1", "_k2"])
+    counted = rows.select(F.col(id_col), F.size(words(F.col("_text"))).cast("long").alias("n_words"), *keys)
+    joined = counted.join(found, ["_k1", "_k2"], "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(id_col, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), *["_k1", "_k2"] * with_keys)

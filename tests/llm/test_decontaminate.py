@@ -39,7 +39,7 @@ def test_against_brute_force(spark, monkeypatch):
     docs = [(1, f"x {PASSAGE.upper()} y"), (1, f"x {PASSAGE.upper()} y"), (2, "one two three four five six seven eight nine"), (3, None), (4, ""), (5, "tiny Short item, here two words"), (6, "a " * 30), (None, "no id tiny"), (7, f"{PASSAGE} thirteen {PASSAGE}"), (8, "filler " * 20000 + PASSAGE)]
     run(spark, docs, items)
     run(spark, docs[:7], items, window=4)
-    monkeypatch.setattr(D, "BLOCK", 3)  # several blocks
+    monkeypatch.setattr(D, "BROADCAST_SHINGLES", 3)  # a shuffle join
     run(spark, docs[:6], items)
 
 
