@@ -1,5 +1,6 @@
 import re
 
+import skyledger.llm.licenses as L
 from skyledger.llm.common import WORD_CLASS
 from skyledger.llm.licenses import BASE, NOTICES, scan_licenses, template_words
 
@@ -45,3 +46,13 @@ def test_edges(spark):
     by = {r.doc_id: r for r in got}
     assert by[None].n_base == 1 and by[7].labels == "mit" and by[8].labels == "" and by[11].labels == "cc-by,cc-by-nc-4.0" and by[12].labels == "" and by[7].spans[0].start == 0
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_stray_votes_near_a_notice_do_not_hide_it(spark, monkeypatch):
+    notice = "released under the mit license"
+    texts = ["under the " * 5 + notice, notice + " under the" * 4, f"{notice} under the {notice}", "under the " * 9, "x " * 7 + notice]
+    for bound in (200_000, 3):  # broadcast, and a shuffle join
+        monkeypatch.setattr(L, "BROADCAST_GRAMS", bound)
+        got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(i, t, "", 0, 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+        assert [got[i].labels for i in range(5)] == ["mit", "mit", "mit", "", "mit"]
+        assert [[(s.start, s.stop) for s in got[i].spans] for i in range(5)] == [[(10, 15)], [(0, 5)], [(0, 5), (7, 12)], [], [(7, 12)]]
