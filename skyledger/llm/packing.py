@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import slices, tidy
 
-CACHED_CHUNKS = 150_000
+CACHED_CHUNKS = 250_000
 POOL = 192
 
 
@@ -39,6 +40,7 @@ class ChunkIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict[bytes, bytes] = {}  # the generation before: what is still in use moves up, the rest goes
         import regex
         import tiktoken
         from tokenizers import Tokenizer
@@ -57,11 +59,33 @@ class ChunkIds(dict):
                 ranks[bytes(byte_of[c] for c in (token[:-4] if ends else token)) + b"\xff" * ends] = i
             ranks[b"\xff"] = max(ranks.values()) + 1
             self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            # a mark after letters is a pre-token of its own
+            self.tails = {bytes([c]): self.merged(bytes([c])) for c in b",.;:!?)"}
 
     def plain(self, chunk: str) -> bytes:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.fresh(chunk)
+        if len(chunk) <= 40:
+            if len(self) >= CACHED_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def merged(self, piece: bytes) -> bytes:
+        return array("I", self.merge(piece + b"\xff")).tobytes()
+
+    def fresh(self, chunk: bytes) -> bytes:
+        if self.pieces is not None:
+            lower = chunk.lower()  # bytes: A-Z only; isalpha() is true of ASCII letters only
+            if lower.isalpha():
+                return self.merged(lower)
+            if lower[-1:] in self.tails and lower[:-1].isalpha():
+                return self.merged(lower[:-1]) + self.tails[lower[-1:]]
         text = chunk.decode()
         if self.pieces is None or not text.isascii() and max(text) > "\u024f" or "\u0130" in text or "<|" in text and any(s in text for s in self.special):
             ids = self.plain(text)
@@ -70,17 +94,13 @@ class ChunkIds(dict):
             for piece in self.pieces.findall(unicodedata.normalize("NFC", text).lower()):
                 part = known.get(piece)
                 if part is None:
-                    part = np.asarray(self.merge(piece.encode() + b"\xff"), "<u4").tobytes()
+                    part = self.merged(piece.encode())
                     if len(piece) <= 40:
                         if len(known) >= CACHED_CHUNKS:
                             known.clear()
                         known[piece] = part
                 found.append(part)
             ids = b"".join(found)
-        if len(chunk) <= 40:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -107,19 +127,17 @@ class Packer:
     """Packs pieces (payload, tokens, loss_from) into bins. emit(bin) gets a list of pieces: (payload, start, stop).
 
     loss_from is the first position of the example that bears loss, so a piece start:stop bears
-    max(0, stop - max(start, loss_from)) of it.
+    max(0, stop - max(start, loss_from)) of it. The pool holds POOL pieces, and more while they don't fill a bin, which
+    is never more than a bin has tokens.
     """
 
     def __init__(self, capacity: int, max_segments: int, max_loss: int, emit: Callable[[list], None]):
         self.limits = np.array([capacity, max_segments, max_loss], float)
-        self.capacity, self.max_loss, self.emit = capacity, max_loss, emit
+        self.capacity, self.max_segments, self.max_loss, self.emit = capacity, max_segments, max_loss, emit
         self.payloads: list = [None] * POOL
         self.spans = np.zeros((POOL, 3), np.int64)  # start, stop, loss_from
-        self.size = 0
-
-    def need(self) -> np.ndarray:
-        s = self.spans[: self.size]
-        return np.stack([s[:, 1] - s[:, 0], np.ones(self.size, np.int64), np.maximum(0, s[:, 1] - np.maximum(s[:, 0], s[:, 2]))], 1)
+        self.needs = np.zeros((POOL, 3))  # tokens, segments, tokens that bear loss
+        self.size = self.tokens = 0
 
     def add(self, payload: object, tokens: int, loss_from: int) -> None:
         at = 0
@@ -128,7 +146,7 @@ class Packer:
             if stop - at == self.capacity:  # fills a bin alone
                 self.emit([(payload, at, stop)])
             elif stop > at:
-                if self.size == POOL:
+                while self.size >= POOL and (self.tokens >= self.capacity or self.size >= self.max_segments):
                     self.fill()
                 self.put(payload, at, stop, loss_from)
             at = stop
@@ -136,13 +154,19 @@ class Packer:
                 return
 
     def put(self, payload: object, start: int, stop: int, loss_from: int) -> None:
+        if self.size == len(self.spans):
+            self.payloads += [None] * self.size
+            self.spans, self.needs = np.concatenate([self.spans, self.spans]), np.concatenate([self.needs, self.needs])
         self.payloads[self.size], self.spans[self.size] = payload, (start, stop, loss_from)
+        self.needs[self.size] = stop - start, 1, max(0, stop - max(start, loss_from))
         self.size += 1
+        self.tokens += stop - start
 
     def take(self, i: int) -> tuple:
-        item = (self.payloads[i], *map(int, self.spans[i]))
+        item = (self.payloads[i], *self.spans[i].tolist())
         self.size -= 1
-        self.payloads[i], self.spans[i] = self.payloads[self.size], self.spans[self.size]
+        self.tokens -= item[2] - item[1]
+        self.payloads[i], self.spans[i], self.needs[i] = self.payloads[self.size], self.spans[self.size], self.needs[self.size]
         self.payloads[self.size] = None
         return item
 
@@ -150,17 +174,17 @@ class Packer:
         """Fill one bin from the pool and emit it."""
         room, bin_ = self.limits.copy(), []
         while self.size:
-            need = self.need()
-            fits = (need <= room).all(1)
-            if not fits.any():
-                break
-            score = np.where(fits, (need / self.limits) @ (room / self.limits), -1.0)
+            need = self.needs[: self.size]
+            score = need @ (room / self.limits**2)
+            score[(need > room).any(1)] = -1.0
             i = int(score.argmax())
+            if score[i] < 0:
+                break
             room -= need[i]
             payload, start, stop, _ = self.take(i)
             bin_.append((payload, start, stop))
         if self.size and room[0] > 0 and room[1] > 0:  # cut the longest to what is left
-            i = int((self.spans[: self.size, 1] - self.spans[: self.size, 0]).argmax())
+            i = int(self.needs[: self.size, 0].argmax())
             payload, start, stop, loss_from = self.take(i)
             middle = int(min(stop, start + room[0], max(start, loss_from) + room[2]))
             if middle > start:
@@ -172,7 +196,7 @@ class Packer:
     def finish(self) -> None:
         """Whole bins while they fill, then power-of-two sequences for the rest."""
         while self.size:
-            if self.need()[:, 0].sum() >= self.capacity:
+            if self.tokens >= self.capacity:
                 self.fill()
                 continue
             rest = [self.take(0) for _ in range(self.size)]
@@ -194,17 +218,18 @@ class Packer:
             self.emit(bin_)
 
 
-def pack_examples(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, end_id: int | None = 1, capacity: int = 2048, max_segments: int = 64, max_loss: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack_examples(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, end_id: int | None = 1, capacity: int = 2048, max_segments: int | None = None, max_loss: int | None = None, with_ids: bool = False) -> DataFrame:
     """Tokenize and pack every row of docs; one output row per piece.
 
     Columns: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens (and ids, array<int>, if
     with_ids). prompt_col names a text that comes first and bears no loss (instruction data). end_id ends each example.
     A null text or prompt is empty; an empty example still has its end_id. Rows that repeat, and null ids, are packed
     as rows of their own. Other columns are ignored, whatever their names. An empty table gives no rows. Long texts are
-    cut at capacity; no token is dropped. sequence_id is unique over the whole result.
+    cut at capacity; no token is dropped. sequence_id is unique over the whole result. max_segments and max_loss default to
+    capacity, at which they never close a sequence before its tokens do; a smaller limit can leave padding.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    max_loss = capacity if max_loss is None else max_loss
+    max_segments, max_loss = (capacity if x is None else x for x in (max_segments, max_loss))
     if min(capacity, max_segments, max_loss) < 1:
         raise ValueError("capacity, max_segments and max_loss must be at least 1")
 

@@ -31,7 +31,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, max_segments=64)
+    return pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
 #: The base rules are fixed values.
