@@ -1,16 +1,21 @@
 """Layout-aware HTML extraction: a small tree builder, then a renderer of everything that would be visible.
 
-The builder applies implied tags (an opening p ends an open p, li ends li, td ends td, and so on), void elements, raw
-text elements and character references. The renderer skips invisible elements, keeps blocks apart, marks list items,
-and writes tables with aligned columns. Each page is one row's work; nothing is shuffled.
+A hand-written scanner reads tags by the attribute states of HTML (quoted, unquoted, missing values), so each character
+is looked at a bounded number of times. The builder applies implied tags (an opening p ends an open p, li ends li, td
+ends td, and so on), void elements, raw text elements and character references. The renderer skips invisible elements,
+keeps blocks apart, marks list items, and writes tables with aligned columns, inner tables first, so that nothing
+recurses. Each page is one row's work; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,101 +29,200 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 LISTS = frozenset({"ul", "ol", "menu"})
 CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "legend"}
+P_SCOPE = frozenset({"td", "th", "button", "table", "div", "li"})
 #: An opening tag ends the open elements of these names, as far as the nearest boundary.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"}),
 }
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.S)
-UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+CELL_ENDS = frozenset({"table", "td", "th"})
+ENDS_CELLS = frozenset({"table", "tr", "tbody", "thead", "tfoot", "body", "html"})
+KEPT = frozenset("style hidden type start colspan rowspan alt open".split())  # the attributes that matter here
+DEEPEST = 512  # deeper elements become children of the deepest one kept, as in browsers
+ALIGNED = 80  # columns are padded up to this width, cells over several columns up to four times that
+SPANNING = 64  # columns up to which cells over several rows keep their place
+
+NAME = re.compile(r"[^\s/>]*+")
+GAP = re.compile(r"[\s/]*+")
+BLANK = re.compile(r"\s*+")
+ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*+")
+UNQUOTED = re.compile(r"[^\s>]*+")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children")
-
-    def __init__(self, name: str, attrs: str = ""):
-        self.name, self.attrs, self.children = name, attrs, []
-
-    def attributes(self) -> dict[str, str]:
-        return {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(self.attrs)} if self.attrs.strip(" /") else {}
-
-
-def build(html: str) -> Node:
-    root = Node("#root")
-    stack = [root]
-    at, n = 0, len(html)
-    outer: tuple[int, Node] | None = None  # the last outermost svg or math and its place in the stack
+    __slots__ = ("name", "attrs", "children", "lines")
+
+    def __init__(self, name: str, attrs: dict[str, str] | None = None):
+        self.name, self.attrs, self.children, self.lines = name, attrs or {}, [], None
+
+
+def read_tag(html: str, at: int) -> tuple[str, dict[str, str], bool, int]:
+    """The tag whose name starts at a place: name, attributes, whether it closes itself, and where it ends (-1: never)."""
+    n = len(html)
+    found = NAME.match(html, at)
+    name, attrs, at = found[0].lower(), {}, found.end()
+    while True:
+        gap = GAP.match(html, at)
+        at = gap.end()
+        if at >= n:
+            return name, attrs, False, -1
+        if html[at] == ">":
+            return name, attrs, gap[0].endswith("/"), at + 1
+        found = ATTRIBUTE.match(html, at)
+        key, value, at = found[0].lower(), "", found.end()
+        equals = BLANK.match(html, at).end()
+        if equals < n and html[equals] == "=":
+            at = BLANK.match(html, equals + 1).end()
+            quote = html[at : at + 1]
+            if quote in ('"', "'") and quote:
+                stop = html.find(quote, at + 1)
+                if stop < 0:
+                    return name, attrs, False, -1
+                value, at = html[at + 1 : stop], stop + 1
+            else:
+                found = UNQUOTED.match(html, at)
+                value, at = found[0], found.end()
+        if key in KEPT:
+            attrs.setdefault(key, unescape(value) if "&" in value else value)
+
+
+class Builder:
+    def __init__(self):
+        self.root = Node("#root")
+        self.stack = [self.root]
+        self.open: Counter[str] = Counter()  # names on the stack
+        self.skipped: Counter[str] = Counter()  # names opened below DEEPEST
+        self.outer: tuple[int, Node] | None = None  # the last outermost svg or math and its place in the stack
 
-    def text(part: str) -> None:
+    def text(self, part: str) -> None:
         if part:
-            stack[-1].children.append(unescape(part) if "&" in part else part)
-
-    def close(names: set[str], until: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in until:
+            self.stack[-1].children.append(unescape(part) if "&" in part else part)
+
+    def cut(self, i: int) -> None:
+        for node in self.stack[i:]:
+            self.open[node.name] -= 1
+        del self.stack[i:]
+
+    def close(self, names, until) -> None:
+        """Close the open elements of these names above the nearest of until."""
+        if not any(self.open[x] for x in names):
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].name in until:
                 return
-            if stack[i].name in names:
-                del stack[i:]
-
-    while at < n:
-        found = TOKEN.search(html, at)
-        if not found:
-            text(html[at:])
-            break
-        text(html[at : found.start()])
-        at = found.end()
-        name = found[2]
-        if not name:
-            continue
-        name = name.lower()
-        if found[1]:  # an end tag
-            if name == "p" and not any(x.name == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
+            if self.stack[i].name in names:
+                self.cut(i)
+
+    def end(self, name: str) -> None:
+        if self.skipped[name]:
+            self.skipped[name] -= 1
+        elif not self.open[name]:
+            if name == "p":
+                self.stack[-1].children.append(Node("p"))
+        else:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].name == name:
+                    self.cut(i)
                     break
-                if stack[i].name in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+                if self.stack[i].name in CELL_ENDS and name not in ENDS_CELLS:
                     break
-            continue
+
+    def start(self, name: str, attrs: dict[str, str], closed: bool) -> Node:
+        stack = self.stack
         if name in IMPLIED:
-            close(*IMPLIED[name])
-        if name in CLOSES_P and stack[-1].name != "#root":
+            self.close(*IMPLIED[name])
+        if name in CLOSES_P and self.open["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    self.cut(i)
                     break
-                if stack[i].name in ("td", "th", "button", "table", "div", "li"):
+                if stack[i].name in P_SCOPE:
                     break
+        outer = self.outer
         foreign = stack[outer[0]].name if outer and outer[0] < len(stack) and stack[outer[0]] is outer[1] else ""
         if foreign == "svg" and name == "text":
-            text(" ")  # such texts stand apart
-        node = Node(name, found[3] + " hidden" if name in UNSEEN_INSIDE.get(foreign, ()) else found[3])
+            self.text(" ")  # such texts stand apart
+        if name in UNSEEN_INSIDE.get(foreign, ()):
+            attrs["hidden"] = ""
+        node = Node(name, attrs)
         stack[-1].children.append(node)
-        if name in VOID or found[3].endswith("/") and (foreign or name in ("svg", "path", "math")):
-            continue
+        if name in VOID or closed and (foreign or name in ("svg", "path", "math")):
+            return node
         if name in UNSEEN_INSIDE and not foreign:
-            outer = (len(stack), node)
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-            body = html[at : end.start()]
-            node.children.append(unescape(body) if name in ("textarea", "title") else body)
-            at = end.end()
-            continue
-        stack.append(node)
-    return root
+            self.outer = (len(stack), node)
+        if name not in RAW:
+            if len(stack) < DEEPEST:
+                stack.append(node)
+                self.open[name] += 1
+            else:
+                self.skipped[name] += 1
+        return node
+
+
+_ends: dict[str, re.Pattern] = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>|\Z", re.I) for n in RAW}
+
+
+def build(html: str) -> Node:
+    """The tree of a page. A comment or an attribute that never ends takes the rest of the page, as in browsers; a tag
+    that the page's end cuts off inside its name is text."""
+    builder, at, n = Builder(), 0, len(html)
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            builder.text(html[at:])
+            break
+        kind = html[lt + 1]
+        after = html[lt + 2 : lt + 3] if kind == "/" else kind
+        if after.isascii() and after.isalpha():
+            builder.text(html[at:lt])
+            begin = lt + 1 + (kind == "/")
+            name, attrs, closed, stop = read_tag(html, begin)
+            if stop < 0:
+                if kind != "/" and begin + len(name) >= n:
+                    builder.text(html[lt:])
+                break
+            at = stop
+            if kind == "/":
+                builder.end(name)
+                continue
+            node = builder.start(name, attrs, closed)
+            if name in RAW:
+                end = _ends[name].search(html, at)
+                body = html[at : end.start()]
+                node.children.append(unescape(body) if name in ("textarea", "title") else body)
+                at = end.end()
+        elif kind in "!?" or kind == "/" and after:
+            builder.text(html[at:lt])
+            comment = html.startswith("<!--", lt)
+            stop = html.find("-->" if comment else ">", lt + 2)
+            if stop < 0:
+                break
+            at = stop + (3 if comment else 1)
+        else:
+            builder.text(html[at : lt + 1])
+            at = lt + 1
+    return builder.root
 
 
-def hidden(node: Node) -> bool:
+def displayed(node: Node) -> bool:
     if node.name in HIDDEN:
-        return True
-    if not node.attrs or "hid" not in node.attrs.lower() and "none" not in node.attrs.lower() and "collapse" not in node.attrs.lower():
         return False
-    attrs = node.attributes()
-    return "hidden" in attrs or bool(UNSEEN_STYLE.search(attrs.get("style", ""))) or node.name == "input" and attrs.get("type", "").lower() == "hidden"
+    attrs = node.attrs
+    if node.name == "dialog" and "open" not in attrs:
+        return False
+    if not attrs:
+        return True
+    return not ("hidden" in attrs or "style" in attrs and NO_DISPLAY.search(attrs["style"]) or node.name == "input" and attrs.get("type", "").lower() == "hidden")
+
+
+def visible(node: Node, inherited: bool) -> bool:
+    """visibility is inherited, and an element inside a hidden one can be visible again."""
+    found = VISIBILITY.search(node.attrs["style"]) if "style" in node.attrs else None
+    return found[1].lower() == "visible" if found else inherited
 
 
 class Page:
@@ -129,14 +233,22 @@ class Page:
         self.line: list[str] = []
         self.space = self.blank = False
         self.margins: list[int] = []  # of the open list items
+        self.margin = 0
         self.mark = ""  # of the list item whose first word is still to come
 
+    def indent(self, by: int) -> None:
+        self.margins.append(by)
+        self.margin += by
+
+    def outdent(self) -> None:
+        self.margin -= self.margins.pop()
+
     def start(self) -> str:
         """Begin a line; what stands before its first word."""
         if self.blank and self.lines:
             self.lines.append("")
         mark, self.mark, self.blank = self.mark, "", False
-        return " " * (sum(self.margins) - len(mark)) + mark
+        return " " * (min(self.margin, ALIGNED) - len(mark)) + mark
 
     def write(self, text: str) -> None:
         for i, part in enumerate(SPACE.split(text)):
@@ -172,14 +284,19 @@ def width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def render(node: Node, page: Page) -> None:
-    """Write node's visible text. The stack is explicit, so that deep nesting can't exhaust Python's."""
-    work: list[tuple[Node | str, bool]] = [(node, False)]
+def number(text: str, default: int) -> int:
+    return int(text) if re.fullmatch(r"-?\d{1,9}", text, re.A) else default
+
+
+def render(nodes: list, page: Page, seen: bool = True) -> None:
+    """Write the nodes' visible text. The stack is explicit, and tables have their lines already."""
+    work: list[tuple] = [(x, seen, False) for x in reversed(nodes)]
     numbers: list[int | None] = []  # of the open lists: the next item's
     while work:
-        item, over = work.pop()
+        item, seen, over = work.pop()
         if isinstance(item, str):
-            page.write(item)
+            if seen:
+                page.write(item)
             continue
         name = item.name
         if over:
@@ -187,128 +304,178 @@ def render(node: Node, page: Page) -> None:
                 numbers.pop()
             page.end(name in SPACED and not (name in LISTS and numbers))
             if name == "li":
-                page.margins.pop()
+                page.outdent()
                 page.mark = ""
             continue
-        if hidden(item):
+        if not displayed(item):
             continue
+        if item.attrs:
+            seen = visible(item, seen)
         if name == "br":
             if not page.line:
                 page.blank = bool(page.lines)
             page.end()
         elif name == "img":
-            page.write(item.attributes().get("alt", ""))
+            if seen:
+                page.write(item.attrs.get("alt", ""))
         elif name == "table":
-            page.whole_lines(table_lines(item))
+            page.whole_lines(item.lines)
         elif name == "pre":
-            body = "".join(texts(item)).strip("\n")
+            body = "".join(texts(item, seen)).strip("\n")
             page.whole_lines(body.split("\n") if body.strip() else [])
         else:
             if name in BLOCKS:
                 page.end(name in SPACED and not (name in LISTS and numbers))
-                work.append((item, True))
+                work.append((item, seen, True))
             if name in LISTS:
-                first = item.attributes().get("start", "1")
-                numbers.append((int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1) if name == "ol" else None)
+                numbers.append(number(item.attrs.get("start", "1"), 1) if name == "ol" else None)
             elif name == "li":
                 page.mark = "- "
                 if numbers and numbers[-1] is not None:
                     page.mark = f"{numbers[-1]}. "
                     numbers[-1] += 1
-                page.margins.append(len(page.mark))
-            work.extend((c, False) for c in reversed(item.children))
+                page.indent(len(page.mark))
+            work.extend((c, seen, False) for c in reversed(item.children))
 
 
-def texts(node: Node) -> Iterator[str]:
-    work: list = [node]
+def texts(node: Node, seen: bool) -> Iterator[str]:
+    """The text inside pre, with its spaces."""
+    work: list[tuple] = [(node, seen)]
     while work:
-        item = work.pop()
+        item, seen = work.pop()
         if isinstance(item, str):
-            yield item
+            if seen:
+                yield item
         elif item.name == "br":
             yield "\n"
-        elif not hidden(item):
-            work.extend(reversed(item.children))
+        elif displayed(item):
+            seen = visible(item, seen)
+            if item.name == "img" and seen:
+                yield item.attrs.get("alt", "")
+            elif item.name == "table" and item.lines:
+                yield "\n" + "\n".join(item.lines) + "\n"
+            else:
+                work.extend((c, seen) for c in reversed(item.children))
 
 
-def table_lines(table: Node) -> list[str]:
-    """The table's rows with columns padded to equal width; cells with several lines take several lines."""
-    rows: list[list[tuple[list[str], int]]] = []
+def cell_lines(nodes: list, seen: bool) -> list[str]:
+    page = Page()
+    render(nodes, page, seen)
+    return [x for x in page.text().split("\n") if x]
+
+
+def table_lines(table: Node, seen: bool) -> list[str]:
+    """The table's rows with aligned columns; cells with several lines take several lines."""
+    rows: list[list[tuple[list[str], int, int]]] = []  # cells: lines, columns, rows
     captions: list[str] = []
-    work = list(reversed(table.children))
+    work = [(x, seen) for x in reversed(table.children)]
     while work:
-        item = work.pop()
+        item, seen = work.pop()
         if isinstance(item, str):
-            if item.strip():
-                rows.append([([" ".join(item.split())], 1)])
-        elif hidden(item):
+            if seen and item.strip():
+                rows.append([([" ".join(item.split())], 1, 1)])
+            continue
+        if not displayed(item):
             continue
-        elif item.name == "tr":
+        seen = visible(item, seen)
+        if item.name == "tr":
             cells = []
             for c in item.children:
                 if isinstance(c, str):
-                    if c.strip():
-                        cells.append(([" ".join(c.split())], 1))
-                elif not hidden(c):
-                    span = c.attributes().get("colspan", "1") if c.attrs else "1"
-                    cells.append((cell_text(c).split("\n"), min(50, int(span)) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1))
-            if cells:
-                rows.append(cells)
+                    if seen and c.strip():
+                        cells.append(([" ".join(c.split())], 1, 1))
+                elif displayed(c):
+                    columns, down = (max(1, number(c.attrs.get(x, "1"), 1)) for x in ("colspan", "rowspan"))
+                    inner = c.children if c.name in ("td", "th") else [c]
+                    cells.append((cell_lines(inner, visible(c, seen)), min(1000, columns), min(65534, down)))
+            rows.append(cells)
         elif item.name in ("td", "th"):
-            rows.append([(cell_text(item).split("\n"), 1)])
-        elif item.name == "caption":
-            captions += cell_text(item).split("\n")
+            rows.append([(cell_lines(item.children, seen), 1, 1)])
         elif item.name in ("thead", "tbody", "tfoot"):
-            work.extend(reversed(item.children))
-        elif text := cell_text(item):
-            captions += text.split("\n")
-    widths: list[int] = []
-    for cells in rows:
-        col = 0
-        for lines, span in cells:
-            while len(widths) < col + span:
-                widths.append(0)
-            if span == 1:
-                widths[col] = max(widths[col], *(width(x) for x in lines))
-            col += span
-    out = [x for x in captions if x]
+            work.extend((x, seen) for x in reversed(item.children))
+        else:
+            captions += cell_lines(item.children if item.name == "caption" else [item], seen)
+    return captions + aligned(rows)
+
+
+def placed(rows: list) -> list[list[tuple[int, int, list[str]]]]:
+    """The cells of each row with their first and last column; cells over several rows hold their columns."""
+    out, held = [], []  # held: (first, last, rows left), in order
     for cells in rows:
-        for i in range(max(len(lines) for lines, _ in cells)):
-            parts, col = [], 0
-            for lines, span in cells:
-                text = lines[i] if i < len(lines) else ""
-                room = sum(widths[col : col + span]) + 3 * (span - 1)
-                parts.append(text + " " * max(0, room - width(text)))
-                col += span
-            line = " | ".join(parts).rstrip(" |") if not any(x.strip() for x in parts) else " | ".join(parts).rstrip()
-            if line:
-                out.append(line)
+        row, col, at = [], 0, 0
+        for lines, columns, down in cells:
+            while at < len(held) and held[at][0] < col + columns:
+                col = max(col, held[at][1])
+                at += 1
+            row.append((col, col + columns, lines, down))
+            col += columns
+        out.append([x[:3] for x in row])
+        held = [(a, b, n - 1) for a, b, n in held if n > 1] + [(a, b, n - 1) for a, b, _, n in row if n > 1 and b <= SPANNING]
+        held.sort()
     return out
 
 
-def cell_text(cell: Node) -> str:
-    page = Page()
-    holder = Node("#root")
-    holder.children = cell.children
-    render(holder, page)
-    return "\n".join(x for x in page.text().split("\n") if x)
+def aligned(rows: list) -> list[str]:
+    grid = placed(rows)
+    starts = sorted({a for row in grid for a, _, _ in row})
+    widths = [0] * len(starts)
+    spans = [[(i := bisect_left(starts, a), max(i + 1, bisect_left(starts, b)), lines) for a, b, lines in row] for row in grid]
+    for row in spans:
+        for i, j, lines in row:
+            if j == i + 1:
+                widths[i] = max(widths[i], *(min(ALIGNED, width(x)) for x in lines), 0)
+    total = [0, *accumulate(w + 3 for w in widths)]
+    out = []
+    for row in spans:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            parts, at = [], 0
+            for i, j, lines in row:
+                if i > at:  # columns that cells above hold, or that are empty
+                    parts.append(" " * min(4 * ALIGNED, total[i] - total[at] - 3))
+                text = lines[k] if k < len(lines) else ""
+                parts.append(text + " " * (min(4 * ALIGNED, total[j] - total[i] - 3) - width(text)))
+                at = j
+            line = " | ".join(parts).rstrip()
+            if not any(x.strip() for x in parts):
+                continue
+            out.append(line)
+    return out
 
 
 def html_to_text(html: str | None) -> str:
     if not html:
         return ""
+    root = build(html)
+    # inner tables come first, so that outer ones find their lines
+    tables, work = [], [(root, True)]
+    while work:
+        node, seen = work.pop()
+        if not displayed(node):
+            continue
+        seen = visible(node, seen)
+        if node.name == "table":
+            tables.append((node, seen))
+        work.extend((c, seen) for c in reversed(node.children) if not isinstance(c, str))
+    for node, seen in reversed(tables):
+        node.lines = table_lines(node, seen)
+        node.children = []
     page = Page()
-    render(build(html), page)
+    render(root.children, page)
     return page.text()
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Add text, the visible text of html_col, to the columns in keep.
 
-    A null or empty page has an empty text. Broken markup is read as browsers do in spirit: nothing visible is
-    dropped. Not taken as visible: the options of select, and what object, canvas, audio and video hold for browsers that
-    can't show them. Rows that repeat, and null ids, are rendered like any other; columns outside keep are ignored, whatever
-    their names. An empty table gives no rows. Whole pages are read, however long.
+    A null or empty page has an empty text. Broken markup is read as browsers read it: stray quotes, unclosed tags and
+    missing values lose no text, but a comment or quoted value that never ends hides the rest of its page. Not taken as
+    visible: elements with the hidden attribute, display:none or visibility:hidden in their style attribute (a
+    visibility:visible inside is shown), closed dialogs, the options of select, and what object, canvas, audio and video
+    hold for browsers that can't show them. Style sheets are not applied; what a closed details element holds is shown.
+    Elements more than DEEPEST levels deep are flattened; columns wider than ALIGNED are not padded further; rowspan is
+    read in the first SPANNING columns. Rows that repeat, and null ids, are rendered like any other; columns outside
+    keep are ignored, whatever their names. An empty table gives no rows. Whole pages are read, however long, in time
+    proportional to their length.
     """
     picked = pages.select(*keep, F.col(html_col).alias("_html"))
 
