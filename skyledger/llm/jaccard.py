@@ -11,8 +11,10 @@ subclass. m follows the size bracket of the larger partner (sizes of partners di
 keeps a set's signatures linear in its prefix.
 
 Linking without all pairs. Each signature's list gets a hub, its most typical node; every node is paired with the hub.
-Components of the links found settle most lists. Of the others, every pair across components is looked at: pair by
-pair for short lists, in blocks of nodes within a task for long ones. After that no link between different components
+Components of the links found settle most lists. Long lists that are still open get further hubs from their largest
+component, with which the nodes outside it are paired. Of what is open then, every pair across components is looked
+at: pair by pair for short lists, in blocks of nodes within a task for long ones, where the nodes outside the largest
+component meet all others and those inside it don't meet each other. After that no link between different components
 can be missing. Lists of very frequent tokens are salted, and their hubs linked in a second level. Pairs are first
 screened by parity sketches, which bound the difference of two sets from below; the rest is verified on whole sets.
 """
@@ -32,6 +34,7 @@ from skyledger.llm.common import cut, row_key, slices, tidy
 
 BUCKETS = 1 << 16
 SHORT_LIST, CHUNK, HOT_LIST = 128, 512, 20_000
+ROUNDS, HUBS = 2, 4  # of further hubs for long lists
 BROADCAST_IDS = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SIZE_BITS = (1 << 24) - 1  # node.d2 holds 32 bits of hash, 24 of size (clipped), 8 free
@@ -51,7 +54,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def token_sets(texts: list[str | None], n: int, known: WordHash) -> list[np.ndarray]:
-    """Each text's set of word n-grams as sorted 64-bit hashes; a shorter text is one token."""
+    """Each text's set of word n-grams as sorted 64-bit hashes; a shorter text is one token, its words with the spaces
+    that no word holds between them."""
     split = [t.encode().lower().split() if t else [] for t in texts]  # bytes: lower() takes A-Z, split() ASCII space
     flat = [w for ws in split for w in ws]
     h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
@@ -67,7 +71,7 @@ def token_sets(texts: list[str | None], n: int, known: WordHash) -> list[np.ndar
         if k >= n:
             out.append(np.unique(grams[at : at + k - n + 1]))
         else:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b"\x00".join(ws), seed=k)] if k else [], np.uint64))
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(ws), seed=k)] if k else [], np.uint64))
         at += k
     return out
 
@@ -240,8 +244,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ends, least = brackets(percent), least_size(percent)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Nodes of rows (part 0), and how often each bucket occurs (part 1: n times, bucket d1)."""
-        known, counts, id_type = WordHash(), np.zeros(BUCKETS, np.int64), None
+        """Nodes of rows (part 0; a task gives a node's sketch once), and how often each bucket occurs (part 1: n times,
+        bucket d1)."""
+        known, counts, id_type, seen = WordHash(), np.zeros(BUCKETS, np.int64), None, set()
         names = ["part", "id", "n", "d1", "d2", "_k1", "_k2", "sketch"]
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -249,8 +254,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 some = batch.slice(s.start, s.stop - s.start)
                 sets = token_sets(some.column(1).to_pylist(), n, known)
                 nodes = [node_of(x) for x in sets]
+                sketches = []
+                for x, node in zip(sets, nodes, strict=True):
+                    if len(seen) >= 100_000:
+                        seen.clear()
+                    sketches.append(None if node in seen else sketch(x))
+                    seen.add(node)
                 counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), some.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([d[i] for d in nodes], pa.int64()) for i in (0, 1)), *some.columns[2:], pa.array([sketch(x) for x in sets], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), some.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([d[i] for d in nodes], pa.int64()) for i in (0, 1)), *some.columns[2:], pa.array(sketches, pa.binary())], names)
         at = counts.nonzero()[0]
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), id_type), pa.array(counts[at]), pa.array(at), *[pa.array(np.zeros(len(at), np.int64))] * 3, pa.nulls(len(at), pa.binary())], names)
@@ -295,18 +306,43 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     starred = cut(spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
 
     listed = lists.select("node").distinct()
-    owners = cut(members.join(listed, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
+    # one row per node and task is left of a group of copies before anything is shuffled
+    firsts = members.where("sketch is not null").select("node", "id", "sketch")
+    owners = cut(firsts.join(listed, "node", "left_semi").dropDuplicates(["node"]))
     links = cut(verify(cut(screened(starred, owners, percent)), rows, owners, n, percent))
     comps = components(links)
 
     # lists of two are settled: their only pair was verified
-    placed = lists.where("size > 2 or salt > 0").select("sig", "node").distinct().join(comps, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    placed = cut(placed)
-    open_lists = placed.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 2 and low != high").select("sig", "size")
-    left = placed.join(open_lists, "sig")
+    longer = lists.where("size > 2 or salt > 0").select("sig", "node").distinct()
+
+    def still_open(among: DataFrame) -> DataFrame:
+        """The lists with nodes in several components: sig, node, label, size, main (the list's largest component)."""
+        placed = cut(among.join(comps, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label")))
+        parts = placed.groupBy("sig", "label").agg(F.count("*").alias("n"))
+        per = parts.groupBy("sig").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "label"))["label"].alias("main")).where("size > 2 and parts > 1")
+        return placed.join(per.drop("parts"), "sig")
+
+    left = cut(still_open(longer))
+    tried = starred
+    for step in range(ROUNDS):
+        many = left.where(F.col("size") > SHORT_LIST)
+        if many.isEmpty():
+            break
+        inside = many.where(F.col("label") == F.col("main"))
+        hubs = inside.groupBy("sig").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(HUBS * step + i), "node"), "node"))["node"] for i in range(HUBS)]).alias("hubs"))
+        asked = many.where(F.col("label") != F.col("main")).join(hubs, "sig").select("node", F.explode(F.array_distinct("hubs")).alias("hub")).distinct()
+        asked = asked.where(similar_size(F.col("node"), F.col("hub"), percent)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        asked = cut(asked.join(tried, ["a", "b"], "left_anti"))
+        more = cut(verify(cut(screened(asked, owners, percent)), rows, owners, n, percent))
+        tried = cut(tried.unionAll(asked))
+        if more.isEmpty():
+            break
+        links = cut(links.unionAll(more))
+        comps = components(links)
+        left = cut(still_open(left.select("sig", "node")))
     one, two = (left.where(F.col("size") <= SHORT_LIST).select("sig", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
     across = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & similar_size(F.col("a"), F.col("b"), percent)).select("a", "b").distinct()
-    across = screened(across.join(starred, ["a", "b"], "left_anti"), owners, percent)
+    across = screened(across.join(tried, ["a", "b"], "left_anti"), owners, percent)
 
     def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Pairs across components that may link, between the two chunks of a cell or inside its only one."""
@@ -335,12 +371,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         d1, d2 = pdf.d1.to_numpy(), pdf.d2.to_numpy()
         return pd.DataFrame({"a1": d1[pairs[:, 0]], "a2": d2[pairs[:, 0]], "b1": d1[pairs[:, 1]], "b2": d2[pairs[:, 1]]}, dtype="int64")
 
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = left.where(F.col("size") > SHORT_LIST).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(owners.select("node", "sketch"), "node")
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "node.d1", "node.d2", F.col("label.d1").alias("l1"), F.col("label.d2").alias("l2"), "sketch")
+    # chunks 0 to mains - 1 hold the largest component's nodes, the others the rest; two of the former never meet
+    many, outside = left.where(F.col("size") > SHORT_LIST), F.col("label") != F.col("main")
+    sizes = many.groupBy("sig").agg(*[F.ceil(F.count_if(c) / CHUNK).cast("int").alias(x) for c, x in ((~outside, "mains"), (outside, "rests"))])
+    chunk = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
+    dealt = many.join(sizes, "sig").withColumn("chunk", F.when(outside, F.col("mains") + chunk(F.col("rests"))).otherwise(chunk(F.col("mains"))))
+    dealt = dealt.withColumn("_from", F.when(outside, 0).otherwise(F.col("mains"))).join(owners.select("node", "sketch"), "node")
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.col("_from"), F.col("mains") + F.col("rests") - 1))).select(
+        "sig", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "node.d1", "node.d2", F.col("label.d1").alias("l1"), F.col("label.d2").alias("l2"), "sketch"
+    )
     blocks = cells.groupBy("sig", "c1", "c2").applyInPandas(within, "a1 long, a2 long, b1 long, b2 long")
     x, y = (F.struct(F.col(f"{c}1").alias("d1"), F.col(f"{c}2").alias("d2")) for c in "ab")
-    blocks = blocks.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
+    blocks = blocks.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = cut(verify(cut(across.unionAll(blocks).distinct()), rows, owners, n, percent))
     if not found.isEmpty():
         comps = components(links.unionAll(found))

@@ -46,8 +46,9 @@ def family(rng, base, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_against_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,rounds", [(False, 2), (True, 2), (True, 0)])
+def test_against_brute_force(spark, monkeypatch, small, rounds):
+    monkeypatch.setattr(J, "ROUNDS", rounds)
     if small:  # long lists, salts and frequent classes also come up
         monkeypatch.setattr(J, "SHORT_LIST", 4)
         monkeypatch.setattr(J, "CHUNK", 5)
@@ -66,6 +67,11 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert run(spark, rows) == brute(rows)
 
 
+def test_short_texts_with_odd_characters_stay_apart(spark):
+    rows = [(1, "a\x00b c"), (2, "a b\x00c"), (3, "a\x00b\tc"), (4, "ab c"), (5, "a bc")]
+    assert run(spark, rows) == brute(rows) and [r[2] for r in run(spark, rows)] == [1, 2, 1, 4, 5]
+
+
 def test_bracket_property():
     ends = J.brackets(85, 3000)
     at = lambda n: int(np.searchsorted(ends, n, "right")) - 1
