@@ -9,6 +9,7 @@ the sum over all its words.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -21,11 +22,25 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import cut, tidy
 
-WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 CACHED = 150_000
 
 
+def letters_and_marks() -> re.Pattern:
+    """Runs of letters and combining marks (vowel signs of Indic scripts, accents), which belong to their word."""
+    wanted = [c for c in map(chr, range(0x32000)) if unicodedata.category(c)[0] in "LM"]
+    ranges = []
+    for c in wanted:
+        if ranges and ord(c) == ranges[-1][1] + 1:
+            ranges[-1][1] = ord(c)
+        else:
+            ranges.append([ord(c), ord(c)])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+")
+
+
+WORDS = letters_and_marks()
+
+
 class LanguageModel(NamedTuple):
     langs: tuple[str, ...]
     words: dict[str, np.ndarray]  # log frequency per language, less the largest
@@ -104,14 +119,21 @@ def fit_language_model(docs: DataFrame, *, text_col: str = "text", lang_col: str
                 keys = [k for k in counts if len(k) <= 64]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([kind] * len(keys)), pa.array(keys), pa.array([counts[k] for k in keys], pa.int64())], ["lang", "kind", "key", "n"])
 
-    counts = rows.mapInArrow(tidy(count), "lang string, kind string, key string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    # written, as totals and both tables are made of it
+    counts = cut(rows.mapInArrow(tidy(count), "lang string, kind string, key string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")))
     totals = {(r.kind, r.lang): r.n for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = tuple(sorted({lang for _, lang in totals}))
     tables = []
     for kind, most in (("w", max_words), ("g", max_grams)):
-        share = F.create_map(*[x for (k, lang), n in totals.items() if k == kind for x in (F.lit(lang), F.lit(float(n)))]) if langs else None
-        top = counts.where(F.col("kind") == kind).withColumn("share", F.col("n") / share[F.col("lang")]).orderBy(F.desc("share"), "key", "lang").limit(most).toPandas() if langs else pd.DataFrame()
-        tables.append(log_table(top, langs, {lang: totals[kind, lang] for lang in langs}, ))
+        top = pd.DataFrame()
+        if langs:
+            share = F.create_map(*[x for (k, lang), n in totals.items() if k == kind for x in (F.lit(lang), F.lit(float(n)))])
+            each = counts.where(F.col("kind") == kind).withColumn("share", F.col("n") / share[F.col("lang")])
+            # a key is kept or left with its counts in all languages
+            keys = each.groupBy("key").agg(F.max("share").alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
+            kept = keys.orderBy(F.desc("share"), "key").limit(most)
+            top = kept.select("key", F.explode("n").alias("lang", "n")).toPandas()
+        tables.append(log_table(top, langs, {lang: totals[kind, lang] for lang in langs}))
     return LanguageModel(langs, *tables)
 
 
@@ -189,7 +211,7 @@ class Scorer(dict):
     def score(self, text: str | None) -> tuple[str, float, float]:
         """The language, its share, and how much of the text is familiar: the mean over its words."""
         found = WORDS.findall(text.lower()) if text else []
-        if not any(w.isalpha() for w in found) or not self.langs:
+        if not any(c.isalpha() for w in found for c in w) or not self.langs:
             return "und", 0.0, 0.0
         if self.n > CACHED:
             self.clear()
