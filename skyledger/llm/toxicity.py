@@ -38,6 +38,7 @@ class ToxicityModel(NamedTuple):
     shift: float
     voters: list[tuple[str, float]]  # name, accuracy
     correlations: np.ndarray
+    rows: int = 0  # that it was fitted on
 
 
 def word_features(word: str) -> list[str]:
@@ -72,7 +73,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.n
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         right = ((votes > 0) * q[:, None] + (votes < 0) * (1 - q)[:, None]).sum(0)
         accuracy = np.clip((right + 8) / (spoke + 10), 0.6, 0.995)
-        if step == rounds // 2:
+        if step >= rounds // 2:  # accuracies have settled; correlations follow the posteriors from here on
             means = [(votes * w[:, None]).sum(0) / max(1e-9, w.sum()) for w in (q, 1 - q)]
             centred = votes - q[:, None] * means[0] - (1 - q)[:, None] * means[1]
             sd = centred.std(0) + 1e-9
@@ -100,8 +101,8 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, n_features: int, weigh
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, max_features: int = 4_000, voters: int = 160) -> ToxicityModel:
     """Fit on the labelled rows given (already without held-out ones).
 
-    At most about max_rows labelled rows are used, half of them toxic if there are so many, chosen by a hash of the id.
-    Labels that repeat count once, toxic if any is. Null ids, labels and texts are not used. With no labels the model
+    At most max_rows labelled rows are used, half of them toxic if there are so many, chosen by a hash of the id.
+    Labels that repeat count once, toxic if any is; of several texts of an id the one with the smallest hash is used. Null ids, labels and texts are not used. With no labels the model
     rests on the seed lexicon.
     """
     spark = docs.sparkSession
@@ -112,8 +113,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     totals = {int(r.y > 0): r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen_ids = spark.createDataFrame([(r["_id"], int(r.y > 0)) for r in sample], f"_id {known.schema['_id'].dataType.simpleString()}, y int")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    # one pass over the corpus; at most max_rows ids are broadcast, and their texts are written for the two steps below
-    texts = cut(texts.join(F.broadcast(chosen_ids), "_id").select("y", "_text"))
+    # one pass over the corpus; at most max_rows ids are broadcast. An id that repeats gives one of its texts, so that there
+    # are at most max_rows of them; tasks choose first. They are written for the two steps below
+    one = F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")
+    texts = cut(texts.join(F.broadcast(chosen_ids), "_id").groupBy("_id", "y").agg(one).select("y", "_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_class = (Counter(), Counter())
@@ -160,7 +163,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         scale, shift = calibrate(margin, y, share[y.astype(int)])
     else:
         weights, bias, scale, shift = np.where([f in SEED for f in names], 4.0, 0.0), -2.0, 1.0, 0.0
-    return ToxicityModel(features, weights, bias, scale, shift, list(zip([*PATTERNS, *voting], map(float, accuracy), strict=True)), corr)
+    return ToxicityModel(features, weights, bias, scale, shift, list(zip([*PATTERNS, *voting], map(float, accuracy), strict=True)), corr, len(rows))
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

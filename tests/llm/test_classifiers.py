@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyledger.llm.langid import Scorer, fit_language_model, predict_language, quotas, stratified_sample, word_grams
 from skyledger.llm.queries import QUERIES
@@ -74,3 +75,25 @@ def test_sample_keeps_rare_languages_and_counts_copies_once(spark):
     assert stratified_sample(docs.select("lang", "text"), 5000).count() == 504
     assert fit_language_model(docs, max_rows=40).langs == ("de", "en")
     assert quotas({"a": 1, "b": 100, "c": 100}, 21) == {"a": 1, "b": 10, "c": 10} and quotas({"a": 5, "b": 5}, 1) == {"a": 1, "b": 1}
+
+
+@pytest.mark.parametrize("text,known", [("½cup", True), ("½ ² 3", False), ("हिन्दी में", True), ("\u0301", False), ("_a_", True)])
+def test_any_letter_makes_a_language(spark, text, known):
+    model = fit_language_model(spark.createDataFrame([(1, "a cup of tea", "en", 0, 0), (2, "हिन्दी में लिखा हुआ", "hi", 0, 0)], SCHEMA))
+    assert (Scorer(model).score(text)[0] != "und") == known
+    if "में" in text:
+        assert "हिन्दी" in model.words and Scorer(model).score(text)[0] == "hi"
+
+
+def test_a_kept_word_keeps_its_counts_in_all_languages(spark):
+    rows = [(1, "shared shared shared alpha beta gamma", "en", 0, 0), (2, "shared eins zwei drei vier fuenf sechs sieben acht neun", "de", 0, 0)]
+    model = fit_language_model(spark.createDataFrame(rows, SCHEMA), max_words=1)
+    # 3 of 6 words in en, 1 of 10 in de: the word cut for de would score as never seen there
+    assert list(model.words) == ["shared"] and np.allclose(model.words["shared"], [np.log((1.5 / 10.5) / (3.5 / 6.5)), 0])
+
+
+def test_repeated_ids_do_not_exceed_the_bound(spark):
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels, max_rows=2)
+    assert model.rows == 2 and all(0 <= r.score <= 1 for r in score_toxicity(docs.limit(5), model).collect())
