@@ -91,7 +91,7 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 sized AS (
-  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '(</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE)', 'x\1', 'g'))
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, length(regexp_replace(replace(text, '\', '\\'), '(</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE)', 'x\1', 'g'))
     + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18 END AS chars
   FROM turns)
 SELECT conv_id, count(*) AS n_turns,
@@ -99,7 +99,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewrites
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """
 
 
