@@ -67,7 +67,7 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(*tagged).alias("_k1"), F.xxhash64(F.lit("second"), *tagged).alias("_k2")]
 
 
-def shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession, kept: bool = False) -> str:
     """A new folder below the cluster's shared checkpoint folder (spark.checkpoint.dir), which must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -78,7 +78,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/skyledger-checkpoints"  # one machine: driver and executor are one process
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    if _scopes:
+    if _scopes and not kept:
         _scopes[-1].append(path)
     return path
 
@@ -99,13 +99,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(conf).delete(p, True)
 
 
-def cut(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs start there, even when executors are lost."""
-    path = shared_dir(df.sparkSession)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+def cut(df: DataFrame, *, kept: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: later jobs start there, even when executors are lost.
+
+    kept: the table outlives the scratch() that it is made in.
+    """
+    path = shared_dir(df.sparkSession, kept)
+    df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import ascii_lower, crc_bucket, cut, row_key, words
+from skyledger.llm.common import ascii_lower, crc_bucket, cut, row_key, scratch, words
 
 
 def test_words_keys_and_cut(spark):
@@ -10,3 +11,12 @@ def test_words_keys_and_cut(spark):
     assert len({(r._k1, r._k2) for r in got}) == 3
     again = cut(df)
     assert again.schema == df.schema and again.count() == 4
+
+
+def test_scratch_removes_what_is_not_kept(spark):
+    with scratch(spark):
+        inner, outer = cut(spark.range(3)), cut(spark.range(4), kept=True)
+        assert inner.count() == 3
+    assert outer.count() == 4
+    with pytest.raises(Exception, match="(?i)not exist|no such|not_exist"):
+        inner.count()

@@ -82,3 +82,16 @@ def test_segment_limit():
         p.add(i, 1, 0)
     p.finish()
     assert sorted(x[0] for b in bins for x in b) == list(range(25)) and max(map(len, bins)) <= 2
+
+
+def test_short_documents_leave_little_padding():
+    rng = np.random.default_rng(0)
+    for sizes in (np.full(20_000, 10), np.full(5000, 1), rng.integers(1, 40, 8000), rng.integers(1, 3000, 2000)):
+        bins = []
+        p = Packer(2048, 2048, 2048, bins.append)
+        for i, n in enumerate(sizes):
+            p.add(i, int(n), 0)
+        p.finish()
+        lengths = [sum(b - a for _, a, b in x) for x in bins]
+        assert sum(lengths) == sizes.sum() and max(lengths) <= 2048
+        assert sum(0 if x & (x - 1) == 0 else 2048 - x for x in lengths) <= 0.001 * sizes.sum()

@@ -34,7 +34,7 @@ def test_stages_against_brute_force(spark):
         assert set(kept) == want, name
         docs, before = after, kept
     rows = P.STAGES[-1][1](spark, docs, SF).collect()
-    packed_whole(rows, {k: r.text for k, r in before.items()}, 2048, 64)
+    packed_whole(rows, {k: r.text for k, r in before.items()}, 2048, 2048)
 
 
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
