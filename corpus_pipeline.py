@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import crc_bucket, cut, row_key, small_batches, table
+from skyledger.llm.common import crc_bucket, cut, row_key, scratch, small_batches, table
 from skyledger.llm.decontaminate import decontaminate
 from skyledger.llm.jaccard import jaccard_components
 from skyledger.llm.langid import fit_language_model, predict_language
@@ -85,7 +85,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return pack_examples(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, max_segments=64)
+    return pack_examples(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
 STAGES = [("toxicity", toxicity), ("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
@@ -96,5 +96,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark):  # tables within a stage go when its result is written
+            docs = cut(stage(spark, docs, sf_dir), kept=True)
     return STAGES[-1][1](spark, docs, sf_dir)
