@@ -23,22 +23,28 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import cut, tidy
 
 LONGEST = 4
-CACHED = 150_000
+CACHED = 200_000
 
 
-def letters_and_marks() -> re.Pattern:
+def letters_and_marks(stop: int) -> re.Pattern:
     """Runs of letters and combining marks (vowel signs of Indic scripts, accents), which belong to their word."""
-    wanted = [c for c in map(chr, range(0x32000)) if unicodedata.category(c)[0] in "LM"]
     ranges = []
-    for c in wanted:
-        if ranges and ord(c) == ranges[-1][1] + 1:
-            ranges[-1][1] = ord(c)
-        else:
-            ranges.append([ord(c), ord(c)])
+    for c in range(stop):
+        if unicodedata.category(chr(c))[0] in "LM":
+            if ranges and c == ranges[-1][1] + 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+")
 
 
-WORDS = letters_and_marks()
+#: The class up to U+FFFF is several times faster and serves texts without characters beyond it.
+COMMON_WORDS, ALL_WORDS, BEYOND = letters_and_marks(0x10000), letters_and_marks(0x32000), re.compile("[\U00010000-\U0010ffff]")
+
+
+def words_of(text: str) -> list[str]:
+    lower = text.lower()
+    return (ALL_WORDS if BEYOND.search(lower) else COMMON_WORDS).findall(lower)
 
 
 class LanguageModel(NamedTuple):
@@ -109,7 +115,7 @@ def fit_language_model(docs: DataFrame, *, text_col: str = "text", lang_col: str
         found: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
+                found.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in found.items():
             grams: Counter = Counter()
             for word, n in words.items():
@@ -154,6 +160,7 @@ class Scorer(dict):
         self.langs = model.langs
         table = lambda known: ({k: i for i, k in enumerate(known)}, np.stack([*known.values()]) if known else np.zeros((0, len(model.langs))))
         (self.words, self.word_rows), (self.grams, self.gram_rows) = table(model.words), table(model.grams)
+        self.gram_weights = np.array([len(g) / LONGEST for g in model.grams])
         self.rows, self.n, self.new = np.zeros((1024, len(model.langs))), 0, []
         self.familiar = np.zeros(1024)  # 1 for known words, the known share of their n-grams for others
 
@@ -169,30 +176,40 @@ class Scorer(dict):
         while self.n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.familiar = np.concatenate([self.familiar, np.zeros_like(self.familiar)])
-        first, grams = self.n - len(self.new), self.grams.get
-        known, owner, found, weight, lengths, most = [], [], [], [], np.ones(len(self.new)), np.ones(len(self.new))
+        first, grams, words = self.n - len(self.new), self.grams.get, self.words.get
+        known, found, ends, sizes = [], [], [], []
         for i, word in enumerate(self.new):
-            at = self.words.get(word)
+            at = words(word)
             if at is not None:
                 known.append((i, at))
-                continue
-            w = f"^{word}$"
-            lengths[i] = max(1.0, len(w) / 4)
-            most[i] = sum(min(LONGEST, len(w) - j) - 1 for j in range(len(w))) / LONGEST
-            for j in range(len(w)):
-                for n in range(min(LONGEST, len(w) - j), 0, -1):
-                    g = grams(w[j : j + n])
-                    if g is not None:
-                        owner.append(i)
-                        found.append(g)
-                        weight.append(n / LONGEST)
-                        break
-        total, familiar = np.zeros((len(self.new), len(self.langs))), np.zeros(len(self.new))
-        if owner:
-            familiar = np.bincount(owner, np.asarray(weight) - 1 / LONGEST, len(self.new)) / most
-            each = self.gram_rows[found] * np.asarray(weight)[:, None]
-            for x in range(len(self.langs)):
-                total[:, x] = np.bincount(owner, each[:, x], len(self.new))
+                sizes.append(4)
+            else:
+                w = f"^{word}$"
+                sizes.append(len(w))
+                for j in range(len(w)):
+                    part = w[j : j + LONGEST]
+                    while part:
+                        g = grams(part)
+                        if g is not None:
+                            found.append(g)
+                            break
+                        part = part[:-1]
+            ends.append(len(found))
+        size = np.array(sizes)
+        lengths, most = np.maximum(1.0, size / 4), (LONGEST - 1) * (size - LONGEST / 2) / LONGEST  # of grams of two and more
+        weight = self.gram_weights[found]
+        begins = np.array([0, *ends[:-1]])
+        some = np.array(ends) > begins
+
+        def summed(x: np.ndarray) -> np.ndarray:
+            """Sums per word, each over its own grams only, so that they don't depend on a batch's other words."""
+            out = np.zeros((len(begins), x.shape[1]))
+            if len(x):
+                out[some] = np.add.reduceat(x, begins[some], axis=0)
+            return out
+
+        familiar = summed((weight - 1 / LONGEST)[:, None])[:, 0] / np.maximum(most, (LONGEST - 1) / LONGEST)
+        total = summed(self.gram_rows[found] * weight[:, None])
         total -= total.max(1, keepdims=True)
         total = np.maximum(total / lengths[:, None], -6.0)
         if known:
@@ -210,7 +227,7 @@ class Scorer(dict):
 
     def score(self, text: str | None) -> tuple[str, float, float]:
         """The language, its share, and how much of the text is familiar: the mean over its words."""
-        found = WORDS.findall(text.lower()) if text else []
+        found = words_of(text) if text else []
         if not any(c.isalpha() for w in found for c in w) or not self.langs:
             return "und", 0.0, 0.0
         if self.n > CACHED:

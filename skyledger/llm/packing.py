@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import slices, tidy
 
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 200_000
 POOL = 192
 
 
@@ -103,6 +103,11 @@ class ChunkIds(dict):
             ids = b"".join(found)
         return ids
 
+    def forget(self) -> None:
+        """Drop what was cached; Python workers live on through other stages."""
+        for x in (self, self.old, self.known):
+            x.clear()
+
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split()))
 
@@ -261,6 +266,7 @@ def pack_examples(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
                     out.clear()
         packer.finish()
         yield from rows_of(out, last)
+        table.forget()
 
     def rows_of(out: list, key_type: pa.DataType | None) -> Iterator[pa.RecordBatch]:
         if out:
