@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import cut, tidy
 
 LONGEST = 4
-CACHED = 200_000
+CACHED = 150_000
 
 
 def letters_and_marks(stop: int) -> re.Pattern:
