@@ -134,6 +134,44 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+SQL["op2_license_scan"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases(t, label, base, phrase) AS (VALUES
+  (1, 'cc-by', true, 'cc by'), (2, 'gpl', true, 'general public license'), (3, 'reserved', true, 'all rights reserved'), (4, 'mit', false, 'released under the mit license'),
+  (5, 'mit', false, 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files'),
+  (6, 'apache-2.0', false, 'licensed under the apache license version 2 0'), (7, 'apache-2.0', false, 'you may not use this file except in compliance with the license'),
+  (8, 'gpl-3.0', false, 'this work is licensed under the gnu general public license version 3'),
+  (9, 'gpl-3.0', false, 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license'),
+  (10, 'cc-by-nc-4.0', false, 'licensed under cc by nc 4 0'), (11, 'cc-by-sa-4.0', false, 'licensed under cc by sa 4 0'),
+  (12, 'bsd', false, 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  (13, 'mpl-2.0', false, 'this source code form is subject to the terms of the mozilla public license')),
+templates AS (SELECT *, string_split(phrase, ' ') AS p FROM phrases),
+needed AS (SELECT *, len(p) AS n, CASE WHEN len(p) <= 12 THEN 1.0e0 ELSE 0.75e0 END AS enough FROM templates),
+grams AS (SELECT t, label, base, n, enough, unnest(range(1, n)) AS q, p FROM needed),
+words AS (SELECT r, w, unnest(range(1, len(w))) AS s FROM d),
+bigrams AS (SELECT r, s - 1 AS pos, w[s] AS a, w[s + 1] AS b FROM words),
+diagonals AS (
+  SELECT r, t, label, base, n, enough, pos - (q - 1) AS diag, list(DISTINCT q - 1) AS hits FROM bigrams JOIN grams ON a = p[q] AND b = p[q + 1] GROUP BY ALL
+  HAVING CASE WHEN base THEN count(DISTINCT q) = n - 1 ELSE count(DISTINCT q) > 1 OR n <= 6 END),
+places AS (SELECT r, label, diag FROM diagonals WHERE base),
+other AS (SELECT *, diag + list_min(hits) AS first, diag + list_max(hits) + 2 AS last FROM diagonals WHERE NOT base),
+marked AS (SELECT *, CASE WHEN diag - lag(diag) OVER o <= 3 THEN 0 ELSE 1 END AS fresh FROM other WINDOW o AS (PARTITION BY r, t ORDER BY diag)),
+chained AS (SELECT *, sum(fresh) OVER (PARTITION BY r, t ORDER BY diag) AS chain FROM marked),
+near AS (SELECT x.r, x.t, x.label, x.n, x.enough, x.chain, flatten(list(y.hits)) AS hits, min(y.first) AS first, max(y.last) AS last FROM chained x JOIN chained y ON y.r = x.r AND y.t = x.t AND y.diag BETWEEN x.diag AND x.diag + 3 GROUP BY x.r, x.t, x.label, x.n, x.enough, x.chain, x.diag),
+candidates AS (
+  SELECT r, t, label, n, enough, chain, true AS alone, hits, first, last FROM chained UNION ALL SELECT r, t, label, n, enough, chain, false, hits, first, last FROM near
+  UNION ALL SELECT r, t, label, n, enough, chain, false, flatten(list(hits)), min(first), max(last) FROM chained GROUP BY ALL),
+spans AS (SELECT *, len(list_distinct(list_concat(hits, list_transform(hits, lambda x: x + 1)))) / n AS covered FROM candidates),
+passing AS (SELECT r, label, chain, t, coalesce(max(covered) FILTER (alone), max(covered)) AS covered FROM spans WHERE covered >= enough AND last - first <= 1.5 * n + 3 GROUP BY ALL),
+found AS (SELECT r, label, 1.0e0 AS covered FROM places UNION ALL SELECT r, label, covered FROM passing),
+labelled AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score FROM found GROUP BY r),
+based AS (SELECT r, count(*) AS n_base, min(diag) AS first_word, max(diag) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n_base, 0) AS n_base, CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word, coalesce(b.base_labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(l.score, 0) AS score
+FROM d LEFT JOIN based b ON b.r = d.r LEFT JOIN labelled l ON l.r = d.r
+"""
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -167,3 +205,28 @@ def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+SQL["op9_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(CASE WHEN len(w) >= 4 THEN range(1, len(w) - 2) WHEN len(w) > 0 THEN [1] ELSE [] END) AS s FROM d),
+grams AS (SELECT DISTINCT r, array_to_string(w[s:s + 3], ' ') AS g FROM starts),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS same FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * same >= 85 * (p.n + q.n - same)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(r, t) AS (SELECT r, r FROM d UNION SELECT reached.r, edges.y FROM reached JOIN edges ON edges.x = reached.t)
+SELECT own.doc_id, coalesce(sizes.n, 0) AS n_shingles, c.component_id FROM d own LEFT JOIN sizes ON sizes.r = own.r
+JOIN (SELECT reached.r, min(d.doc_id) AS component_id FROM reached JOIN d ON d.r = reached.t GROUP BY reached.r) c ON c.r = own.r
+"""
+
+
+@query
+def packing_with_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns with the turn before as their prompt, which bears no loss: all three limits of the packing bind."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    pairs = turns.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left")
+    pairs = pairs.withColumn("example", F.concat_ws("/", "conv_id", "turn"))
+    return pack_examples(pairs, public_tokenizers.path("word_bpe_49k.json"), id_col="example", prompt_col="prompt", capacity=2048, max_segments=48, max_loss=1024)
