@@ -32,6 +32,7 @@ COMMANDS = [
     ("checksum", "checksum", r"(^|[;&|()\s])(sha\w*sum|md5sum)(\s|$)"), ("compare", "diff or compare", r"(^|[;&|()\s])(diff|cmp)(\s|$)"), ("list", "file listing", r"(^|[;&|()\s])ls(\s|$)"), ("file-operation", "file operation", r"(^|[;&|()\s])(cp|mv|rm|touch|mkdir)(\s|$)"),
     ("script", "script", r"(^|[;&|()\s])(python\d*|node|perl|ruby)(\s|$)"), ("test-or-build", "test or build", r"(^|[;&|()\s])(npm|pnpm|yarn|bun|pytest|vitest|tsc)(\s|$)"),
 ]
+#: Redirections and writing commands: fixed values.
 REDIRECT = r"""(?:^|[^<])>{1,2}\s*["']?([^\s;|"']+)"""
 WRITES = r"\b(sed|perl)\s+[^;&|]*-i\b|\btee\b|(^|[;&|]\s*)(cp|mv|rm|touch|mkdir)\b"
 #: Mutations and activities in shell commands: fixed values.
@@ -83,11 +84,11 @@ def narrow_family(task: Column, strict: bool = True) -> Column:
     return out
 
 
-def tool_category(name: Column) -> Column:
-    """P14."""
+def tool_category(name: Column, native: str = "native-code") -> Column:
+    """P14. Facts say native-code; trajectory tables say native code."""
     out = F.lit("other")
     for label, names in reversed(TOOLS.items()):
-        out = F.when(name.isin(names), label).otherwise(out)
+        out = F.when(name.isin(names), native if label == "native-code" else label).otherwise(out)
     return out
 
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Reasoning modes in order: fixed values.
 REASONING = ["off", "minimal", "low", "medium", "high", "xhigh", "max"]
 #: Fields of a configuration that its hash covers, in order: fixed values.
 HASHED = ["configurationId", "agentFamily", "agentVersion", "modelFamily", "modelVersion", "provider", "harnessFamily", "harnessVersion", "adapterVersion", "model", "thinking", "transport", "harnessKind", "tools", "extensions", "rules", "runtimeFlags", "environment", "configurationLabels"]

@@ -11,6 +11,13 @@ from skyledger.functions.classify import command_features, tool_category
 
 #: Event dialects, by what they call a tool call: type of a call, of a model round, of an error: fixed values.
 ITEM_CALLS = ["command_execution", "file_change", "mcp_tool_call", "web_search"]
+#: Completed items of timelines: actions with the tool that they count as, and others: fixed values.
+ACTION_ITEMS = {
+    "commandExecution": "command_execution", "fileChange": "edit", "fileRead": "read", "search": "search", "webSearch": "webSearch", "webFetch": "webFetch", "imageView": "imageView", "imageGeneration": "imageGeneration", "backgroundTask": "backgroundTask", "delegation": "delegation",
+}
+OTHER_ITEMS = ["userMessage", "agentMessage", "text", "image", "localImage", "localFile", "reasoning", "plan", "planSteps", "contextCompaction", "extension"]
+#: Tools that the code-mode profile must declare: fixed values.
+PROFILE_TOOLS = ["codemode", "read", "bash", "write", "search", "replace", "insert", "delete", "copy", "move"]
 DIALECTS = ["items", "parts", "messages", "turns", "executions"]
 
 
@@ -96,10 +103,36 @@ def event_metrics(events: DataFrame, dialect: str, key: Sequence[str]) -> DataFr
     return events.groupBy(*key).agg(F.count("*").alias("eventCount"), n(is_call(dialect)).alias("toolCalls"), (n(rounds) if rounds is not None else none_long).alias("modelRounds"), n(errors).alias("errors"), *[c.alias(k) for k, c in out.items()])
 
 
+def timeline_tool() -> Column:
+    """The tool of a completed timeline item; null for items that are no action; an unknown item fails."""
+    kind = get("data.item.type")
+    named = F.coalesce(get("data.item.tool"), F.lit(""))
+    call = F.when(named == "", F.raise_error(F.lit("tool call without a tool name")).cast("string")).otherwise(named)
+    out = F.when(kind.isNull() | kind.isin(OTHER_ITEMS), F.lit(None).cast("string")).when(kind == "toolCall", call)
+    for item, tool in ACTION_ITEMS.items():
+        out = out.when(kind == item, tool)
+    return F.when(get("type") == "item/completed", out.otherwise(F.raise_error(F.concat(F.lit("unknown timeline item: "), kind)).cast("string")))
+
+
 def timeline_metrics(events: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rounds as the larger of token and context updates; usage only if every update reports it."""
-    t = get("type")
-    updates, contexts = F.count_if(t == "tokenUsage"), F.count_if(t == "context")
-    whole = F.count_if((t == "tokenUsage") & get("tokenUsage.last.totalTokens", "long").isNotNull()) == updates
-    total = F.sum(F.when(t == "tokenUsage", get("tokenUsage.last.totalTokens", "long")))
-    return events.groupBy(*key).agg(F.greatest(updates, contexts).alias("modelRounds"), F.count_if((t == "turn") & (get("status") != "completed")).alias("errors"), F.when((updates > 0) & whole, total).alias("totalTokens"))
+    """Model rounds as the larger of token and context updates; usage only if there are as many of the former.
+
+    Cost and failed calls are not reported there and stay null. An item of an unknown type fails the query.
+    """
+    t, last = get("type"), "data.tokenUsage.last"
+    used = (t == "thread/tokenUsage/updated") & get(last, "variant").isNotNull()
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    tokens, contexts = n(used), n(t == "thread/contextWindowUsage/updated")
+    whole = (tokens > 0) & (tokens >= contexts)
+    total = lambda c: F.when(whole, F.sum(F.when(used, F.coalesce(get(f"{last}.{c}", "long"), F.lit(0)))))
+    none = F.lit(None)
+    return events.groupBy(*key).agg(
+        F.count("*").alias("eventCount"), F.count(timeline_tool()).alias("toolCalls"), F.greatest(tokens, contexts).alias("modelRounds"), n((t == "turn/completed") & ~get("data.status").eqNullSafe("completed")).alias("errors"),
+        *[total(c).alias(name) for name, c in (("inputTokens", "inputTokens"), ("outputTokens", "outputTokens"), ("cacheReadTokens", "cachedInputTokens"), ("totalTokens", "totalTokens"))], none.cast("double").alias("costUsd"), none.cast("long").alias("failedToolCalls"),
+    )
+
+
+def profile_errors(declared: DataFrame, tools: str = "tools", required: Sequence[str] = tuple(PROFILE_TOOLS)) -> DataFrame:
+    """Rows whose declared tools lack required ones, with those that are missing, in the order required."""
+    missing = F.array_except(F.array(*map(F.lit, required)), F.col(tools))
+    return declared.withColumn("missing", missing).where(F.size("missing") > 0)

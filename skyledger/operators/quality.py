@@ -188,6 +188,71 @@ def registry_checks(models: DataFrame, routes: DataFrame) -> DataFrame:
     return union_all([duplicates(models, ["id"], "V16 model"), duplicates(routes, ["provider", "selector"], "V16 route"), row_checks(models, F.col("id"), {"V16 id": F.col("id").rlike(LABEL)})])
 
 
+HEX64 = r"\A[0-9a-f]{64}\z"
+
+
+def exclusion_checks(decisions: DataFrame) -> DataFrame:
+    """Decisions of an exclusion policy: unique ids, known status and scope, a reason, a revision, and a selector
+    that names one configuration by hash or one package by name, version and digest, nothing wider.
+
+    decisions: id, status, scope, reason, decisionRevision, selector (kind, configurationHash, name, version, digestSha256).
+    """
+    s = F.col("selector")
+    filled = lambda c: F.coalesce(c != "", F.lit(False))
+    none = lambda *names: F.coalesce(*[s[n] for n in names]).isNull()
+    configuration = (s["kind"] == "configuration") & s["configurationHash"].rlike(HEX64) & none("name", "version", "digestSha256")
+    package = (s["kind"] == "package") & filled(s["name"]) & filled(s["version"]) & s["digestSha256"].rlike(HEX64) & none("configurationHash")
+    exact = F.coalesce(configuration, F.lit(False)) | F.coalesce(package, F.lit(False))
+    checks = {
+        "V15 id": F.coalesce(F.col("id").rlike(LABEL), F.lit(False)), "V15 status": F.coalesce(F.col("status").isin("active", "withdrawn"), F.lit(False)), "V15 scope": F.col("scope").eqNullSafe("canonical-comparisons"), "V15 reason": filled(F.trim("reason")),
+        "V15 revision": F.coalesce(F.col("decisionRevision").rlike(r"\A[0-9a-f]{40}\z"), F.lit(False)), "V15 selector": exact,
+    }
+    return union_all([duplicates(decisions, ["id"], "V15 unique"), row_checks(decisions, F.col("id"), checks)])
+
+
+def policy_revision(decisions: DataFrame, order: str = "position") -> DataFrame:
+    """One row, the digest of a policy's decisions in their order. A policy is one document."""
+    fields = [c for c in decisions.columns if c != order]
+    entry = F.struct(F.col(order).alias("k"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("v"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["v"]), ",")
+    return decisions.agg(F.count("*").alias("decisions"), F.sha2(F.concat(F.lit("["), text, F.lit("]")), 256).alias("revision"))
+
+
+def preserved_runs(current: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Runs of the current index that a rebuild would drop, or whose manifest it would change."""
+    new = rebuilt.select("runId", F.col("manifestSha256").alias("_new"), F.lit(True).alias("_there")).dropDuplicates(["runId"])
+    rows = current.select("runId", "manifestSha256").join(new, "runId", "left")
+    changed = F.coalesce(F.col("manifestSha256") != "", F.lit(False)) & ~F.col("manifestSha256").eqNullSafe(F.col("_new"))
+    what = F.when(F.col("_there").isNull(), "dropped").when(changed, "changed")
+    return violations(rows.where(what.isNotNull()), "J23 preserved", F.col("runId"), what)
+
+
+#: Fields without which an identity is not public, and lists that must be there even if empty: fixed values.
+IDENTITY_FIELDS = ["agentFamily", "agentVersion", "modelFamily", "modelVersion", "harnessFamily", "adapterVersion"]
+METADATA_LISTS = ["tools", "extensions", "rules", "runtimeFlags", "environment"]
+
+
+def identity_completeness(configurations: DataFrame, key: Column) -> DataFrame:
+    """Configurations that lack an identity field, or a metadata list (a missing list is not an empty one)."""
+    there = {f"V23 {c}": F.coalesce(F.col(c) != "", F.lit(False)) for c in IDENTITY_FIELDS}
+    lists = {f"V23 {c}": F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull()) for c in [*METADATA_LISTS, "configurationLabels"]}
+    return row_checks(configurations, key, there | {n: F.coalesce(c, F.lit(False)) for n, c in lists.items()})
+
+
+def recomputed_manifest(evidence: Evidence, manifest: DataFrame) -> DataFrame:
+    """Fields of a manifest (runId, field, value) that the evidence itself doesn't give.
+
+    Recomputed are the counts of profiles, trials, rounds and calls, passes of the first and last round, and the hashes of
+    the verifier and of the task set.
+    """
+    e = evidence
+    count = lambda df, name: df.groupBy("runId").agg(F.count("*").cast("string").alias("value")).select("runId", F.lit(name).alias("field"), "value")
+    passes = lambda c: e.trials.groupBy("runId").agg(F.count_if(F.coalesce(c, F.lit(False))).cast("string").alias("value")).select("runId", F.lit(c).alias("field"), "value")
+    named = lambda c: e.runs.select("runId", F.lit(c).alias("field"), F.col(c).alias("value"))
+    known = union_all([count(e.profiles, "profiles"), count(e.trials, "trials"), count(e.rounds, "rounds"), count(e.tool_calls, "toolCalls"), passes("firstExactPassed"), passes("finalExactPassed"), named("verifierSha256"), named("taskSetSha256")])
+    return misaligned(known, manifest, ["runId", "field"], ["value"])
+
+
 def smoke_gate(trials: DataFrame, profiles: DataFrame) -> DataFrame:
     """Profiles without exactly one trial, or whose trial failed."""
     per = trials.groupBy("runId", "profileId").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("finalExactPassed", F.lit(False))).alias("ok"))
@@ -214,11 +279,6 @@ def harness_versions(runs: DataFrame, profiles: DataFrame) -> DataFrame:
     return row_checks(joined, F.concat_ws("/", "runId", "profileId"), {"A54 version": F.array_contains("versions", F.col("harnessVersion"))})
 
 
-def unmatched_totals(left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Keys whose totals differ between two tables, or that only one has."""
-    return misaligned(left, right, key, fields)
-
-
 def differences(cases: DataFrame, key: Sequence[str]) -> DataFrame:
     """Reviewed rounds as pass, eof or other; passed wins over eof.
 

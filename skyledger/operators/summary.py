@@ -260,3 +260,31 @@ def trials_of_cases(cases: DataFrame, trials: str = "trials") -> DataFrame:
     rows = cases.select("profileId", F.explode(trials).alias("t")).select("profileId", "t.*")
     require(duplicates(rows, ["profileId", "taskId"], "S09 trial"))
     return rows
+
+
+def first_seen(rows: DataFrame, key: Sequence[str], carried: Sequence[str], order: str) -> DataFrame:
+    """Per key the other columns of its first row under an order; never of just any row."""
+    return rows.groupBy(*key).agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in carried])
+
+
+def with_suffix(rows: DataFrame, column: str, suffix: str = "-ide") -> DataFrame:
+    """rows of profiles with the suffix."""
+    return rows.where(F.col(column).endswith(suffix))
+
+
+def failed_first(rows: DataFrame, passed: str = "firstExactPassed") -> DataFrame:
+    """rows that did not pass at first; unknown counts as not passed."""
+    return rows.where(~F.coalesce(F.col(passed), F.lit(False)))
+
+
+def below(rows: DataFrame, value: str, limit: float = 75.0) -> DataFrame:
+    """rows with a value under the limit."""
+    return rows.where(F.col(value) < limit)
+
+
+def batches(rows: DataFrame, kinds: dict[str, int], kind: str, order: Sequence[str]) -> DataFrame:
+    """The first rows of each kind, as many as the kind's allowance: a bounded batch of waiting candidates."""
+    most = F.lit(0)
+    for name, n in kinds.items():
+        most = F.when(F.col(kind) == name, n).otherwise(most)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("rank") <= most)

@@ -91,7 +91,7 @@ def leaderboard_exact(spark, sf_dir):
     return exact_columns(exact(spark, sf_dir))
 
 
-@query(f"WITH {TRIALS.replace('FROM orders JOIN', 'FROM (SELECT * FROM orders) orders JOIN')}, {EXACT.replace('FROM trials GROUP BY ALL', chr(10) + chr(32) + chr(32) + 'FROM trials WHERE thinking IN (' + chr(39) + 'low' + chr(39) + ', ' + chr(39) + 'high' + chr(39) + ') AND c_mktsegment = ' + chr(39) + 'BUILDING' + chr(39) + ' GROUP BY ALL')} {EXACT_SELECT}")
+@query(f"WITH {TRIALS.replace('trials AS (', 'every AS (')}, trials AS (SELECT * FROM every WHERE thinking IN ('low', 'high') AND c_mktsegment = 'BUILDING'), {EXACT} {EXACT_SELECT}")
 def leaderboard_filtered(spark, sf_dir):
     return exact_columns(exact(spark, sf_dir, {"reasoning": ["low", "high"], "harness": ["BUILDING"], "model": []}))
 
@@ -132,13 +132,7 @@ def task_cells(spark, sf_dir):
     return C.cells(C.trial_facts(from_star(spark, sf_dir)), ["modelFamily", "harnessFamily"]).select("modelFamily", "harnessFamily", "taskId", "n", "firstPasses", "finalPasses", r("duration_total", 4).alias("duration_total"), "duration_n", "recoveryRounds")
 
 
-@query(f"""WITH {TRIALS} SELECT n_name AS "modelFamily", task_id AS "taskId", list(struct_pack(t := CAST(o_orderkey AS VARCHAR), f := f, g := g) ORDER BY CAST(o_orderkey AS VARCHAR))::VARCHAR AS "samples" FROM trials WHERE n_name = 'NATION_7' GROUP BY ALL""".replace("list(struct_pack(t := CAST(o_orderkey AS VARCHAR), f := f, g := g) ORDER BY CAST(o_orderkey AS VARCHAR))::VARCHAR", "string_agg(concat(CAST(o_orderkey AS VARCHAR), ':', CASE WHEN f THEN '1' ELSE '0' END, CASE WHEN g THEN '1' ELSE '0' END), ' ' ORDER BY CAST(o_orderkey AS VARCHAR))"))
-def task_samples(spark, sf_dir):
-    """A12, A13 of one model, as its SQL says; task_samples_all has every model."""
-    return sample_lines(C.trial_facts(from_star(spark, sf_dir), {"model": ["NATION_7"]}))
-
-
-@query(SQL["task_samples"].replace(" WHERE n_name = 'NATION_7'", ""))
+@query(f"""WITH {TRIALS} SELECT n_name AS "modelFamily", task_id AS "taskId", string_agg(concat(CAST(o_orderkey AS VARCHAR), ':', CASE WHEN f THEN '1' ELSE '0' END, CASE WHEN g THEN '1' ELSE '0' END), ' ' ORDER BY CAST(o_orderkey AS VARCHAR)) AS "samples" FROM trials GROUP BY ALL""")
 def task_samples_all(spark, sf_dir):
     """Every trial of every model gives a sample."""
     return sample_lines(C.trial_facts(from_star(spark, sf_dir)))

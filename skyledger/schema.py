@@ -1,4 +1,4 @@
-"""Explicit schemas of the evidence tables. Readers never infer."""
+"""Explicit schemas of the evidence tables; their field names are fixed values. Readers never infer."""
 
 from __future__ import annotations
 

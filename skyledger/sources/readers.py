@@ -100,8 +100,9 @@ def trial_files(spark: SparkSession, root: str, pattern: str = "*.json") -> Data
 MIB = 1 << 20
 
 
-def archive_entries(archives: DataFrame, *, packed: int = 32 * MIB, raw: int = 128 * MIB, entry: int = 4 * MIB) -> DataFrame:
-    """Entries of tar.gz contents (columns path, content), under limits on packed, raw and entry bytes.
+def archive_entries(archives: DataFrame, *, packed: int = 32 * MIB, raw: int = 128 * MIB, entry: int = 4 * MIB, rows_each: int = 100_000) -> DataFrame:
+    """Entries of tar.gz contents (columns path, content), under limits on packed, raw and entry bytes, and on the
+    rows of a table (lines of a .jsonl entry).
 
     Anything but plain files with plain relative names is refused.
     """
@@ -119,11 +120,10 @@ def archive_entries(archives: DataFrame, *, packed: int = 32 * MIB, raw: int = 1
                             raise ValueError(f"{path}: unexpected entry {member.name}")
                         if member.size > entry or total > raw:
                             raise ValueError(f"{path}: {member.name} exceeds a limit")
-                        rows.append((path, member.name, tar.extractfile(member).read()))
+                        body = tar.extractfile(member).read()
+                        if member.name.endswith(".jsonl") and body.count(b"\n") > rows_each:
+                            raise ValueError(f"{path}: {member.name} has more than {rows_each} rows, over the limit")
+                        rows.append((path, member.name, body))
             yield pd.DataFrame(rows, columns=["path", "name", "content"])
 
     return archives.select("path", "content").mapInPandas(unpack, "path string, name string, content binary")
-
-
-def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in "region nation customer supplier part orders lineitem events".split()}

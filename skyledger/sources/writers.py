@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.evidence import Evidence
 from skyledger.functions.identity import badge_color, canonical_json
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new place below the folder that driver and executors share (spark.checkpoint.dir); on one machine a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/skyledger-files"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON lines with null fields kept."""
     return df.select(canonical_json(F.struct("*")).alias("value"))
@@ -54,6 +67,32 @@ def view_document(frames: Mapping[str, DataFrame], drop: Sequence[str] = ()) ->
     return {n: json_rows(df.drop(*drop)) for n, df in frames.items()}
 
 
+#: Columns that the leaderboard document leaves out.
+BULKY = ("trialSamples", "configurationTaskCells")
+
+
+def leaderboard_document(rows: DataFrame, order: Sequence[str], drop: Sequence[str] = BULKY) -> DataFrame:
+    """Leaderboard.json, one row: schemaVersion, how many rows, and the rows in order without bulky columns.
+
+    A leaderboard has one row per configuration and is one document.
+    """
+    kept = rows.drop(*drop)
+    entry = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), F.struct(*kept.columns).alias("row"))))
+    body = F.struct(F.lit(1).alias("schemaVersion"), F.count("*").alias("count"), F.transform(entry, lambda x: x["row"]).alias("rows"))
+    return kept.agg(canonical_json(body).alias("document"))
+
+
+def summary_document(evidence: Evidence) -> DataFrame:
+    """Summary.json, one row: how many runs, submissions, profiles, models, harnesses, trials and rounds there are."""
+    one = lambda df, **aggs: df.agg(*[c.alias(n) for n, c in aggs.items()])
+    e = evidence
+    runs = one(e.runs, runs=F.count("*"), submissions=F.count_distinct("submissionId"))
+    profiles = one(e.profiles, profiles=F.count("*"), models=F.count_distinct("modelFamily"), harnesses=F.count_distinct("harnessFamily"))
+    trials, rounds = one(e.trials, trials=F.count("*"), tasks=F.count_distinct("taskId")), one(e.rounds, rounds=F.count("*"))
+    whole = runs.crossJoin(profiles).crossJoin(trials).crossJoin(rounds)  # one row each
+    return whole.select(canonical_json(F.struct(F.lit(1).alias("schemaVersion"), *whole.columns)).alias("document"))
+
+
 EXPLORER = ["runId", "trialId", "taskId", "profileId", "firstExactPassed", "finalExactPassed", "rounds", "infrastructureFailure"]
 
 

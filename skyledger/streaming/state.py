@@ -1,13 +1,14 @@
 """Incremental evidence: mergeable state, idempotent ingestion, corrections, streams of events.
 
-State is a table of cells (sums and counts per configuration and task) by run. Cells of different runs add up, so
-leaderboards come from state alone; medians and sets are computed from the few rows that cells give.
+State is a table of trials with what the views need of their rounds and calls, and a digest of each run's whole
+evidence. Runs add up, so leaderboards, samples, efficiency and tool counts come from state alone.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,22 +17,56 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skyledger.evidence import Evidence
 from skyledger.functions.identity import canonical_json
-from skyledger.operators.cells import COMPARISON, METRICS, cells, trial_facts
+from skyledger.operators.cells import METRICS, cells, trial_facts
+from skyledger.operators.summary import USAGE
 from skyledger.sources.readers import exists
 
-SUMS = ["n", "firstPasses", "finalPasses", "recoveryRounds", "infrastructureFailures", "timeouts", "providerFailureTrials", *[f"{m}_{x}" for m in METRICS for x in ("total", "n")]]
+TABLES = ("profiles", "trials", "rounds", "tool_calls")
+
+
+def run_digests(evidence: Evidence) -> DataFrame:
+    """A digest per run of all its evidence: profiles, trials, rounds and calls, as multisets of rows.
+
+    It is made of a count, a sum and an exclusive or of row hashes, so tasks merge it and no run is ever one list.
+    """
+    def hashed(name: str) -> DataFrame:
+        df = getattr(evidence, name)
+        row = canonical_json(F.struct(*sorted(df.columns)))
+        return df.select("runId", F.xxhash64(F.lit(name), row).alias("a"), F.xxhash64(F.lit("second"), F.lit(name), row).alias("b"))
+
+    rows = reduce(DataFrame.unionAll, [hashed(n) for n in TABLES])
+    per = rows.groupBy("runId").agg(F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(20,0)")).alias("a"), F.bit_xor("b").alias("b"))
+    return per.select("runId", F.sha2(F.concat_ws("/", "n", F.col("a").cast("string"), "b"), 256).alias("digest"))
 
 
 def create_state(evidence: Evidence) -> DataFrame:
-    """Cells per run, with a digest of the run's trials that tells the same evidence from another."""
-    facts = trial_facts(evidence)
-    digest = evidence.trials.groupBy("runId").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.sha2(canonical_json(F.struct(*sorted(evidence.trials.columns))), 256)))), 256).alias("digest"))
-    return cells(facts, ["runId", *COMPARISON]).join(digest, "runId")
+    """What leaderboards, efficiency, samples and tool counts need of every trial, with the digest of its run.
+
+    Per trial: identity, passes, metrics under the coverage rule, sums of its rounds' usage with how many reported each,
+    and its calls by tool. The raw rounds and calls are not needed again.
+    """
+    usage = evidence.rounds.groupBy("runId", "trialId").agg(F.count("*").alias("seenRounds"), *[x for c in USAGE for x in (F.sum(c).alias(f"sum_{c}"), F.count(c).alias(f"seen_{c}"))])
+    per_round = evidence.tool_calls.groupBy("runId", "roundId", "tool").agg(F.count("*").alias("n"))
+    per_trial = per_round.join(evidence.rounds.select("runId", "roundId", "trialId"), ["runId", "roundId"]).groupBy("runId", "trialId", "tool").agg(F.sum("n").alias("n"))
+    tools = per_trial.groupBy("runId", "trialId").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("tools"))
+    key = ["runId", "trialId"]
+    return trial_facts(evidence).join(usage, key, "left").join(tools, key, "left").join(run_digests(evidence), "runId")
 
 
 def merge_cells(state: DataFrame) -> DataFrame:
     """Cells of all runs together: what exact_from_cells takes."""
-    return state.groupBy(*COMPARISON, "taskId").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return cells(state)
+
+
+def state_efficiency(state: DataFrame) -> DataFrame:
+    """A33 from state alone: sums that stay null without observations, and how many there were."""
+    sums = [x for c in USAGE for x in (F.sum(f"sum_{c}").alias(c), F.coalesce(F.sum(f"seen_{c}"), F.lit(0)).alias(f"{c}Observed"))]
+    return state.where("seenRounds > 0").groupBy("runId", "profileId").agg(F.sum("seenRounds").alias("rounds"), *sums)
+
+
+def state_tool_counts(state: DataFrame, tool: str) -> DataFrame:
+    """A31 from state alone: how often each trial called the tool, zeros included."""
+    return state.select("runId", "trialId", "profileId", F.coalesce(F.try_element_at("tools", F.lit(tool)), F.lit(0)).alias("n"))
 
 
 def classify_runs(known: DataFrame, new: DataFrame) -> DataFrame:
@@ -49,19 +84,35 @@ def append_state(state: DataFrame, new: DataFrame) -> DataFrame:
     return state.unionByName(new.join(state.select("runId").distinct(), "runId", "left_anti").select(state.columns))
 
 
-def verify_state(state: DataFrame, runs: DataFrame) -> None:
-    """Fails unless state has exactly the runs of the index."""
+def state_binding(state: DataFrame, runs: DataFrame, position: str | None = None) -> DataFrame:
+    """One row that ties a state to its index: how many runs, and a digest of their digests in the index's order.
+
+    position is the index's order of runs, by runId if not given. The index has one row per run and is one document.
+    """
+    order = F.col(position) if position else F.col("runId")
+    rows = runs.select("runId", order.alias("_at")).join(state.select("runId", "digest").distinct(), "runId", "left")
+    entry = F.struct("_at", "runId", F.coalesce("digest", F.lit("none")).alias("digest"))
+    lines = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.concat_ws(":", x["runId"], x["digest"]))
+    return rows.agg(F.count("*").alias("runs"), F.sha2(F.array_join(lines, "\n"), 256).alias("indexSha256"))
+
+
+def verify_state(state: DataFrame, runs: DataFrame, binding: DataFrame | None = None, position: str | None = None) -> None:
+    """Fails unless state has exactly the runs of the index, each with one digest and no trial twice, and,
+    if a binding is given, in the order and with the evidence that it was made of."""
     have, want = state.select("runId").distinct(), runs.select("runId").distinct()
     odd = have.join(want, "runId", "full_outer").join(have.join(want, "runId"), "runId", "left_anti").limit(5).collect()
     if odd:
         raise ValueError(f"state and index differ in runs {[r.runId for r in odd]}")
+    twice = state.groupBy("runId").agg(F.count_distinct("digest").alias("d"), F.count("*").alias("n"), F.count_distinct("trialId").alias("t")).where("d > 1 or n > t").limit(5).collect()
+    if twice:
+        raise ValueError(f"state has several digests or a trial twice in runs {[r.runId for r in twice]}")
+    if binding is not None and not state_binding(state, runs, position).exceptAll(binding.select("runs", "indexSha256")).isEmpty():
+        raise ValueError("state is not bound to this index")
 
 
 def materialize(state: DataFrame) -> DataFrame:
-    """A row per trial that a cell stands for, with the cell's means; totals survive, single values don't."""
-    each = state.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    mean = lambda m: F.when(F.col("i") <= F.col(f"{m}_n"), F.col(f"{m}_total") / F.col(f"{m}_n")).alias(m)
-    return each.select(*COMPARISON, "taskId", (F.col("i") <= F.col("firstPasses")).alias("first"), (F.col("i") <= F.col("finalPasses")).alias("final"), *[mean(m) for m in METRICS])
+    """The trials that state stands for, each with its own values."""
+    return state.select("runId", "trialId", "taskId", "profileId", F.col("first").alias("firstExactPassed"), F.col("final").alias("finalExactPassed"), "rounds", *METRICS)
 
 
 def replace_run(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -105,46 +156,66 @@ def ingest(index: DataFrame, batch: DataFrame) -> DataFrame:
     return rows.select(*b.columns, outcome.alias("outcome"), F.coalesce(counted, "submissionId").alias("countedId"))
 
 
-def ingest_stream(spark: SparkSession, incoming: str, index_path: str, checkpoint: str):
+def concerning(index: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of the index that a batch can meet: those of its clients, contents or runs. One pass over the index."""
+    keys = lambda: F.array(F.struct(F.lit("client").alias("k"), F.concat_ws("\t", "ownerId", "clientRunId").alias("v")), F.struct(F.lit("content").alias("k"), F.col("contentHash").alias("v")), F.struct(F.lit("run").alias("k"), F.col("runId").alias("v")))
+    wanted = batch.select(F.explode(keys()).alias("key")).distinct()
+    return index.withColumn("key", F.explode(keys())).join(wanted, "key", "left_semi").drop("key").distinct()
+
+
+MAX_SUBMISSION = 32 << 20  # bytes
+
+
+def ingest_stream(spark: SparkSession, incoming: str, index_path: str, checkpoint: str, *, max_bytes: int = MAX_SUBMISSION):
     """Ingest submissions (JSON lines of INDEX) that arrive in a folder; created ones are added to the index.
 
-    Every micro-batch writes its own folder of the index, so a batch that is replayed replaces what it wrote before.
+    Lines of more than max_bytes are refused before they are parsed. Every micro-batch writes its own folder of the
+    index, so a batch that is replayed replaces what it wrote before. compact_index() joins folders between runs.
     """
     def run(batch: DataFrame, number: int) -> None:
         own = f"{index_path}/batch={number}"
         have = spark.read.schema(INDEX + ", batch int").parquet(index_path).where(F.col("batch") != number).drop("batch") if exists(spark, index_path) else spark.createDataFrame([], INDEX)
-        ingest(have, batch).where("outcome = 'created'").drop("outcome", "countedId").dropDuplicates(["contentHash"]).write.mode("overwrite").parquet(own)
+        ingest(concerning(have, batch), batch).where("outcome = 'created'").drop("outcome", "countedId").dropDuplicates(["contentHash"]).write.mode("overwrite").parquet(own)
 
-    stream = spark.readStream.schema(INDEX).option("maxFilesPerTrigger", 100).json(incoming)
+    lines = spark.readStream.option("maxFilesPerTrigger", 100).text(incoming).where(F.octet_length("value") <= max_bytes)
+    stream = lines.select(F.from_json("value", INDEX).alias("s")).where("s is not null").select("s.*")
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def compact_index(spark: SparkSession, index_path: str, target: str) -> None:
+    """Write all folders of an index as one, batch -1, at a new place; the stream goes on there."""
+    spark.read.schema(INDEX + ", batch int").parquet(index_path).drop("batch").distinct().write.mode("errorifexists").parquet(f"{target}/batch=-1")
+
+
 def windowed_counts(events: DataFrame, time: str, key: Sequence[str], late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Event-time counts of a stream (or a table) with a watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *key).agg(F.count("*").alias("n"))
 
 
-def patch_final(items: list[str]) -> list[str]:
-    """T09 on one response: output items are kept as they pass; a final event without output gets them, in order."""
-    kept: dict[int, object] = {}
-    out = []
-    for line in items:
-        if not line.startswith("data:"):
-            out.append(line)
-            continue
-        try:
-            event = json.loads(line[5:])
-        except ValueError:
-            out.append(line)
-            continue
-        if event.get("type") == "response.output_item.done":
-            kept[event.get("output_index", len(kept))] = event.get("item")
-        if event.get("type") == "response.completed" and isinstance(event.get("response"), dict) and not event["response"].get("output"):
+def patch_line(line: str, kept: dict[int, object]) -> str:
+    """One line of a response. kept holds the output items so far; a final event without output gets them."""
+    if not line.startswith("data:"):
+        return line
+    try:
+        event = json.loads(line[5:])
+    except ValueError:
+        return line
+    if not isinstance(event, dict):
+        return line
+    if event.get("type") == "response.output_item.done":
+        kept[event.get("output_index", len(kept))] = event.get("item")
+    if event.get("type") == "response.completed":
+        if isinstance(event.get("response"), dict) and not event["response"].get("output"):
             event["response"]["output"] = [kept[i] for i in sorted(kept)]
             line = "data: " + json.dumps(event, ensure_ascii=False, separators=(",", ":"))
-            kept.clear()
-        out.append(line)
-    return out
+        kept.clear()
+    return line
+
+
+def patch_final(items: list[str]) -> list[str]:
+    """T09 on one response, in order."""
+    kept: dict[int, object] = {}
+    return [patch_line(line, kept) for line in items]
 
 
 def patch_lines(lines: DataFrame, key: str = "response", seq: str = "seq", line: str = "line") -> DataFrame:
@@ -156,20 +227,25 @@ def patch_lines(lines: DataFrame, key: str = "response", seq: str = "seq", line:
     return lines.select(key, seq, line).groupBy(key).applyInPandas(run, lines.select(key, seq, line).schema)
 
 
-def patch_stream(lines: DataFrame) -> DataFrame:
-    """T09 on streams (response, seq, line): output items are kept in state until their response's final event."""
+def patch_stream(lines: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """T09 on streams (response, seq, line): output items are kept in state until their response's final event.
+
+    Every line is parsed once. State goes at the final event, or when a response has been silent for the time given.
+    """
+    quiet = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out = []
-        for line in rows.line:
-            out.append(patch_final([*held, line])[-1])
-            if '"response.output_item.done"' in line:
-                held.append(line)
-            elif '"response.completed"' in line:
-                held = []
-        state.update((json.dumps(held),))
+        out = [patch_line(line, kept) for line in rows.line]
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutDuration(quiet)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"response": [key[0]] * len(out), "seq": rows.seq.to_numpy(), "line": out})
 
-    return lines.groupBy("response").applyInPandasWithState(run, "response string, seq long, line string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy("response").applyInPandasWithState(run, "response string, seq long, line string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)

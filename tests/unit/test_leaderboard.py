@@ -1,5 +1,7 @@
 """Hand-computed cases of the leaderboard, families, tools and states."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,7 +116,22 @@ def test_state_equals_rebuild_and_conflicts(spark):
     changed = evidence(spark, trials=[trial("pass", "replace-all-1-plain", 2, False, True), TRIALS[1]])
     with pytest.raises(ValueError, match="conflicting"):
         STATE.append_state(both, STATE.create_state(changed))
-    assert STATE.materialize(STATE.merge_cells(both)).count() == 3
+    for name in ("rounds", "profiles"):  # other evidence behind the same trials is no duplicate
+        other = e.only(["run-a"])
+        column = {"rounds": "seconds", "profiles": "adapterVersion"}[name]
+        moved = getattr(other, name).withColumn(column, F.lit("99").cast(getattr(other, name).schema[column].dataType))
+        assert STATE.classify_runs(both, STATE.create_state(replace(other, **{name: moved}))).collect()[0].outcome == "conflict"
+    binding = STATE.state_binding(both, e.runs.withColumn("position", F.when(F.col("runId") == "run-b", 0).otherwise(1)), "position")
+    STATE.verify_state(both, e.runs.withColumn("position", F.when(F.col("runId") == "run-b", 0).otherwise(1)), binding, "position")
+    with pytest.raises(ValueError, match="not bound"):
+        STATE.verify_state(both, e.runs, binding)
+    with pytest.raises(ValueError, match="twice"):
+        STATE.verify_state(both.unionAll(both), e.runs)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    want = S.efficiency(e.trials, e.rounds)
+    assert rows(STATE.state_efficiency(both).select(want.columns)) == rows(want)
+    assert rows(STATE.state_tool_counts(both, "read")) == rows(S.tool_trial_counts(e, "read").select("runId", "trialId", "profileId", "n"))
+    assert STATE.materialize(both).count() == 3
     assert STATE.remove_run(both, "run-b").select("runId").distinct().count() == 1
     with pytest.raises(ValueError):
         STATE.remove_run(both, "none")

@@ -73,9 +73,17 @@ def test_event_dialects(spark):
     facts = EV.tool_facts(EV.parse_events(calls), "items", ["file"], "seq").orderBy("ordinal").collect()
     assert [(f.tool, f.category, f.outcome, f.commandFeatures) for f in facts] == [("command_execution", "command", "error", ["list"]), ("file_change", "mutation", "completed", [])]
     assert EV.count_malformed(spark.createDataFrame([("f", "{"), ("f", "  "), ("f", "{}")], "file string, value string"), ["file"]).collect()[0].malformed == 1
-    times = spark.createDataFrame([("f", json.dumps({"type": "tokenUsage", "tokenUsage": {"last": {"totalTokens": 5}}})), ("f", json.dumps({"type": "context"})), ("f", json.dumps({"type": "turn", "status": "failed"}))], "file string, value string")
+    timeline = [{"type": "thread/tokenUsage/updated", "data": {"tokenUsage": {"last": {"totalTokens": 5, "inputTokens": 3}}}}, {"type": "thread/contextWindowUsage/updated"}, {"type": "turn/completed", "data": {"status": "failed"}}, {"type": "item/completed", "data": {"item": {"type": "fileRead"}}}, {"type": "item/completed", "data": {"item": {"type": "plan"}}}, {"type": "other"}]
+    times = spark.createDataFrame([("f", json.dumps(x)) for x in timeline], "file string, value string")
     r = EV.timeline_metrics(EV.parse_events(times), ["file"]).collect()[0]
-    assert (r.modelRounds, r.errors, r.totalTokens) == (1, 1, 5)
+    assert (r.modelRounds, r.errors, r.totalTokens, r.inputTokens, r.toolCalls, r.eventCount) == (1, 1, 5, 3, 1, 6)
+    more = times.unionAll(spark.createDataFrame([("f", json.dumps({"type": "thread/contextWindowUsage/updated"}))], times.schema))
+    assert EV.timeline_metrics(EV.parse_events(more), ["file"]).collect()[0].totalTokens is None
+    odd = spark.createDataFrame([("f", json.dumps({"type": "item/completed", "data": {"item": {"type": "strange"}}}))], "file string, value string")
+    with pytest.raises(Exception, match="unknown timeline item: strange"):
+        EV.timeline_metrics(EV.parse_events(odd), ["file"]).collect()
+    tools = spark.createDataFrame([(1, EV.PROFILE_TOOLS), (2, ["read", "bash"])], "k int, tools array<string>")
+    assert [(r.k, r.missing[0], len(r.missing)) for r in EV.profile_errors(tools).collect()] == [(2, "codemode", 8)]
 
 
 def test_summaries(spark):
