@@ -37,10 +37,10 @@ def listed(rows: DataFrame, *columns: str) -> DataFrame:
 NATURAL = "CAST(regexp_extract(n_name, '[0-9]+') AS INTEGER)"
 
 
-@query(f"""WITH {TRIALS}, {EXACT} SELECT n_name AS "modelFamily", c_mktsegment AS "harnessFamily", row_number() OVER (ORDER BY complete DESC, score DESC, observations DESC, {NATURAL}, c_mktsegment) AS "place" FROM exact""")
+@query(f"""WITH {TRIALS}, {EXACT} SELECT n_name AS "modelFamily", c_mktsegment AS "harnessFamily", row_number() OVER (ORDER BY complete DESC, round(score, 9) DESC, observations DESC, {NATURAL}, c_mktsegment) AS "place" FROM exact""")
 def listing_by_score(spark, sf_dir):
-    """Exact rows, complete ones first."""
-    return listed(L.ordered(exact(spark, sf_dir), rolled=False), "modelFamily", "harnessFamily")
+    """Exact rows, complete ones first. Scores are rounded, as sums of doubles differ in their last digits."""
+    return listed(L.ordered(exact(spark, sf_dir).withColumn("score", r("score")), rolled=False), "modelFamily", "harnessFamily")
 
 
 @query(f"""WITH {TRIALS}, {EXACT} SELECT n_name AS "modelFamily", c_mktsegment AS "harnessFamily", row_number() OVER (ORDER BY CASE thinking WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, observations DESC, {NATURAL}, c_mktsegment) AS "place" FROM exact""")
@@ -55,11 +55,11 @@ def listing_by_model(spark, sf_dir):
     return listed(L.ordered(L.leaderboard(from_star(spark, sf_dir)), "model"), "modelFamily", "harnessFamily")
 
 
-@query(f"""WITH {TRIALS}, {EXACT}, k AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY fr DESC, n_name) AS a, row_number() OVER (PARTITION BY c_mktsegment ORDER BY fr, n_name) AS z FROM exact)
+@query(f"""WITH {TRIALS}, {EXACT}, k AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY round(fr, 9) DESC, n_name) AS a, row_number() OVER (PARTITION BY c_mktsegment ORDER BY round(fr, 9), n_name) AS z FROM exact)
 SELECT c_mktsegment AS "harnessFamily", max(n_name) FILTER (a = 1) AS "best", max(n_name) FILTER (z = 1) AS "worst" FROM k GROUP BY c_mktsegment""")
 def best_and_worst(spark, sf_dir):
     """O12."""
-    rows = exact(spark, sf_dir).select("harnessFamily", "modelFamily", "firstExactRate")
+    rows = exact(spark, sf_dir).select("harnessFamily", "modelFamily", r("firstExactRate").alias("firstExactRate"))
     end = lambda way, name: FA.top_per_group(rows, ["harnessFamily"], [way, F.col("modelFamily")], 1).select("harnessFamily", F.col("modelFamily").alias(name))
     return end(F.desc("firstExactRate"), "best").join(end(F.asc("firstExactRate"), "worst"), "harnessFamily")
 
