@@ -323,9 +323,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return placed.join(per.drop("parts"), "sig")
 
     left = cut(still_open(longer))
-    tried = starred
+    many, short, tried = left.where(F.col("size") > SHORT_LIST), left.where(F.col("size") <= SHORT_LIST), starred
     for step in range(ROUNDS):
-        many = left.where(F.col("size") > SHORT_LIST)
         if many.isEmpty():
             break
         inside = many.where(F.col("label") == F.col("main"))
@@ -339,8 +338,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             break
         links = cut(links.unionAll(more))
         comps = components(links)
-        left = cut(still_open(left.select("sig", "node")))
-    one, two = (left.where(F.col("size") <= SHORT_LIST).select("sig", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
+        many = cut(still_open(many.select("sig", "node")))
+    if tried is not starred:  # new components can close short lists too
+        short = cut(still_open(short.select("sig", "node")))
+    one, two = (short.select("sig", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
     across = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & similar_size(F.col("a"), F.col("b"), percent)).select("a", "b").distinct()
     across = screened(across.join(tried, ["a", "b"], "left_anti"), owners, percent)
 
@@ -372,7 +373,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return pd.DataFrame({"a1": d1[pairs[:, 0]], "a2": d2[pairs[:, 0]], "b1": d1[pairs[:, 1]], "b2": d2[pairs[:, 1]]}, dtype="int64")
 
     # chunks 0 to mains - 1 hold the largest component's nodes, the others the rest; two of the former never meet
-    many, outside = left.where(F.col("size") > SHORT_LIST), F.col("label") != F.col("main")
+    outside = F.col("label") != F.col("main")
     sizes = many.groupBy("sig").agg(*[F.ceil(F.count_if(c) / CHUNK).cast("int").alias(x) for c, x in ((~outside, "mains"), (outside, "rests"))])
     chunk = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
     dealt = many.join(sizes, "sig").withColumn("chunk", F.when(outside, F.col("mains") + chunk(F.col("rests"))).otherwise(chunk(F.col("mains"))))
