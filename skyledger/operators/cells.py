@@ -7,11 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.evidence import Evidence
+from skyledger.evidence import METRICS, Evidence, round_sums
 from skyledger.functions.classify import task_family
 from skyledger.functions.identity import canonical_model, canonical_policy
 
-METRICS = {"duration": "seconds", "cost": "costUsd", "tokens": "totalTokens"}
 BENCHMARK = ["benchmarkId", "benchmarkVersion", "contract", "verifierSha256"]
 #: Fields of the comparison and rollup keys: fixed values.
 COMPARISON = [
@@ -21,16 +20,9 @@ ROLLUP = ["verifierSha256", "modelFamily", "modelVersion", "agentFamily", "agent
 PROVENANCE = ["runId", "profileId", "submissionId", "taskSetSha256", "policy", "runnerVersion", "concurrency", "configurationHash"]
 
 
-def finite(c: Column) -> Column:
-    """null, NaN and infinities become null."""
-    d = c.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
-
-
 def round_stats(rounds: DataFrame) -> DataFrame:
     """Rounds, timeouts, provider failure, and total and count of each metric, per trial."""
-    sums = [x for m, c in METRICS.items() for x in (F.sum(finite(F.col(c))).alias(f"{m}_sum"), F.count(finite(F.col(c))).alias(f"{m}_seen"))]
-    return rounds.groupBy("runId", "trialId").agg(F.count("*").alias("seenRounds"), F.count_if(F.coalesce("timedOut", F.lit(False))).alias("timeouts"), F.max(F.col("providerFailure").isNotNull()).alias("providerFailed"), *sums)
+    return rounds.groupBy("runId", "trialId").agg(*round_sums())
 
 
 def run_identity(runs: DataFrame) -> DataFrame:
@@ -80,12 +72,16 @@ def matches(filters: Mapping[str, Sequence]) -> Column:
 def trial_facts(evidence: Evidence, filters: Mapping[str, Sequence] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """A row per trial of a known run and profile, with identity, passes and metrics.
 
-    A metric counts only if all declared rounds were seen and each reported it. Rounds are aggregated before the join.
+    A metric counts only if all declared rounds were seen and each reported it. Rounds are aggregated before the join;
+    evidence that comes with measured trials needs neither.
     """
-    stats = round_stats(evidence.rounds) if stats is None else stats
-    trials = evidence.trials.select("runId", "trialId", "taskId", "profileId", F.coalesce("firstExactPassed", F.lit(False)).alias("first"), F.coalesce("finalExactPassed", F.lit(False)).alias("final"), "rounds", "infrastructureFailure", task_family(F.col("taskId")).alias("taskFamily"))
-    known = trials.join(run_identity(evidence.runs), "runId").join(profile_identity(evidence.profiles), ["runId", "profileId"])
-    joined = known.where(matches(filters or {})).join(stats, ["runId", "trialId"], "left")
+    source = evidence.measured if stats is None else None
+    together = source is not None
+    carried = [c for c in source.columns if c not in evidence.trials.columns] if together else []
+    trials = (source if together else evidence.trials).select("runId", "trialId", "taskId", "profileId", F.coalesce("firstExactPassed", F.lit(False)).alias("first"), F.coalesce("finalExactPassed", F.lit(False)).alias("final"), "rounds", "infrastructureFailure", task_family(F.col("taskId")).alias("taskFamily"), *carried)
+    joined = trials.join(run_identity(evidence.runs), "runId").join(profile_identity(evidence.profiles), ["runId", "profileId"]).where(matches(filters or {}))
+    if not together:
+        joined = joined.join(round_stats(evidence.rounds) if stats is None else stats, ["runId", "trialId"], "left")
     whole = F.coalesce(F.col("seenRounds") == F.col("rounds"), F.lit(False))
     values = [F.when(whole & (F.col(f"{m}_seen") == F.col("rounds")), F.col(f"{m}_sum")).alias(m) for m in METRICS]
     return joined.select(

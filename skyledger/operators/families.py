@@ -8,9 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.evidence import Evidence
+from skyledger.evidence import Evidence, finite
 from skyledger.functions.identity import version_key
-from skyledger.operators.cells import finite
 
 
 def distribution(value: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.cells import finite
+from skyledger.evidence import finite
 
 
 def average_rank(value: str, group: Sequence[str]) -> Column:

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.evidence import Evidence
+from skyledger.evidence import Evidence, finite
 from skyledger.functions.classify import eof_pass
-from skyledger.operators.cells import finite
 
 
 def pass_summary(trials: DataFrame, key: Sequence[str]) -> DataFrame:
