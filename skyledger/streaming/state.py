@@ -227,10 +227,13 @@ def patch_lines(lines: DataFrame, key: str = "response", seq: str = "seq", line:
     return lines.select(key, seq, line).groupBy(key).applyInPandas(run, lines.select(key, seq, line).schema)
 
 
-def patch_stream(lines: DataFrame, idle: str = "1 hour") -> DataFrame:
+def patch_stream(lines: DataFrame, time: str | None = None, idle: str = "1 hour") -> DataFrame:
     """T09 on streams (response, seq, line): output items are kept in state until their response's final event.
 
-    Every line is parsed once. State goes at the final event, or when a response has been silent for the time given.
+    Every line is parsed once. State goes at the final event. With a time column (null times don't count), the state of
+    a response also goes once the watermark has passed its last line by idle; without one, that of a response that
+    never ends stays. Event time is used since a timeout by the clock would keep a query over what is available from
+    ever ending.
     """
     quiet = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -243,9 +246,14 @@ def patch_stream(lines: DataFrame, idle: str = "1 hour") -> DataFrame:
         out = [patch_line(line, kept) for line in rows.line]
         if kept:
             state.update((json.dumps(kept),))
-            state.setTimeoutDuration(quiet)
+            if time:
+                last = rows[time].max()
+                seen = state.getCurrentWatermarkMs()
+                state.setTimeoutTimestamp(max(seen + 1, seen if pd.isna(last) else int(last.timestamp() * 1000)) + quiet)
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"response": [key[0]] * len(out), "seq": rows.seq.to_numpy(), "line": out})
 
-    return lines.groupBy("response").applyInPandasWithState(run, "response string, seq long, line string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    timed = lines.withWatermark(time, idle) if time else lines
+    return timed.groupBy("response").applyInPandasWithState(run, "response string, seq long, line string", "held string", "append", timeout)

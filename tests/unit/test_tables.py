@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import tarfile
 
 import pytest
@@ -167,12 +168,14 @@ def test_patched_stream_and_store(spark, tmp_path):
     incoming.mkdir()
     item = 'data: {"type":"response.output_item.done","output_index":0,"item":{"a":1}}'
     for n, line in enumerate([item, "event: ping", 'data: {"type":"response.completed","response":{"output":[]}}']):
-        (incoming / f"{n}.json").write_text(json.dumps({"response": "r", "seq": n, "line": line}) + "\n")
-    stream = spark.readStream.schema("response string, seq long, line string").option("maxFilesPerTrigger", 1).json(str(incoming))
-    query = STATE.patch_stream(stream).writeStream.format("memory").queryName("patched").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = [r.line for r in spark.table("patched").orderBy("seq").collect()]
-    assert got[0] == item and got[2].endswith('"output":[{"a":1}]}}')
+        (incoming / f"{n}.json").write_text(json.dumps({"response": "r", "seq": n, "line": line, "at": f"2024-01-01T00:00:0{n}Z"}) + "\n")
+        os.utime(incoming / f"{n}.json", (1_700_000_000 + n,) * 2)  # files arrive in this order
+    for name, time in (("patched", None), ("timed", "at")):
+        stream = spark.readStream.schema("response string, seq long, line string, at timestamp").option("maxFilesPerTrigger", 1).json(str(incoming))
+        query = STATE.patch_stream(stream, time).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert query.awaitTermination(60)  # it ends by itself
+        got = [r.line for r in spark.table(name).orderBy("seq").collect()]
+        assert got[0] == item and got[2].endswith('"output":[{"a":1}]}}')
     for run in ("run-1", "run-2"):
         folder = tmp_path / "store" / "accepted" / run
         folder.mkdir(parents=True)
