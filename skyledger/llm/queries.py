@@ -19,6 +19,7 @@ from skyledger.llm.licenses import scan_licenses
 from skyledger.llm.packing import pack_examples
 from skyledger.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 from skyledger.llm.urls import Rule, domain_rule, judge_urls
+from skyledger.llm.variants import one_deleted, spelling_variants, word_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -230,3 +231,41 @@ def packing_with_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = turns.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left")
     pairs = pairs.withColumn("example", F.concat_ws("/", "conv_id", "turn"))
     return pack_examples(pairs, public_tokenizers.path("word_bpe_49k.json"), id_col="example", prompt_col="prompt", capacity=2048, max_segments=48, max_loss=1024)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spelling_variants(word_counts(docs, one_deleted(F.col("doc_id"), 199), least_letters=6, least=5), ratio=5)
+
+
+#: crc32 in SQL: its table by rule, and the fold over the bytes of a string, given as hex digits x.
+CRC_TABLE = """
+bits(i, k, v) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8)"""
+CRC_OF_X = """xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents),
+hexed AS (SELECT id, run, count(*) AS times, hex(encode(id || ':' || run)) AS x FROM runs WHERE length(run) >= 6 GROUP BY id, run),
+hashed AS (SELECT run, times, {CRC_OF_X} AS h FROM hexed, crc),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+places AS (SELECT word, n, unnest(range(0, length(word))) AS p FROM words),
+less AS (SELECT word, n, p, word[1:p] || word[p + 2:] AS rest FROM places),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n AS m FROM less a JOIN less b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON b.word = a.rest
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON b.word = a.rest),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY m DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n_near FROM pairs),
+formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.m >= 5 * w.n THEN r.b END AS form, CASE WHEN r.m >= 5 * w.n THEN r.m END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.a = w.word AND r.k = 1),
+chain(word, root, next) AS (SELECT word, word, form FROM formed UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
