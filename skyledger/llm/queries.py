@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.ann import nearest
 from skyledger.llm.chat import digest, format_chats
-from skyledger.llm.common import crc_bucket, table
+from skyledger.llm.common import crc_bucket, cut, table
 from skyledger.llm.decontaminate import decontaminate
 from skyledger.llm.html import extract_text
 from skyledger.llm.jaccard import jaccard_components
+from skyledger.llm.katz import encode, fit_katz, score_katz
 from skyledger.llm.langid import fit_language_model, predict_language
 from skyledger.llm.licenses import scan_licenses
 from skyledger.llm.packing import pack_examples
 from skyledger.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
+from skyledger.llm.trie import prefix_trie, turn_paths, with_openings
 from skyledger.llm.urls import Rule, domain_rule, judge_urls
 from skyledger.llm.variants import one_deleted, spelling_variants, word_counts
 
@@ -233,12 +235,6 @@ def packing_with_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_examples(pairs, public_tokenizers.path("word_bpe_49k.json"), id_col="example", prompt_col="prompt", capacity=2048, max_segments=48, max_loss=1024)
 
 
-@query
-def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return spelling_variants(word_counts(docs, one_deleted(F.col("doc_id"), 199), least_letters=6, least=5), ratio=5)
-
-
 #: crc32 in SQL: its table by rule, and the fold over the bytes of a string, given as hex digits x.
 CRC_TABLE = """
 bits(i, k, v) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
@@ -246,6 +242,82 @@ crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8)"""
 CRC_OF_X = """xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)),
     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    paths = turn_paths(table(spark, sf_dir, "conversations"))
+    return prefix_trie(with_openings(paths, conv - conv % 5, crc_bucket(conv, 9)))
+
+
+SQL["op11_prefix_trie"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hexed AS (SELECT conv_id, s, hex(encode(CAST(conv_id AS VARCHAR))) AS x FROM own),
+hashed AS (SELECT conv_id, s, {CRC_OF_X} % 9 AS h FROM hexed, crc),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.s[1:o.h], []), o.s[o.h + 1:]) AS s FROM hashed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+prefixes AS (SELECT conv_id, d, s[1:d] AS path, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE strlen(path[d].text) END AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+tops AS (SELECT *, unnest(range(0, d + 1)) AS k FROM nodes),
+subtrees AS (SELECT t.path[1:k] AS path, sum((t.n - 1) * t.size) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM tops t LEFT JOIN kids ON kids.path = t.path GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0) AS n_children, u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees u ON u.path = n.path LEFT JOIN kids k ON k.path = n.path LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+"""
+
+
+@query
+def op12_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    blocks = cut(encode(docs, crc_bucket(F.col("doc_id"), 7) != 2))
+    scored = score_katz(blocks, fit_katz(blocks)).withColumn("doc_id", F.col("id").cast(docs.schema["doc_id"].dataType))
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out")
+    rounded = [F.round(c, 6).alias(c) for c in ("base_score", "score")]
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", *rounded)
+
+
+SQL["op12_katz_score"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+hexed AS (SELECT row_number() OVER () AS r, doc_id, text, hex(encode(CAST(doc_id AS VARCHAR))) AS x FROM documents),
+d AS (
+  SELECT r, doc_id, {CRC_OF_X} % 7 = 2 AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS w
+  FROM hexed, crc),
+tokens AS (SELECT r, held_out, unnest(w) AS w, unnest(list_prepend(' ', w[1:-2])) AS v FROM d),
+singles AS (SELECT w, count(*) FILTER (NOT held_out) AS c FROM tokens GROUP BY w),
+pairs AS (SELECT v, w, count(*) FILTER (NOT held_out) AS n FROM tokens GROUP BY v, w),
+having_n AS (SELECT 1 AS o, c AS r, count(*) AS m FROM singles WHERE c BETWEEN 1 AND 6 GROUP BY c UNION ALL SELECT 2, n, count(*) FROM pairs WHERE n BETWEEN 1 AND 6 GROUP BY n),
+rests AS (SELECT a.o, a.r - 1 AS k, a.r * a.m / CAST(b.m AS DOUBLE) AS rest FROM having_n a JOIN having_n b ON b.o = a.o AND b.r = 1 WHERE a.r > 1),
+tried AS (
+  SELECT s.o, s.k, a.r, ((a.r + 1) * b.m / CAST(a.r * a.m AS DOUBLE) - s.rest) / (1 - s.rest) AS x
+  FROM rests s JOIN having_n a ON a.o = s.o AND a.r <= s.k JOIN having_n b ON b.o = s.o AND b.r = a.r + 1 WHERE s.rest < 1),
+fits AS (SELECT o, max(k) AS k FROM (SELECT o, k FROM tried GROUP BY o, k HAVING count(*) = k AND min(x) > 0 AND max(x) <= 1) GROUP BY o),
+disc AS (SELECT t.o, t.r, t.x FROM tried t JOIN fits f ON f.o = t.o AND f.k = t.k),
+sizes AS (SELECT sum(c) AS n, count(*) FILTER (c > 0) AS v, sum(c * coalesce(x, 1)) AS kept FROM singles LEFT JOIN disc ON o = 1 AND r = c),
+shares AS (SELECT n, v, CASE WHEN kept < n * (1 - 1e-12) THEN n ELSE n + 1 END AS over, CASE WHEN kept < n * (1 - 1e-12) THEN n - kept ELSE 1 END AS unseen FROM sizes),
+unigrams AS (SELECT w, c, CASE WHEN c > 0 THEN c * coalesce(x, 1) ELSE unseen END / over AS p FROM singles LEFT JOIN disc ON o = 1 AND r = c, shares),
+bigrams AS (SELECT b.v, b.w, b.n, b.n * coalesce(d.x, 1) AS kept, u.p FROM pairs b JOIN unigrams u ON u.w = b.w LEFT JOIN disc d ON d.o = 2 AND d.r = b.n WHERE b.n > 0),
+contexts AS (SELECT v, sum(n) AS total, sum(kept) AS kept, sum(p) AS low FROM bigrams GROUP BY v),
+weights AS (
+  SELECT v, CASE WHEN kept < total * (1 - 1e-12) THEN total ELSE total + 1 END AS over, CASE WHEN kept < total * (1 - 1e-12) THEN total - kept ELSE 1 END / (1 - low) AS unseen FROM contexts)
+SELECT d.doc_id, d.held_out, count(*) AS n_tokens, count(*) FILTER (u.c > 0) AS n_known, CAST(min(s.n) AS BIGINT) AS train_tokens,
+  round(sum(log10((u.c + 1) / CAST(s.n + s.v + 1 AS DOUBLE))), 6) AS base_score,
+  round(sum(log10(CASE WHEN b.n > 0 THEN b.kept / k.over ELSE coalesce(k.unseen / k.over, 1) * u.p END)), 6) AS score
+FROM d JOIN tokens t ON t.r = d.r JOIN unigrams u ON u.w = t.w LEFT JOIN bigrams b ON b.v = t.v AND b.w = t.w LEFT JOIN weights k ON k.v = t.v, shares s
+GROUP BY d.r, d.doc_id, d.held_out
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spelling_variants(word_counts(docs, one_deleted(F.col("doc_id"), 199), least_letters=6, least=5), ratio=5)
+
+
 SQL["op13_spelling_variants"] = rf"""
 WITH RECURSIVE {CRC_TABLE},
 runs AS (
