@@ -49,6 +49,10 @@ def instruct_template(turns: list[Turn]) -> str:
     return "".join(out)
 
 
+#: Its author says that a turn never changes what comes before it; see locate().
+instruct_template.append_only = True
+
+
 def read_back(output: str) -> list[Turn]:
     """The turns of instruct_template's output."""
     turns, at = [], 0
@@ -70,7 +74,7 @@ def read_back(output: str) -> list[Turn]:
 
 
 Spans = list[tuple[int, int, int, int]]
-WINDOWED = 32  # turns from which a template is first tried as append-only
+WINDOWED = 32  # turns from which a template that is declared append-only is rendered by windows
 
 
 def sentinel_for(turns: list[Turn]) -> str | None:
@@ -115,9 +119,11 @@ def locate_by_windows(template: Callable[[list[Turn]], str], turns: list[Turn])
 def locate(template: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str, Spans, bool]:
     """The whole output; each turn's span and its text's span; whether the template rewrote history.
 
-    Where it did, spans are those of the prefix that ended with the turn, cut to the final output's length.
+    Where it did, spans are those of the prefix that ended with the turn, cut to the final output's length. Every prefix
+    is rendered, however many turns there are, so that no rewriting goes unseen; only for a template with the attribute
+    append_only are long conversations rendered by windows, which takes linear time.
     """
-    if len(turns) >= WINDOWED and (found := locate_by_windows(template, turns)):
+    if len(turns) >= WINDOWED and getattr(template, "append_only", False) and (found := locate_by_windows(template, turns)):
         return *found, False
     sentinel, before, spans, rewrites = sentinel_for(turns), template([]), [], False
     for i, (role, _) in enumerate(turns):
@@ -139,7 +145,8 @@ def format_chats(rows: DataFrame, template: Callable[[list[Turn]], str] = instru
     Turns are ordered by turn_col, ties by role and then text; rows that repeat stay as turns of their own. A null
     text or role is empty; null turns come first; a row with a null id is a conversation of its own. Other columns are
     ignored, whatever their names. An empty table gives no rows. A conversation is one example and so one task's work: two
-    renderings per turn, of prefixes or, in long conversations with an append-only template, of two turns.
+    renderings per turn, of prefixes or, in long conversations and if the template is declared append-only (its attribute
+    append_only), of two turns.
     """
     kind = rows.schema[conv_col].dataType.simpleString()
     schema = f"`{conv_col}` {kind}, formatted string, spans {SPANS}, rewrites boolean"

@@ -106,6 +106,8 @@ def fit_language_model(docs: DataFrame, *, text_col: str = "text", lang_col: str
     """Fit on rows with text and language; max_rows rows, max_words words and max_grams n-grams at most.
 
     The rows are dealt over the languages, all of a rare one and equal parts of the others, and equal texts count once.
+    Words of any length count, and all their n-grams. Texts without words add nothing; a language that has only such
+    texts, or of which none is labelled, is not learned.
     Counts are made by the executors; only the most frequent words and grams, within the bounds, reach the driver.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
@@ -119,11 +121,12 @@ def fit_language_model(docs: DataFrame, *, text_col: str = "text", lang_col: str
         for lang, words in found.items():
             grams: Counter = Counter()
             for word, n in words.items():
-                for g in word_grams(word[:64]):
+                for g in word_grams(word):
                     grams[g] += n
             for kind, counts in (("w", words), ("g", grams)):
-                keys = [k for k in counts if len(k) <= 64]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([kind] * len(keys)), pa.array(keys), pa.array([counts[k] for k in keys], pa.int64())], ["lang", "kind", "key", "n"])
+                if counts:  # texts without a word have none
+                    columns = ([lang] * len(counts), [kind] * len(counts), list(counts))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(counts.values(), pa.int64())], ["lang", "kind", "key", "n"])
 
     # written, as totals and both tables are made of it
     counts = cut(rows.mapInArrow(tidy(count), "lang string, kind string, key string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")))
@@ -230,11 +233,11 @@ class Scorer(dict):
         found = words_of(text) if text else []
         if not any(c.isalpha() for w in found for c in w) or not self.langs:
             return "und", 0.0, 0.0
-        if self.n > CACHED:
-            self.clear()
-            self.n = 0
         total, familiar = np.zeros(len(self.langs)), 0.0
         for at in range(0, len(found), 100_000):
+            if self.n > CACHED:
+                self.clear()
+                self.n = 0
             part = found[at : at + 100_000]
             rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
             self.settle()

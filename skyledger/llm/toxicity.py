@@ -123,7 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = set(WORDS.findall(text.lower()))
-                by_class[y].update({f for w in words if len(w) <= 40 for f in word_features(w)})
+                by_class[y].update({f for w in words for f in word_features(w)})
         clean, toxic = by_class
         keys = list(clean.keys() | toxic.keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([clean[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())], ["feature", "clean", "toxic"])

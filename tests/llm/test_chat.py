@@ -49,6 +49,15 @@ def test_long_conversations_by_windows_and_by_prefixes():
     assert len(locate(instruct_template, turns * 100)[1]) == 20_000 and time.time() - began < 10
 
 
+def test_rewriting_is_found_at_every_length():
+    text = lambda turns: "".join(f"{r}:{t};" for r, t in turns)
+    odd = lambda turns: text(turns) + "!" * (len(turns) % 2)
+    once = lambda turns: text(turns) + "?" * (len(turns) == 20)
+    for n in (20, 21, 31, 32, 33, 40, 100):
+        turns = [("user", f"t{i}") for i in range(n)]
+        assert locate(odd, turns)[2] and locate(once, turns)[2] == (n > 20) and not locate(text, turns)[2]
+
+
 def test_null_ids_are_conversations_of_their_own(spark):
     rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 0, "user", "a"), (1, 0, "user", "c")]
     got = digest(format_chats(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA))).collect()

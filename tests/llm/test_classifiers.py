@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,59 @@ def test_repeated_ids_do_not_exceed_the_bound(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
     model = fit_toxicity(docs, labels, max_rows=2)
     assert model.rows == 2 and all(0 <= r.score <= 1 for r in score_toxicity(docs.limit(5), model).collect())
+
+
+@pytest.mark.parametrize("only", ["", "2024 12 !!", "東" * 70, "a" * 100_000])
+def test_a_language_whose_only_text_is_odd(spark, only):
+    rows = [(i, f"the cat sat on mat {chr(97 + i)}", "en", 0, 0) for i in range(20)] + [(99, only, "zz", 0, 0)]
+    model = fit_language_model(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    assert model.langs == (("en", "zz") if any(c.isalpha() for c in only) else ("en",))
+    if only.startswith("東"):
+        assert Scorer(model).score("東" * 9)[0] == "zz" and only in model.words
+    assert Scorer(model).score("the cat")[0] == "en"
+
+
+def plain_language_scores(model, text):
+    """By the letter of the method, gram by gram and word by word."""
+    total = np.zeros(len(model.langs))
+    found = re.findall(r"[^\W\d_]+", text.lower())
+    for word in found:
+        if word in model.words:
+            total += model.words[word]
+            continue
+        w, raw = f"^{word}$", np.zeros(len(model.langs))
+        for i in range(len(w)):
+            gram = next((w[i : i + n] for n in (4, 3, 2, 1) if len(w) >= i + n and w[i : i + n] in model.grams), None)
+            if gram:
+                raw += model.grams[gram] * len(gram) / 4
+        total += np.maximum((raw - raw.max()) / max(1, len(w) / 4), -6)
+    share = np.exp(total / np.sqrt(len(found)))
+    return share / share.sum()
+
+
+def test_language_scores_by_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    model = fit_language_model(docs.where("doc_id % 2 = 0"), max_words=400, max_grams=2000)
+    got = predict_language(docs, model, keep=("doc_id", "text")).collect()
+    assert len(got) == 300
+    for r in got:
+        want = plain_language_scores(model, r.text)
+        assert r.lang_pred == model.langs[int(want.argmax())] and abs(r.score - want.max()) < 1e-9
+
+
+def plain_toxicity_score(model, text):
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    present = {f for w in words for f in (w, "^" + w[:4] if len(w) >= 4 else w, "^" + w[:5] if len(w) >= 5 else w, "^" + w[:6] if len(w) >= 6 else w)}
+    z = sum(model.weights[i] for f, i in model.features.items() if f in present) + model.bias
+    return 1 / (1 + np.exp(-(model.scale * z + model.shift)))
+
+
+def test_toxicity_scores_by_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = score_toxicity(docs, model, keep=("doc_id", "text")).collect()
+    assert all(abs(r.score - plain_toxicity_score(model, r.text)) < 1e-9 and r.predicted == (r.score >= 0.3) for r in rows)
+    long = "insult" + "x" * 60
+    docs = spark.createDataFrame([(i, f"{long} text" if i % 2 else "calm text", "en", 0, 0) for i in range(400)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    assert long in fit_toxicity(docs, labels).features
