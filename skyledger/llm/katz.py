@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import cut, tidy
 
 #: Frequent words and pairs that are broadcast; tokens of a block and pairs of a part, about.
-HOT_WORDS = 1 << 20
-HOT_PAIRS = 1 << 20
+HOT_WORDS = 1 << 18
+HOT_PAIRS = 1 << 19
 BLOCK_TOKENS = 2_000_000  # so a block has fewer than 2 ** 22 texts
 PART_PAIRS = 1_000_000
 #: Contexts among so many most frequent words (and the start of a text) are dealt over all parts.
@@ -358,8 +358,8 @@ def fit_katz(blocks: DataFrame, *, largest: int = LARGEST, hot_words: int = HOT_
     left_v = F.when(some, F.col("total") - F.col("kept")).otherwise(F.lit(1.0)) / over_v
     contexts = cut(contexts.select("ctx", F.log10(left_v / F.greatest(1 - F.col("low"), F.lit(left / over))).alias("a"), F.log10(over_v).alias("t")))
     a, t = np.zeros(hot + 1), np.zeros(hot + 1)
-    for r in contexts.where(F.col("ctx") < hot).toLocalIterator():  # hot_words rows at most
-        a[r.ctx], t[r.ctx] = r.a, r.t
+    of_hot = contexts.where(F.col("ctx") < hot).toPandas()  # hot_words rows at most
+    a[of_hot.ctx.to_numpy(np.int64)], t[of_hot.ctx.to_numpy(np.int64)] = of_hot.a, of_hot.t
     rare = rare_words.select(F.col("h").alias("code"), "n", F.log10(given(F.col("n"))).alias("p"))
     rare = cut(rare.join(contexts.select(F.col("ctx").alias("code"), "a", "t"), "code", "left"))
 
