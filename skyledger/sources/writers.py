@@ -23,6 +23,13 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the workspace: later jobs start from it, also when executors are lost."""
+    path = workspace(df.sparkSession)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON lines with null fields kept."""
     return df.select(canonical_json(F.struct("*")).alias("value"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,7 +19,6 @@ from skyledger.evidence import Evidence
 from skyledger.functions.identity import canonical_json
 from skyledger.operators.cells import METRICS, cells, trial_facts
 from skyledger.operators.summary import USAGE
-from skyledger.sources.readers import exists
 
 TABLES = ("profiles", "trials", "rounds", "tool_calls")
 
@@ -156,35 +155,16 @@ def ingest(index: DataFrame, batch: DataFrame) -> DataFrame:
     return rows.select(*b.columns, outcome.alias("outcome"), F.coalesce(counted, "submissionId").alias("countedId"))
 
 
-def concerning(index: DataFrame, batch: DataFrame) -> DataFrame:
-    """The rows of the index that a batch can meet: those of its clients, contents or runs. One pass over the index."""
-    keys = lambda: F.array(F.struct(F.lit("client").alias("k"), F.concat_ws("\t", "ownerId", "clientRunId").alias("v")), F.struct(F.lit("content").alias("k"), F.col("contentHash").alias("v")), F.struct(F.lit("run").alias("k"), F.col("runId").alias("v")))
-    wanted = batch.select(F.explode(keys()).alias("key")).distinct()
-    return index.withColumn("key", F.explode(keys())).join(wanted, "key", "left_semi").drop("key").distinct()
-
+def index_keys() -> Column:
+    """What a submission may clash in: its client, its content and its run, as an array of (k, v)."""
+    entry = lambda kind, *c: F.struct(F.lit(kind).alias("k"), F.concat_ws("\t", *c).alias("v"))
+    return F.array(entry("client", "ownerId", "clientRunId"), entry("content", "contentHash"), entry("run", "runId"))
 
-MAX_SUBMISSION = 32 << 20  # bytes
 
-
-def ingest_stream(spark: SparkSession, incoming: str, index_path: str, checkpoint: str, *, max_bytes: int = MAX_SUBMISSION):
-    """Ingest submissions (JSON lines of INDEX) that arrive in a folder; created ones are added to the index.
-
-    Lines of more than max_bytes are refused before they are parsed. Every micro-batch writes its own folder of the
-    index, so a batch that is replayed replaces what it wrote before. compact_index() joins folders between runs.
-    """
-    def run(batch: DataFrame, number: int) -> None:
-        own = f"{index_path}/batch={number}"
-        have = spark.read.schema(INDEX + ", batch int").parquet(index_path).where(F.col("batch") != number).drop("batch") if exists(spark, index_path) else spark.createDataFrame([], INDEX)
-        ingest(concerning(have, batch), batch).where("outcome = 'created'").drop("outcome", "countedId").dropDuplicates(["contentHash"]).write.mode("overwrite").parquet(own)
-
-    lines = spark.readStream.option("maxFilesPerTrigger", 100).text(incoming).where(F.octet_length("value") <= max_bytes)
-    stream = lines.select(F.from_json("value", INDEX).alias("s")).where("s is not null").select("s.*")
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def compact_index(spark: SparkSession, index_path: str, target: str) -> None:
-    """Write all folders of an index as one, batch -1, at a new place; the stream goes on there."""
-    spark.read.schema(INDEX + ", batch int").parquet(index_path).drop("batch").distinct().write.mode("errorifexists").parquet(f"{target}/batch=-1")
+def concerning(index: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of the index that a batch can meet: those of its clients, contents or runs. One pass over the index."""
+    wanted = batch.select(F.explode(index_keys()).alias("key")).distinct()
+    return index.withColumn("key", F.explode(index_keys())).join(wanted, "key", "left_semi").drop("key").distinct()
 
 
 def windowed_counts(events: DataFrame, time: str, key: Sequence[str], late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

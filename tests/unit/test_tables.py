@@ -15,6 +15,8 @@ from skyledger.operators import stats as ST
 from skyledger.operators import summary as S
 from skyledger.sources import readers as R
 from skyledger.sources import writers as W
+from skyledger.sources.commits import CommitLog
+from skyledger.streaming import ingestion
 from skyledger.streaming import state as STATE
 
 
@@ -155,8 +157,9 @@ def test_ingestion_and_streams(spark, tmp_path):
     incoming.mkdir()
     for n, rows in enumerate([[("o", "c", "r", "h", "s1")], [("o", "c", "r", "h", "s2"), ("o", "d", "q", "g", "s3")]]):
         (incoming / f"{n}.json").write_text("".join(json.dumps(dict(zip(schema.columns(STATE.INDEX), x, strict=True))) + "\n" for x in rows))
-        STATE.ingest_stream(spark, str(incoming), str(store), str(tmp_path / "cp")).awaitTermination(90)
-    assert sorted(r.submissionId for r in spark.read.parquet(str(store)).collect()) == ["s1", "s3"]
+        ingestion.ingest_stream(spark, str(incoming), f"file://{store}", str(tmp_path / "cp")).awaitTermination(90)
+    created = CommitLog(spark, f"file://{store}").read("accepted", ingestion.ACCEPTED).where("status = 201")
+    assert sorted(r.submissionId for r in created.collect()) == ["s1", "s3"]
     lines = ['data: {"type":"response.output_item.done","output_index":1,"item":{"b":2}}', 'data: {"type":"response.output_item.done","output_index":0,"item":{"a":1}}', "event: x", 'data: {"type":"response.completed","response":{"output":[]}}']
     out = STATE.patch_lines(spark.createDataFrame([("r", i, x) for i, x in enumerate(lines)], "response string, seq int, line string")).orderBy("seq").collect()
     assert out[3].line.endswith('"output":[{"a":1},{"b":2}]}}') and out[2].line == "event: x"
