@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ from skyledger.llm.common import cut, tidy
 #: Frequent words and pairs that are broadcast; tokens of a block and pairs of a part, about.
 HOT_WORDS = 1 << 18
 HOT_PAIRS = 1 << 19
-BLOCK_TOKENS = 2_000_000  # so a block has fewer than 2 ** 22 texts
+BLOCK_TOKENS = 1_000_000  # so a block has fewer than 2 ** 22 texts
 PART_PAIRS = 1_000_000
 #: Contexts among so many most frequent words (and the start of a text) are dealt over all parts.
 SPREAD = 4096
@@ -48,8 +49,13 @@ LARGEST = 5
 
 BLOCK = "block long, hashes binary, tokens binary, lengths binary, learned binary, ids array<string>"
 PACKED = "part int, ctx binary, suf binary, n binary, n_all binary"
-ASKED = "part int, block long, ctx binary, suf binary, at binary, ids array<string>, learned binary, n_tokens binary, n_known binary, base binary, score binary"
-TOLD = "row long, code long, t long, a long, p long, b long, n_tokens long, n_known long, base double, score double, id string, learned boolean"
+#: What blocks and parts tell each other: a block's texts (ids), a question about pairs (ctx, suf) or about rare words
+#: (code, role), or sums for a block's texts (at).
+MESSAGE = "part int, block long, at binary, ctx binary, suf binary, code binary, role binary, ids array<string>, learned binary, n_tokens binary, known binary, base binary, score binary"
+WORDS = "part int, code binary, n binary, p binary, a binary, t binary"
+TOTAL = "id string, learned boolean, n_tokens long, n_known long, base_score double, score double"
+#: A rare word's roles in a token: context of a pair that was seen, of one that was not, the word itself, and alone.
+GIVEN, BACKED, WORD, ALONE = 1, 2, 4, 8
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -302,9 +308,10 @@ def fit_katz(blocks: DataFrame, *, largest: int = LARGEST, hot_words: int = HOT_
     codes = Codes(top.h.to_numpy(np.int64)[order], order.astype(np.int64))
     hot, n = len(top), top.n.to_numpy(np.int64)
     p = log_p(n)
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(got["all"]) // (2 * PART_PAIRS)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(got["all"]) // (2 * PART_PAIRS)))
     shared = spark.sparkContext.broadcast(codes)
     pairs = cut(count_pairs(blocks, shared, parts))
+    shared.destroy()
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,6 +364,7 @@ def fit_katz(blocks: DataFrame, *, largest: int = LARGEST, hot_words: int = HOT_
     over_v = F.when(some, F.col("total")).otherwise(F.col("total") + 1)
     left_v = F.when(some, F.col("total") - F.col("kept")).otherwise(F.lit(1.0)) / over_v
     contexts = cut(contexts.select("ctx", F.log10(left_v / F.greatest(1 - F.col("low"), F.lit(left / over))).alias("a"), F.log10(over_v).alias("t")))
+    known.destroy()
     a, t = np.zeros(hot + 1), np.zeros(hot + 1)
     of_hot = contexts.where(F.col("ctx") < hot).toPandas()  # hot_words rows at most
     a[of_hot.ctx.to_numpy(np.int64)], t[of_hot.ctx.to_numpy(np.int64)] = of_hot.a, of_hot.t
@@ -381,9 +389,11 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score) of each text of blocks, one row a text.
 
     n_known counts tokens that were learned, base_score is the add-one unigram log10 probability, score the model's.
+    Messages go from blocks to the parts of the pairs, from there to the parts of the rare words, and back to the blocks.
     """
     spark, hot, parts, d = blocks.sparkSession, len(model.n), model.parts, model.d
-    smallest = -np.log10(model.tokens + model.types + 1.0)
+    smallest = -float(np.log10(model.tokens + model.types + 1.0))
+    unknown = model.unknown
     shared = spark.sparkContext.broadcast((model.codes, model.n, model.p, model.a, model.t, model.pair_keys, model.pair_scores))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,12 +414,11 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
                 settled[both] = keys[place] == key
                 value[both] = np.where(keys[place] == key, scores[place], 0.0)
             per_text = lambda x: np.add.reduceat(x, block.starts)
-            sums = {"n_tokens": block.lengths, "n_known": per_text(known[block.tokens]), "base": per_text(base[block.tokens]), "score": per_text(value[at])}
-            columns = {"part": [block.block % parts], "block": [block.block], "ids": [block.ids], "learned": [pack(block.learned.astype(np.int8))]}
-            yield record_batch(ASKED, columns | {k: [pack(v)] for k, v in sums.items()})
-            open_tokens = np.flatnonzero(~settled[at])
-            text = np.repeat(np.arange(len(block.lengths), dtype=np.int32), block.lengths)[open_tokens]
-            at = at[open_tokens]
+            sums = {"n_tokens": block.lengths, "known": per_text(known[block.tokens]), "base": per_text(base[block.tokens]), "score": per_text(value[at])}
+            yield record_batch(MESSAGE, {"part": [block.block % parts], "block": [block.block], "ids": [block.ids], "learned": [pack(block.learned.astype(np.int8))]} | {k: [pack(v)] for k, v in sums.items()})
+            still = np.flatnonzero(~settled[at])
+            text = np.repeat(np.arange(len(block.lengths), dtype=np.int32), block.lengths)[still]
+            at = at[still]
             part = part_of(ctx, suf, parts)[at]
             order = np.lexsort((at, part))
             at, text = at[order], text[order]
@@ -420,9 +429,10 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
                 for k, x in (("ctx", ctx[at[where]]), ("suf", suf[at[where]]), ("at", text[where])):
                     out[k].append(pack(x))
             if out["part"]:
-                yield record_batch(ASKED, out)
+                yield record_batch(MESSAGE, out)
 
-    def tell(held: pa.Table, asked: pa.Table) -> pa.Table:
+    def settle_pairs(held: pa.Table, asked: pa.Table) -> pa.Table:
+        """Sums of what frequent words and the pair's count settle; questions about rare words."""
         _, _, p, a, t, _, _ = shared.value
         mix = lambda ctx, suf: (ctx + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suf.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         own = [learned_pairs(r) for r in held.to_pylist()]
@@ -430,15 +440,9 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
         keys = mix(ctx, suf)
         order = np.argsort(keys)
         keys, ctx, suf, n = keys[order], ctx[order], suf[order], n[order]
-        out: list[pa.RecordBatch] = []
-        for row in asked.to_pylist():
-            first = row["block"] << 22
-            if row["ctx"] is None:  # a block's texts, and what it settled itself
-                columns = {k: unpack(row[k]) for k in ("n_tokens", "n_known")} | {k: unpack(row[k], np.float64) for k in ("base", "score")}
-                rows = first + np.arange(len(row["ids"]))
-                out.append(record_batch(TOLD, {"row": rows, "code": -2 - rows, **columns, "id": row["ids"], "learned": unpack(row["learned"], np.int8).astype(bool)}))
-                continue
-            v, w, text = unpack(row["ctx"]), unpack(row["suf"]), unpack(row["at"], np.int32)
+        out = passed_on(asked, "ctx")
+        for row in asked.filter(pc.is_valid(asked["ctx"])).to_pylist():
+            block, v, w, text = row["block"], unpack(row["ctx"]), unpack(row["suf"]), unpack(row["at"], np.int32)
             times = np.zeros(len(v), np.int64)
             if len(keys):
                 key = mix(v, w)
@@ -451,25 +455,82 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
             value[seen & hot_v] -= t[v[seen & hot_v]]
             value[~seen & hot_v] += a[v[~seen & hot_v]]
             value[~seen & hot_w] += p[w[~seen & hot_w]]
-            texts, where = np.unique(text, return_inverse=True)
-            rows = first + texts.astype(np.int64)
-            out.append(record_batch(TOLD, {"row": rows, "code": -2 - rows, "score": np.bincount(where, value)}))
-            for code, some, flags in ((v, ~hot_v, {"t": seen, "a": ~seen}), (w, ~hot_w, {"p": ~seen, "b": np.ones(len(w), bool)})):
-                if some.any():
-                    out.append(record_batch(TOLD, {"row": first + text[some].astype(np.int64), "code": code[some]} | {k: x[some].astype(np.int64) for k, x in flags.items()}))
-        return pa.Table.from_batches(out or [record_batch(TOLD, {"row": []})])
-
-    told = model.pairs.groupBy("part").cogroup(blocks.mapInArrow(tidy(ask), ASKED).groupBy("part")).applyInArrow(tell, TOLD)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    n = zero(F.col("n"))
-    rare = model.rare.select("code", "n", F.col("p").alias("log_p"), F.col("a").alias("log_a"), F.col("t").alias("log_t"))
-    met = told.join(rare, "code", "left")
-    score = F.coalesce("score", F.lit(0.0)) - F.coalesce(F.col("t") * F.col("log_t"), F.lit(0.0)) + F.coalesce(F.col("a") * F.col("log_a"), F.lit(0.0))
-    score += F.coalesce(F.col("p") * F.coalesce("log_p", F.lit(model.unknown)), F.lit(0.0))
-    base = F.coalesce("base", F.lit(0.0)) + F.coalesce(F.col("b") * (F.log10(n + 1.0) + F.lit(float(smallest))), F.lit(0.0))
-    known = zero(F.col("n_known")) + F.when(n > 0, zero(F.col("b"))).otherwise(0)
-    totals = met.groupBy("row").agg(
-        F.max("id").alias("id"), F.max("learned").alias("learned"), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"),
-        F.sum(base).alias("base_score"), F.sum(score).alias("score"),
-    )
+            out.append(summed(block, parts, text, score=value))
+            code = np.concatenate([v[~hot_v], w[~hot_w]])
+            role = np.concatenate([np.where(seen, GIVEN, BACKED)[~hot_v], np.where(seen, WORD, WORD | ALONE)[~hot_w]]).astype(np.int8)
+            text = np.concatenate([text[~hot_v], text[~hot_w]])
+            part = part_of(code, code, parts)
+            order = np.lexsort((code, part))
+            columns: dict[str, list] = {k: [] for k in ("part", "block", "code", "role", "at")}
+            for number, where in by_part(part[order]):
+                columns["part"].append(number)
+                columns["block"].append(block)
+                for k, x in (("code", code), ("role", role), ("at", text)):
+                    columns[k].append(pack(x[order[where]]))
+            if columns["part"]:
+                out.append(record_batch(MESSAGE, columns))
+        return pa.Table.from_batches(out or [record_batch(MESSAGE, {"part": []})])
+
+    def settle_words(held: pa.Table, asked: pa.Table) -> pa.Table:
+        """Sums of what rare words add: as a context, seen with the next word or not, and as a word."""
+        rows = held.to_pylist()
+        code, n = (np.concatenate([unpack(r[c]) for r in rows]) if rows else np.zeros(0, np.int64) for c in ("code", "n"))
+        p, a, t = (np.concatenate([unpack(r[c], np.float64) for r in rows]) if rows else np.zeros(0) for c in "pat")
+        order = np.argsort(code)
+        # the last entry stands for words that are not in the table
+        code, n, p, a, t = code[order], np.append(n[order], 0), np.append(p[order], unknown), np.append(a[order], 0.0), np.append(t[order], 0.0)
+        out = passed_on(asked, "code")
+        for row in asked.filter(pc.is_valid(asked["code"])).to_pylist():
+            wanted, role, text = unpack(row["code"]), unpack(row["role"], np.int8), unpack(row["at"], np.int32)
+            at = np.searchsorted(code, wanted)
+            at[at < len(code)] = np.where(code[at[at < len(code)]] == wanted[at < len(code)], at[at < len(code)], len(code))
+            score = (role & BACKED > 0) * a[at] - (role & GIVEN > 0) * t[at] + (role & ALONE > 0) * p[at]
+            word = role & WORD > 0
+            out.append(summed(row["block"], parts, text, score=score, base=word * (np.log10(n[at] + 1.0) + smallest), known=(word & (n[at] > 0)).astype(float)))
+        return pa.Table.from_batches(out or [record_batch(MESSAGE, {"part": []})])
+
+    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            p, a, t = (pc.fill_null(batch.column(i), 0.0).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            part = part_of(code, code, parts)
+            order = np.argsort(part, kind="stable")
+            columns: dict[str, list] = {k: [] for k in ("part", "code", "n", "p", "a", "t")}
+            for number, where in by_part(part[order]):
+                columns["part"].append(number)
+                for k, x in (("code", code), ("n", n), ("p", p), ("a", a), ("t", t)):
+                    columns[k].append(pack(x[order[where]]))
+            yield record_batch(WORDS, columns)
+
+    asked = blocks.mapInArrow(tidy(ask), MESSAGE)
+    met = model.pairs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(settle_pairs, MESSAGE)
+    words = model.rare.select("code", "n", "p", "a", "t").mapInArrow(tidy(pack_words), WORDS)
+    known = words.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(settle_words, MESSAGE)
+    totals = known.groupBy("block").applyInArrow(total, TOTAL)
     return totals.select("id", "learned", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def passed_on(asked: pa.Table, column: str) -> list[pa.RecordBatch]:
+    """The messages that a stage has no question in."""
+    return asked.filter(pc.is_null(asked[column])).to_batches()
+
+
+def summed(block: int, parts: int, text: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
+    """A message to a block: what is added to the values of its texts, summed by text."""
+    texts, at = np.unique(text, return_inverse=True)
+    return record_batch(MESSAGE, {"part": [block % parts], "block": [block], "at": [pack(texts)]} | {k: [pack(np.bincount(at, v))] for k, v in values.items()})
+
+
+def total(group: pa.Table) -> pa.Table:
+    """The texts of a block with all that was added to their values, in the order of the messages' parts of texts."""
+    rows = group.to_pylist()
+    (own,) = [r for r in rows if r["ids"] is not None]
+    known, base, score = unpack(own["known"]).astype(float), unpack(own["base"], np.float64).copy(), unpack(own["score"], np.float64).copy()
+    for r in rows:
+        if r["ids"] is None:
+            at = unpack(r["at"], np.int32)
+            for sums, name in ((known, "known"), (base, "base"), (score, "score")):
+                if r[name] is not None:
+                    sums[at] += unpack(r[name], np.float64)
+    columns = {"id": own["ids"], "learned": unpack(own["learned"], np.int8).astype(bool), "n_tokens": unpack(own["n_tokens"]), "n_known": known.astype(np.int64), "base_score": base, "score": score}
+    return pa.Table.from_batches([record_batch(TOTAL, columns)])
