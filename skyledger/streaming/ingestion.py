@@ -8,12 +8,12 @@ against the index as it has become.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.sources.commits import Changes, CommitLog, Version
+from skyledger.sources.writers import stored
 from skyledger.streaming.state import INDEX, concerning, index_keys, ingest
 
 MAX_SUBMISSION = 32 << 20  # bytes
@@ -67,29 +67,18 @@ def judge_lines(lines: DataFrame, accounts: DataFrame | None = None, *, value: s
 def settle(judged: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted (ACCEPTED) and refused (REFUSED) rows of judged lines, given the index (INDEX).
 
-    201 created and 200 duplicate are accepted, with the submission id that counts; a conflict is 400. Lines of a batch
-    that say the same count once: the first is created, the others are its duplicates.
+    201 created and 200 duplicate are accepted, with the submission id that counts; a conflict is 400. A line that comes
+    several times is created once, and the others are its duplicates.
     """
-    whole = judged.where("status is null")
     names = [c.split(" ")[0] for c in INDEX.split(", ")]
-    lines = whole.select(*names, "sha256", "bytes", "line").withColumn("submissionId", F.coalesce("submissionId", "contentHash"))
-    # lines that agree in all of these have one outcome, so they are asked once; those that repeat are duplicates
-    asked = lines.select(*names).distinct()
-    outcome = ingest(index, asked).select(*[F.col(n).alias(f"_{n}") for n in names], "outcome", "countedId")
-    same = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"_{n}") for n in names])
-    met = lines.join(outcome, same)
-    conflict = F.col("outcome") == "conflict"
-    fine = met.where(~conflict).groupBy(*names, "outcome", "countedId").agg(F.count("*").alias("n"))
-    created = F.col("outcome") == "created"
-    # created at most once, however often the line came
-    spread = fine.withColumn("first", F.explode(F.when(created & (F.col("n") > 1), F.array(F.lit(True), F.lit(False))).otherwise(F.array(created))))
-    times = F.when(created & F.col("first"), F.lit(1)).when(created, F.col("n") - 1).otherwise(F.col("n"))
-    rows = spread.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    accepted = rows.select(
-        *[F.col("countedId").alias(n) if n == "submissionId" else F.col(n) for n in names],
-        F.when(F.col("first"), 201).otherwise(200).alias("status"), F.when(F.col("first"), "created").otherwise("duplicate").alias("code"),
+    lines = judged.where("status is null").select("line", "sha256", "bytes", *names[:4], F.coalesce("submissionId", "contentHash").alias("submissionId"))
+    outcome = stored(ingest(index, lines.select(*names)))
+    accepted = outcome.where("outcome <> 'conflict'").select(
+        *names[:4], F.col("countedId").alias("submissionId"), F.when(F.col("outcome") == "created", 201).otherwise(200).alias("status"), F.col("outcome").alias("code")
     )
-    clash = met.where(conflict).select("sha256", "bytes", "line", F.lit(400).alias("status"), F.lit("invalid-submission").alias("code"), F.lit("already used for different content").alias("message"))
+    # lines that agree in every field share their outcome if it is a conflict, so they find their text again by the fields
+    clashing = outcome.where("outcome = 'conflict'").select(*names).distinct()
+    clash = lines.join(clashing, names, "left_semi").select("sha256", "bytes", "line", F.lit(400).alias("status"), F.lit("invalid-submission").alias("code"), F.lit("already used for different content").alias("message"))
     refused = judged.where("status is not null").select("sha256", "bytes", "line", "status", "code", "message").unionByName(clash)
     return accepted, refused
 

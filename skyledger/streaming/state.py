@@ -19,6 +19,7 @@ from skyledger.evidence import Evidence
 from skyledger.functions.identity import canonical_json
 from skyledger.operators.cells import METRICS, cells, trial_facts
 from skyledger.operators.summary import USAGE
+from skyledger.sources.writers import stored
 
 TABLES = ("profiles", "trials", "rounds", "tool_calls")
 
@@ -130,29 +131,47 @@ INDEX = "ownerId string, clientRunId string, runId string, contentHash string, s
 
 
 def ingest(index: DataFrame, batch: DataFrame) -> DataFrame:
-    """Each submission of a batch with its outcome and the submission id that counts.
+    """Each submission of a batch with its outcome and the submission id that counts, as if they came one by
+    one, by submission id (null: the content hash) and then owner, client and run.
 
-    The same owner and client run with the same content: duplicate; with other content: conflict. The same content from
-    anyone: duplicate of the first. The same run with other content: conflict. Else: created. Within a batch the smallest
-    submission id goes first. The index has one row per accepted submission and is joined by key, never collected.
+    The same owner and client run as one that is in, with the same content: duplicate; with other content: conflict. The
+    same content from anyone: duplicate of that. The same run with other content: conflict. Else: created, and in. A null
+    key clashes with nothing. The index has one row per accepted submission and is joined by key, never collected.
+
+    A round settles what no earlier open submission can change: whoever's client is in; then, if no open one of the same
+    client comes before, whoever's content is in; then likewise by run; and the first of all three. A key that many
+    share is settled for all of them once its first one is in, so rounds are as many as the longest chain of submissions
+    that wait for each other by different keys.
     """
-    from pyspark.sql import Window
-
-    b = batch.select("ownerId", "clientRunId", "runId", "contentHash", F.coalesce("submissionId", F.col("contentHash")).alias("submissionId"))
-    first = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy("submissionId", "ownerId", "clientRunId", "runId"))
-    firsts = b.withColumn("_o", first("ownerId", "clientRunId")).withColumn("_h", first("contentHash")).withColumn("_r", first("runId"))
-    lead = firsts.where("_o = 1 and _h = 1 and _r = 1").select(*b.columns, F.lit(1).alias("_new"))
-    known = index.select(*b.columns, F.lit(0).alias("_new")).unionByName(lead)
-    pick = lambda *c: known.groupBy(*c).agg(F.min(F.struct("_new", "submissionId", "contentHash")).alias("_" + c[-1]))
-    rows = b.join(pick("ownerId", "clientRunId"), ["ownerId", "clientRunId"], "left").join(pick("contentHash"), "contentHash", "left").join(pick("runId"), "runId", "left")
-    mine, same, run = F.col("_clientRunId"), F.col("_contentHash"), F.col("_runId")
-    own = lambda c: c["submissionId"] == F.col("submissionId")
-    outcome = (
-        F.when(mine.isNotNull() & (mine["contentHash"] != F.col("contentHash")), "conflict").when(mine.isNotNull() & ~((mine["_new"] == 1) & own(mine)), "duplicate").when(same.isNotNull() & ~((same["_new"] == 1) & own(same)), "duplicate")
-        .when(run.isNotNull() & (run["contentHash"] != F.col("contentHash")), "conflict").otherwise("created")
-    )
-    counted = F.when(mine.isNotNull() & (mine["contentHash"] == F.col("contentHash")), mine["submissionId"]).otherwise(same["submissionId"])
-    return rows.select(*b.columns, outcome.alias("outcome"), F.coalesce(counted, "submissionId").alias("countedId"))
+    names = ["ownerId", "clientRunId", "runId", "contentHash", "submissionId"]
+    by = {"client": ["ownerId", "clientRunId"], "content": ["contentHash"], "run": ["runId"]}
+    rows = batch.select(*names[:4], F.coalesce("submissionId", "contentHash").alias("submissionId")).withColumn("_i", F.monotonically_increasing_id())
+    pending = stored(rows.withColumn("_at", F.struct("submissionId", "ownerId", "clientRunId", "runId", "_i")))
+    place = pending.schema["_at"].dataType
+    known, settled = index.select(*names), []
+    while True:
+        met = pending
+        for key, columns in by.items():
+            fact = F.struct("submissionId", "contentHash")
+            here = pending.select(*columns, F.col("_at").alias("at"), F.lit(None).cast("struct<submissionId:string,contentHash:string>").alias("fact"))
+            there = known.select(*columns, F.lit(None).cast(place).alias("at"), fact.alias("fact"))
+            facts = here.unionByName(there).groupBy(*columns).agg(F.min("at").alias(f"_first_{key}"), F.min("fact").alias(f"_{key}"))
+            met = met.join(facts, columns, "left")
+        first = {k: F.col(f"_first_{k}").isNull() | (F.col(f"_first_{k}") == F.col("_at")) for k in by}
+        mine, same, run = (F.col(f"_{k}") for k in by)
+        outcome = (
+            F.when(mine.isNotNull(), F.when(mine["contentHash"] == F.col("contentHash"), "duplicate").otherwise("conflict"))
+            .when(first["client"] & same.isNotNull(), "duplicate")
+            .when(first["client"] & first["content"] & run.isNotNull(), "conflict")
+            .when(first["client"] & first["content"] & first["run"], "created")
+        )
+        counted = F.when(mine.isNotNull(), F.when(mine["contentHash"] == F.col("contentHash"), mine["submissionId"])).otherwise(same["submissionId"])
+        judged = stored(met.select(*names, "_i", "_at", outcome.alias("outcome"), counted.alias("countedId")))
+        settled.append(judged.where("outcome is not null").select(*names, "outcome", F.coalesce("countedId", "submissionId").alias("countedId")))
+        pending = judged.where("outcome is null").select(*names, "_i", "_at")
+        if pending.isEmpty():
+            return reduce(DataFrame.unionAll, settled)
+        known = known.unionAll(judged.where("outcome = 'created'").select(*names))
 
 
 def index_keys() -> Column:

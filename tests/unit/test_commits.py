@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import threading
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.sources.commits import CommitConflict, CommitLog, create_if_absent, read_text
 from skyledger.streaming import ingestion as I
+from skyledger.streaming.state import INDEX, ingest
 
 
 def test_a_document_appears_once_and_whole(spark, tmp_path):
@@ -136,3 +138,36 @@ def test_an_overtaken_batch_is_judged_again(spark, tmp_path):
 
     I.commit_batch(Slow(spark, log.root), one, "one")
     assert [(r[4], r[5]) for r in rows_of(log)[0]] == [("b", 200), ("b", 201)]  # the same content: only one was created
+
+
+def one_by_one(rows):
+    kept, out = [], {}
+    for owner, client, run, content, sid in sorted(rows, key=lambda r: (r[4], r[0], r[1], r[2])):
+        mine = next((k for k in kept if k[:2] == (owner, client)), None)
+        same = next((k for k in kept if k[3] == content), None)
+        if mine:
+            got = ("duplicate", mine[4]) if mine[3] == content else ("conflict", sid)
+        elif same:
+            got = ("duplicate", same[4])
+        elif any(k[2] == run for k in kept):
+            got = ("conflict", sid)
+        else:
+            got = ("created", sid)
+            kept.append((owner, client, run, content, sid))
+        out[sid] = got
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_batches_are_settled_as_if_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice("op"), f"c{rng.randrange(12)}", f"r{rng.randrange(14)}", f"h{rng.randrange(12)}", f"s{i:03}") for i in range(150)]
+    known = [("o", "c1", "r1", "h1", "a0"), ("p", "c2", "r2", "h2", "a1")]
+    index = spark.createDataFrame(known, INDEX)
+    got = {r.submissionId: (r.outcome, r.countedId) for r in ingest(index, spark.createDataFrame(rows, INDEX).repartition(3)).collect()}
+    want = one_by_one([(*k[:4], k[4]) for k in known] + rows)
+    assert got == {s: o for s, o in want.items() if s.startswith("s")} and {o for o, _ in got.values()} == {"created", "duplicate", "conflict"}
+    rest = spark.createDataFrame([("o", None, None, f"n{i}", None) for i in range(4)], INDEX)
+    assert [r.outcome for r in ingest(index, rest).collect()] == ["created"] * 4  # null keys clash with nothing
+    twice = spark.createDataFrame([("o", "x", "y", "z", "s")] * 3, INDEX)
+    assert sorted(r.outcome for r in ingest(index, twice).collect()) == ["created", "duplicate", "duplicate"]
