@@ -109,6 +109,13 @@ def cut(df: DataFrame, *, kept: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does when the driver forgets them, which its garbage
+    collector finds out. For operators whose later steps need the room."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(n: int, step: int) -> Iterator[slice]:
     for at in range(0, n, step):
         yield slice(at, min(n, at + step))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import cut, tidy
+from skyledger.llm.common import cut, release, tidy
 
 #: Frequent words and pairs that are broadcast; tokens of a block and pairs of a part, about.
 HOT_WORDS = 1 << 18
@@ -50,8 +50,8 @@ LARGEST = 5
 BLOCK = "block long, hashes binary, tokens binary, lengths binary, learned binary, ids array<string>"
 PACKED = "part int, ctx binary, suf binary, n binary, n_all binary"
 #: What blocks and parts tell each other: a block's texts (ids), a question about pairs (ctx, suf) or about rare words
-#: (code, role), or sums for a block's texts (at).
-MESSAGE = "part int, block long, at binary, ctx binary, suf binary, code binary, role binary, ids array<string>, learned binary, n_tokens binary, known binary, base binary, score binary"
+#: (code, role, and the block of each), or sums for a block's texts (at).
+MESSAGE = "part int, block long, at binary, ctx binary, suf binary, code binary, role binary, blocks binary, ids array<string>, learned binary, n_tokens binary, known binary, base binary, score binary"
 WORDS = "part int, code binary, n binary, p binary, a binary, t binary"
 TOTAL = "id string, learned boolean, n_tokens long, n_known long, base_score double, score double"
 #: A rare word's roles in a token: context of a pair that was seen, of one that was not, the word itself, and alone.
@@ -72,6 +72,15 @@ def unpack(packed: bytes, kind: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def pack_sorted(a: np.ndarray) -> bytes:
+    """pack() of the steps between numbers that mostly rise."""
+    return pack(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def unpack_sorted(packed: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.cumsum(unpack(packed, kind), dtype=kind)
+
+
 def arrow_type(name: str) -> pa.DataType:
     return {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[name]
 
@@ -132,7 +141,7 @@ def encode(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col:
 
 
 class Block:
-    """A block's arrays. codes has a code per distinct word, and START as the last; pairs() gives places in codes."""
+    """A block's arrays."""
 
     def __init__(self, row: dict):
         self.block, self.ids = row["block"], row["ids"]
@@ -142,12 +151,18 @@ class Block:
         self.learned = unpack(row["learned"], np.int8).astype(bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def pairs(self) -> np.ndarray:
-        """Per token the place of the one before times their number, plus its own."""
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = len(self.hashes)
-        return before * (len(self.hashes) + 1) + self.tokens
+    def coded(self, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The codes of START and of the distinct words, in order; tokens as places in them; and pairs: per token the
+        place of the one before times the number of codes, plus its own."""
+        code = codes.of(self.hashes)
+        order = np.argsort(code)
+        place = np.empty(len(code), np.int64)
+        place[order] = np.arange(1, len(code) + 1)
+        tokens = place[self.tokens]
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[self.starts] = 0
+        return np.append(START, code[order]), tokens, before * (len(code) + 1) + tokens
 
 
 def blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -163,12 +178,11 @@ class Codes(NamedTuple):
     ranks: np.ndarray
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        """Codes of a block's words, and START."""
-        out = np.append(hashes, START)
+        out = hashes.copy()
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             same = self.hashes[at] == hashes
-            out[:-1][same] = self.ranks[at[same]]
+            out[same] = self.ranks[at[same]]
         return out
 
 
@@ -217,7 +231,7 @@ def by_part(part: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def learned_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Those pairs (ctx, suf, n) of a packed row that were learned, in order."""
-    ctx, suf, n = unpack(row["ctx"]), unpack(row["suf"]), unpack(row["n"])
+    ctx, suf, n = unpack_sorted(row["ctx"]), unpack(row["suf"]), unpack(row["n"])
     some = n > 0
     return ctx[some], suf[some], n[some]
 
@@ -243,12 +257,13 @@ class KatzModel(NamedTuple):
 
 def merge_pairs(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
-    ctx, suf, n, n_all = (np.concatenate([unpack(r[c]) for r in rows]) for c in ("ctx", "suf", "n", "n_all"))
+    ctx = np.concatenate([unpack_sorted(r["ctx"]) for r in rows])
+    suf, n, n_all = (np.concatenate([unpack(r[c]) for r in rows]) for c in ("suf", "n", "n_all"))
     order = np.lexsort((suf, ctx))
     ctx, suf = ctx[order], suf[order]
     first = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (suf[1:] != suf[:-1])))
-    sums = [np.add.reduceat(x[order], first) for x in (n, n_all)]
-    columns = {"part": [rows[0]["part"]]} | {k: [pack(v)] for k, v in zip(("ctx", "suf", "n", "n_all"), (ctx[first], suf[first], *sums), strict=True)}
+    n, n_all = (np.add.reduceat(x[order], first) for x in (n, n_all))
+    columns = {"part": [rows[0]["part"]], "ctx": [pack_sorted(ctx[first])], "suf": [pack(suf[first])], "n": [pack(n)], "n_all": [pack(n_all)]}
     return pa.Table.from_batches([record_batch(PACKED, columns)])
 
 
@@ -257,19 +272,20 @@ def count_pairs(blocks: DataFrame, codes, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_in(batches):
-            code, width = codes.value.of(block.hashes), len(block.hashes) + 1
-            seen, times = np.unique(block.pairs() * 2 + np.repeat(block.learned, block.lengths), return_counts=True)
+            code, _, pairs = block.coded(codes.value)
+            seen, times = np.unique(pairs * 2 + np.repeat(block.learned, block.lengths), return_counts=True)
             pair = seen >> 1
             first = np.flatnonzero(np.diff(pair, prepend=-1))
             n_all, n = np.add.reduceat(times, first), np.add.reduceat(times * (seen & 1), first)
-            ctx, suf = code[pair[first] // width], code[pair[first] % width]
+            ctx, suf = code[pair[first] // len(code)], code[pair[first] % len(code)]
             part = part_of(ctx, suf, parts)
             order = np.argsort(part, kind="stable")
-            columns = [x[order] for x in (ctx, suf, n, n_all)]
+            ctx, suf, n, n_all = (x[order] for x in (ctx, suf, n, n_all))
             out: dict[str, list] = {k: [] for k in ("part", "ctx", "suf", "n", "n_all")}
             for number, where in by_part(part[order]):
                 out["part"].append(number)
-                for k, x in zip(("ctx", "suf", "n", "n_all"), columns, strict=True):
+                out["ctx"].append(pack_sorted(ctx[where]))
+                for k, x in (("suf", suf), ("n", n), ("n_all", n_all)):
                     out[k].append(pack(x[where]))
             yield record_batch(PACKED, out)
 
@@ -312,6 +328,7 @@ def fit_katz(blocks: DataFrame, *, largest: int = LARGEST, hot_words: int = HOT_
     shared = spark.sparkContext.broadcast(codes)
     pairs = cut(count_pairs(blocks, shared, parts))
     shared.destroy()
+    release(spark)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,11 +387,13 @@ def fit_katz(blocks: DataFrame, *, largest: int = LARGEST, hot_words: int = HOT_
     a[of_hot.ctx.to_numpy(np.int64)], t[of_hot.ctx.to_numpy(np.int64)] = of_hot.a, of_hot.t
     rare = rare_words.select(F.col("h").alias("code"), "n", F.log10(given(F.col("n"))).alias("p"))
     rare = cut(rare.join(contexts.select(F.col("ctx").alias("code"), "a", "t"), "code", "left"))
+    release(spark)
 
     def frequent_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ctx, suf, n, n_all = (unpack(row[c]) for c in ("ctx", "suf", "n", "n_all"))
+                ctx = unpack_sorted(row["ctx"])
+                suf, n, n_all = (unpack(row[c]) for c in ("suf", "n", "n_all"))
                 some = (n_all >= pair_bound) & (ctx < hot) & (suf < hot)
                 yield record_batch("key long, n long", {"key": (ctx[some] + 1) << 32 | suf[some], "n": n[some]})
 
@@ -399,13 +418,13 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, n, *_, keys, scores = shared.value
         for block in blocks_in(batches):
-            code, width = codes.of(block.hashes), len(block.hashes) + 1
-            frequent = code[:-1] < hot
-            base, known = np.zeros(width - 1), np.zeros(width - 1, np.int64)
-            base[frequent] = np.log10(n[code[:-1][frequent]] + 1.0) + smallest
-            known[frequent] = n[code[:-1][frequent]] > 0
-            pair, at = np.unique(block.pairs(), return_inverse=True)
-            ctx, suf = code[pair // width], code[pair % width]
+            code, tokens, pairs = block.coded(codes)
+            frequent = (code >= 0) & (code < hot)
+            base, known = np.zeros(len(code)), np.zeros(len(code), np.int64)
+            base[frequent] = np.log10(n[code[frequent]] + 1.0) + smallest
+            known[frequent] = n[code[frequent]] > 0
+            pair, at = np.unique(pairs, return_inverse=True)
+            ctx, suf = code[pair // len(code)], code[pair % len(code)]
             value, settled = np.zeros(len(pair)), np.zeros(len(pair), bool)
             if len(keys):
                 both = (ctx < hot) & (suf < hot)
@@ -414,7 +433,7 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
                 settled[both] = keys[place] == key
                 value[both] = np.where(keys[place] == key, scores[place], 0.0)
             per_text = lambda x: np.add.reduceat(x, block.starts)
-            sums = {"n_tokens": block.lengths, "known": per_text(known[block.tokens]), "base": per_text(base[block.tokens]), "score": per_text(value[at])}
+            sums = {"n_tokens": block.lengths, "known": per_text(known[tokens]), "base": per_text(base[tokens]), "score": per_text(value[at])}
             yield record_batch(MESSAGE, {"part": [block.block % parts], "block": [block.block], "ids": [block.ids], "learned": [pack(block.learned.astype(np.int8))]} | {k: [pack(v)] for k, v in sums.items()})
             still = np.flatnonzero(~settled[at])
             text = np.repeat(np.arange(len(block.lengths), dtype=np.int32), block.lengths)[still]
@@ -426,13 +445,14 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
             for number, where in by_part(part[order]):
                 out["part"].append(number)
                 out["block"].append(block.block)
-                for k, x in (("ctx", ctx[at[where]]), ("suf", suf[at[where]]), ("at", text[where])):
-                    out[k].append(pack(x))
+                out["ctx"].append(pack_sorted(ctx[at[where]]))
+                out["suf"].append(pack(suf[at[where]]))
+                out["at"].append(pack(text[where]))
             if out["part"]:
                 yield record_batch(MESSAGE, out)
 
     def settle_pairs(held: pa.Table, asked: pa.Table) -> pa.Table:
-        """Sums of what frequent words and the pair's count settle; questions about rare words."""
+        """Sums of what frequent words and the pair's count settle; questions about rare words, of all blocks together."""
         _, _, p, a, t, _, _ = shared.value
         mix = lambda ctx, suf: (ctx + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suf.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         own = [learned_pairs(r) for r in held.to_pylist()]
@@ -441,8 +461,9 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
         order = np.argsort(keys)
         keys, ctx, suf, n = keys[order], ctx[order], suf[order], n[order]
         out = passed_on(asked, "ctx")
+        open_words: list[tuple[np.ndarray, ...]] = []
         for row in asked.filter(pc.is_valid(asked["ctx"])).to_pylist():
-            block, v, w, text = row["block"], unpack(row["ctx"]), unpack(row["suf"]), unpack(row["at"], np.int32)
+            block, v, w, text = row["block"], unpack_sorted(row["ctx"]), unpack(row["suf"]), unpack(row["at"], np.int32)
             times = np.zeros(len(v), np.int64)
             if len(keys):
                 key = mix(v, w)
@@ -458,15 +479,18 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
             out.append(summed(block, parts, text, score=value))
             code = np.concatenate([v[~hot_v], w[~hot_w]])
             role = np.concatenate([np.where(seen, GIVEN, BACKED)[~hot_v], np.where(seen, WORD, WORD | ALONE)[~hot_w]]).astype(np.int8)
-            text = np.concatenate([text[~hot_v], text[~hot_w]])
+            open_words.append((code, role, np.concatenate([text[~hot_v], text[~hot_w]]), np.full(len(code), block)))
+        if open_words:
+            code, role, text, block = (np.concatenate(x) for x in zip(*open_words, strict=True))
             part = part_of(code, code, parts)
             order = np.lexsort((code, part))
-            columns: dict[str, list] = {k: [] for k in ("part", "block", "code", "role", "at")}
+            columns: dict[str, list] = {k: [] for k in ("part", "code", "role", "at", "blocks")}
             for number, where in by_part(part[order]):
+                rows = order[where]
                 columns["part"].append(number)
-                columns["block"].append(block)
-                for k, x in (("code", code), ("role", role), ("at", text)):
-                    columns[k].append(pack(x[order[where]]))
+                columns["code"].append(pack_sorted(code[rows]))
+                for k, x in (("role", role), ("at", text), ("blocks", block)):
+                    columns[k].append(pack(x[rows]))
             if columns["part"]:
                 out.append(record_batch(MESSAGE, columns))
         return pa.Table.from_batches(out or [record_batch(MESSAGE, {"part": []})])
@@ -480,13 +504,21 @@ def score_katz(blocks: DataFrame, model: KatzModel) -> DataFrame:
         # the last entry stands for words that are not in the table
         code, n, p, a, t = code[order], np.append(n[order], 0), np.append(p[order], unknown), np.append(a[order], 0.0), np.append(t[order], 0.0)
         out = passed_on(asked, "code")
-        for row in asked.filter(pc.is_valid(asked["code"])).to_pylist():
-            wanted, role, text = unpack(row["code"]), unpack(row["role"], np.int8), unpack(row["at"], np.int32)
+        rows = asked.filter(pc.is_valid(asked["code"])).to_pylist()
+        if rows:
+            wanted = np.concatenate([unpack_sorted(r["code"]) for r in rows])
+            role, text, block = (np.concatenate([unpack(r[c], k) for r in rows]) for c, k in (("role", np.int8), ("at", np.int32), ("blocks", np.int64)))
             at = np.searchsorted(code, wanted)
-            at[at < len(code)] = np.where(code[at[at < len(code)]] == wanted[at < len(code)], at[at < len(code)], len(code))
+            there = at < len(code)
+            there[there] = code[at[there]] == wanted[there]
+            at[~there] = len(code)
             score = (role & BACKED > 0) * a[at] - (role & GIVEN > 0) * t[at] + (role & ALONE > 0) * p[at]
             word = role & WORD > 0
-            out.append(summed(row["block"], parts, text, score=score, base=word * (np.log10(n[at] + 1.0) + smallest), known=(word & (n[at] > 0)).astype(float)))
+            base, known = word * (np.log10(n[at] + 1.0) + smallest), (word & (n[at] > 0)).astype(float)
+            order = np.argsort(block, kind="stable")
+            for first, last in pairwise([*np.flatnonzero(np.diff(block[order], prepend=-1)), len(order)]):
+                some = order[first:last]
+                out.append(summed(int(block[some[0]]), parts, text[some], score=score[some], base=base[some], known=known[some]))
         return pa.Table.from_batches(out or [record_batch(MESSAGE, {"part": []})])
 
     def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,7 +550,7 @@ def passed_on(asked: pa.Table, column: str) -> list[pa.RecordBatch]:
 def summed(block: int, parts: int, text: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
     """A message to a block: what is added to the values of its texts, summed by text."""
     texts, at = np.unique(text, return_inverse=True)
-    return record_batch(MESSAGE, {"part": [block % parts], "block": [block], "at": [pack(texts)]} | {k: [pack(np.bincount(at, v))] for k, v in values.items()})
+    return record_batch(MESSAGE, {"part": [block % parts], "block": [block], "at": [pack_sorted(texts)]} | {k: [pack(np.bincount(at, v))] for k, v in values.items()})
 
 
 def total(group: pa.Table) -> pa.Table:
@@ -528,7 +560,7 @@ def total(group: pa.Table) -> pa.Table:
     known, base, score = unpack(own["known"]).astype(float), unpack(own["base"], np.float64).copy(), unpack(own["score"], np.float64).copy()
     for r in rows:
         if r["ids"] is None:
-            at = unpack(r["at"], np.int32)
+            at = unpack_sorted(r["at"], np.int32)
             for sums, name in ((known, "known"), (base, "base"), (score, "score")):
                 if r[name] is not None:
                     sums[at] += unpack(r[name], np.float64)
