@@ -42,6 +42,17 @@ def r(c: Column | str, places: int = 9) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places)
 
 
+#: SQL: submissions of queue (i, owner, client, run, h, id) one by one, with all that are in so far.
+SERVED = """served(i, kept, id, outcome, counted) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(client VARCHAR, h VARCHAR, run VARCHAR, id VARCHAR)[]), '', '', ''
+  UNION ALL
+  SELECT i, CASE WHEN outcome = 'created' THEN list_append(kept, {'client': concat(owner, chr(9), client), 'h': h, 'run': run, 'id': id}) ELSE kept END, id, outcome, counted
+  FROM (
+    SELECT *, CASE WHEN mine IS NOT NULL THEN CASE WHEN mine.h = h THEN 'duplicate' ELSE 'conflict' END WHEN same IS NOT NULL THEN 'duplicate' WHEN other IS NOT NULL THEN 'conflict' ELSE 'created' END AS outcome,
+      CASE WHEN mine IS NOT NULL AND mine.h = h THEN mine.id WHEN mine IS NULL AND same IS NOT NULL THEN same.id ELSE id END AS counted
+    FROM (
+      SELECT q.*, s.kept, list_filter(s.kept, lambda x: x.client = concat(q.owner, chr(9), q.client))[1] AS mine, list_filter(s.kept, lambda x: x.h = q.h)[1] AS same, list_filter(s.kept, lambda x: x.run = q.run)[1] AS other
+      FROM served s JOIN queue q ON q.i = s.i + 1)))"""
 TRIALS = """
 nat AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 cust AS (SELECT c_custkey, c_mktsegment, n_nationkey, n_name, r_name FROM customer JOIN nat ON c_nationkey = n_nationkey),
@@ -474,10 +485,10 @@ def hourly_counts(spark, sf_dir):
     return rows.select("user_id", F.col("window.start").alias("hour"), "n")
 
 
-@query("""WITH s AS (SELECT CAST(c_nationkey AS VARCHAR) AS owner, concat('client-', CAST(c_custkey % 40 AS VARCHAR)) AS client, concat('run-', CAST(c_custkey % 50 AS VARCHAR)) AS run, sha256(concat(c_mktsegment, CAST(c_custkey % 30 AS VARCHAR))) AS h, c_custkey FROM customer) SELECT outcome AS "outcome", count(*) AS "n" FROM (
-SELECT CASE WHEN oh <> h THEN 'conflict' WHEN own IS NOT NULL AND NOT (own = id) THEN 'duplicate' WHEN same IS NOT NULL AND NOT (same = id) THEN 'duplicate' WHEN rh <> h THEN 'conflict' ELSE 'created' END AS outcome FROM (
-SELECT b.*, o.id AS own, o.h AS oh, c.id AS same, q.h AS rh FROM (SELECT *, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id FROM s) b
-LEFT JOIN (SELECT owner, client, min(id) AS id, arg_min(h, id) AS h FROM lead GROUP BY ALL) o ON o.owner = b.owner AND o.client = b.client LEFT JOIN (SELECT h, min(id) AS id FROM lead GROUP BY h) c ON c.h = b.h LEFT JOIN (SELECT run, arg_min(h, id) AS h FROM lead GROUP BY run) q ON q.run = b.run)) GROUP BY outcome""".replace("WITH s AS (", "WITH s AS (", 1).replace(") SELECT outcome AS", "), ids AS (SELECT *, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id FROM s), ranked AS (SELECT *, row_number() OVER (PARTITION BY owner, client ORDER BY id) AS a, row_number() OVER (PARTITION BY h ORDER BY id) AS b, row_number() OVER (PARTITION BY run ORDER BY id) AS c FROM ids), lead AS (SELECT * FROM ranked WHERE a = 1 AND b = 1 AND c = 1) SELECT outcome AS", 1))
+@query(f"""WITH RECURSIVE s AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS owner, concat('client-', CAST(c_custkey % 40 AS VARCHAR)) AS client, concat('run-', CAST(c_custkey % 50 AS VARCHAR)) AS run,
+    sha256(concat(c_mktsegment, CAST(c_custkey % 30 AS VARCHAR))) AS h, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id FROM customer),
+queue AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM s), {SERVED} SELECT outcome AS "outcome", count(*) AS "n" FROM served WHERE i > 0 GROUP BY outcome""")
 def ingestion_outcomes(spark, sf_dir):
     """T01 on one batch and an empty index."""
     c = read(spark, sf_dir, "customer")
