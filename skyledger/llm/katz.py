@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import cut, release, tidy
 
 #: Frequent words and pairs that are broadcast; tokens of a block and pairs of a part, about.
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 19
 HOT_PAIRS = 1 << 19
 BLOCK_TOKENS = 1_000_000  # so a block has fewer than 2 ** 22 texts
 PART_PAIRS = 1_000_000
