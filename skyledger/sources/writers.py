@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +41,59 @@ def json_rows(df: DataFrame) -> DataFrame:
 def table_digest(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Bytes and sha256 of a table's ordered JSON lines, as if they stood in one file.
 
-    The digest is over one byte sequence, so it is for tables of a single bundle, whose size is limited at ingestion.
+    The table is one row for a moment, so this is for tables of a single bundle, whose size is limited at ingestion;
+    ordered_digest() is for any other.
     """
     rows = df.select(F.struct(*order).alias("k"), canonical_json(F.struct(*df.columns)).alias("v"))
     text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]), "\n"), F.lit("\n"))
     return rows.agg(F.count("*").alias("rows"), F.octet_length(text).alias("bytes"), F.sha2(text, 256).alias("sha256"))
 
 
+def ordered_digest(df: DataFrame, order: Sequence[str], *, chunk: int = 1 << 20) -> DataFrame:
+    """Rows, bytes and sha256 of a table's ordered JSON lines as one file, for tables of any size.
+
+    The table is parted by ranges of order and sorted; tasks turn their range into chunks of about so many bytes. A last
+    task takes the chunks in order and hashes them as they stream by, as the hash needs them one after the other: it
+    reads every byte but holds a batch. Rows that tie in order must be equal, or order must have all columns. An empty
+    table is an empty file.
+    """
+    lines = df.select(*order, canonical_json(F.struct(*df.columns)).alias("_line"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("_line")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held, rows, size = TaskContext.get().partitionId(), 0, [], 0, 0
+
+        def packed() -> pa.RecordBatch:
+            body = b"".join(held)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([rows], pa.int64()), pa.array([body], pa.binary())], ["part", "seq", "rows", "body"])
+
+        for batch in batches:
+            for line in batch.column(0).cast(pa.binary()).to_pylist():
+                held.append(line + b"\n")
+                rows += 1
+                size += len(line) + 1
+                if size >= chunk:
+                    yield packed()
+                    seq, held, rows, size = seq + 1, [], 0, 0
+        if held:
+            yield packed()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, rows, size = hashlib.sha256(), 0, 0
+        for batch in batches:
+            for n, body in zip(batch.column(0), batch.column(1), strict=True):
+                data = body.as_py()
+                sha.update(data)
+                rows, size = rows + n.as_py(), size + len(data)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([size], pa.int64()), pa.array([sha.hexdigest()])], ["rows", "bytes", "sha256"])
+
+    chunks = stored(ranged.mapInArrow(cut_up, "part long, seq long, rows long, body binary"))
+    folded = chunks.repartition(1).sortWithinPartitions("part", "seq").select("rows", "body").mapInArrow(fold, "rows long, bytes long, sha256 string")
+    none = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(hashlib.sha256(b"").hexdigest())  # an empty table has no task
+    return folded.agg(*[F.coalesce(F.max(c), other).alias(c) for c, other in zip(("rows", "bytes", "sha256"), none, strict=True)])
+
+
 def write_json_lines(df: DataFrame, path: str, *, gzip: bool = False, partition_by: Sequence[str] = ()) -> None:
     """Fails if path exists; compressed, and one folder per run, for stores."""
     writer = df.write.mode("errorifexists").option("ignoreNullFields", False)
