@@ -8,6 +8,7 @@ import tarfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from skyledger.operators import drafts as D
 from skyledger.operators import stats as ST
 from skyledger.operators.layout import layout_violations
 from skyledger.plans.queries import SQL, placed, query, r, read
@@ -99,3 +100,44 @@ def layout_of_runs(spark, sf_dir):
     trials = o.select(F.concat(F.lit("run-"), text(F.col("c_nationkey"))).alias("root"), F.concat(F.lit("trials/"), text(F.col("o_orderkey")), F.lit("/"), name).alias("path"))
     manifests = read(spark, sf_dir, "nation").select(F.concat(F.lit("run-"), text(F.col("n_nationkey"))).alias("root"), F.when(F.col("n_regionkey") > 1, "manifest.json").otherwise("Manifest.json").alias("path"))
     return layout_violations(trials.unionAll(manifests), ALLOWED, ("manifest.json",))
+
+
+#: SQL: a draft of each part: its category by size, blocks by size, variant by brand, value by name.
+DRAFTS = """
+p AS (
+  SELECT p_partkey AS k, (ARRAY['replace-all', 'unique', 'delete-block', 'insert-block', 'move-block', 'copy-block', 'move-between', 'unicode-fix'])[p_size % 8 + 1] AS c, p_size + 2 AS n,
+    CASE WHEN p_brand < 'Brand#2' THEN 'unicode' ELSE 'plain' END AS v, p_name AS x FROM part),
+q AS (SELECT *, translate(x, ' -ac', chr(160) || chr(8209) || chr(1072) || chr(1089)) AS y, CAST(k * 7919 % n AS INTEGER) + 1 AS a, CAST(k * 104729 % (n - 1) AS INTEGER) + 1 AS b FROM p),
+o AS (
+  SELECT *, CASE WHEN c = 'unicode-fix' THEN y WHEN v = 'unicode' THEN y || '-old' ELSE x || '-old' END AS old, CASE WHEN c = 'unicode-fix' THEN x WHEN v = 'unicode' THEN y || '-new' ELSE x || '-new' END AS new FROM q),
+i AS (
+  SELECT *, list_transform(range(1, n + 1), lambda i: concat('[item ', i, ']', chr(10), 'name = ', CASE WHEN c IN ('unique', 'unicode-fix') AND i <> a THEN new ELSE old END, chr(10), 'size = ', i % 7, chr(10), chr(10))) AS before,
+    concat('[item ', n + 1, ']', chr(10), 'name = ', CASE c WHEN 'insert-block' THEN new ELSE old END, chr(10), 'size = ', (n + 1) % 7, chr(10), chr(10)) AS extra FROM o),
+m AS (SELECT *, list_concat(before[1:a - 1], before[a + 1:]) AS less FROM i),
+e AS (
+  SELECT *, CASE WHEN c IN ('replace-all', 'unique', 'unicode-fix') THEN list_transform(before, lambda t: replace(t, old, new)) WHEN c IN ('delete-block', 'move-between') THEN less WHEN c = 'insert-block' THEN list_concat(before[1:b - 1], [extra], before[b:])
+    WHEN c = 'move-block' THEN list_concat(less[1:b - 1], [before[a]], less[b:]) ELSE list_append(before, before[a]) END AS after FROM m),
+t AS (
+  SELECT k, concat(c, '-', n, '-', v) AS task, array_to_string(before, '') AS was, array_to_string(after, '') AS now, CASE c WHEN 'move-between' THEN extra END AS other, CASE c WHEN 'move-between' THEN extra || before[a] END AS moved FROM e)"""
+
+
+def part_drafts(spark, sf_dir):
+    p, size = read(spark, sf_dir, "part"), F.col("p_size")
+    category = F.element_at(F.array(*map(F.lit, D.CATEGORIES)), size % 8 + 1)
+    variant = F.when(F.col("p_brand") < "Brand#2", "unicode").otherwise("plain")
+    return p.select(F.col("p_partkey").alias("key"), category.alias("category"), (size + 2).alias("scale"), variant.alias("variant"), F.col("p_name").alias("value"))
+
+
+@query(f"""WITH {DRAFTS}, j AS (SELECT k, task, was, now, other, moved, concat('{{"id":"', task, '","input":{{"main.txt":', to_json(was), CASE WHEN other IS NULL THEN '' ELSE concat(',"other.txt":', to_json(other)) END, ',"untouched.txt":"Nothing here is to be edited.\\n"}},"expected":{{"main.txt":', to_json(now),
+CASE WHEN moved IS NULL THEN '' ELSE concat(',"other.txt":', to_json(moved)) END, ',"untouched.txt":"Nothing here is to be edited.\\n"}}}}') AS draft FROM t)
+SELECT k AS "key", task AS "taskId", CAST(length(was) AS BIGINT) AS "inputChars", sha256(now) AS "expectedSha256", sha256(draft) AS "fixtureSha256" FROM j""")
+def task_drafts(spark, sf_dir):
+    """A draft of an edit task for each part, with the hash of its fixture."""
+    d = D.drafts(part_drafts(spark, sf_dir))
+    return d.select("key", "taskId", F.length(F.element_at("input", D.MAIN)).cast("long").alias("inputChars"), F.sha2(F.element_at("expected", D.MAIN), 256).alias("expectedSha256"), "fixtureSha256")
+
+
+@query(f"""WITH {DRAFTS} SELECT 'unchanged' AS "rule", k AS "key" FROM t WHERE was = now AND moved IS NOT DISTINCT FROM other""")
+def draft_violations(spark, sf_dir):
+    """Drafts that their inverse doesn't undo (none), or that change nothing."""
+    return D.draft_violations(part_drafts(spark, sf_dir))
