@@ -163,7 +163,7 @@ class Builder:
         return node
 
 
-_ends: dict[str, re.Pattern] = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>|\Z", re.I) for n in RAW}
+_ends: dict[str, re.Pattern] = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in RAW}
 
 
 def build(html: str) -> Node:
@@ -192,9 +192,11 @@ def build(html: str) -> Node:
             node = builder.start(name, attrs, closed)
             if name in RAW:
                 end = _ends[name].search(html, at)
-                body = html[at : end.start()]
+                close = html.find(">", end.end()) if end else -1
+                # an end tag that never closes is none, and as no later one closes either, the rest is the element's
+                body = html[at : end.start()] if close >= 0 else html[at:]
                 node.children.append(unescape(body) if name in ("textarea", "title") else body)
-                at = end.end()
+                at = close + 1 if close >= 0 else n
         elif kind in "!?" or kind == "/" and after:
             builder.text(html[at:lt])
             comment = html.startswith("<!--", lt)
@@ -427,18 +429,18 @@ def aligned(rows: list) -> list[str]:
     total = [0, *accumulate(w + 3 for w in widths)]
     out = []
     for row in spans:
-        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+        k, left = 0, [cell for cell in row if cell[2]]
+        while left:  # cells that still have lines, so that a tall cell in a wide row costs its own lines only
             parts, at = [], 0
-            for i, j, lines in row:
-                if i > at:  # columns that cells above hold, or that are empty
+            for i, j, lines in left:
+                if i > at:  # columns that cells above hold, that are empty, or whose cells have ended
                     parts.append(" " * min(4 * ALIGNED, total[i] - total[at] - 3))
-                text = lines[k] if k < len(lines) else ""
-                parts.append(text + " " * (min(4 * ALIGNED, total[j] - total[i] - 3) - width(text)))
+                parts.append(lines[k] + " " * (min(4 * ALIGNED, total[j] - total[i] - 3) - width(lines[k])))
                 at = j
-            line = " | ".join(parts).rstrip()
-            if not any(x.strip() for x in parts):
-                continue
-            out.append(line)
+            if any(x.strip() for x in parts):
+                out.append(" | ".join([*parts, ""] if at < row[-1][1] else parts).rstrip())  # one mark for all that have ended
+            k += 1
+            left = [cell for cell in left if len(cell[2]) > k]
     return out
 
 

@@ -227,9 +227,14 @@ JOIN (SELECT reached.r, min(d.doc_id) AS component_id FROM reached JOIN d ON d.r
 
 @query
 def packing_with_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns with the turn before as their prompt, which bears no loss: all three limits of the packing bind."""
+    """Assistant turns with the turn before as their prompt, which bears no loss: all three limits of the packing bind.
+
+    Of rows that share a conversation's turn the one that is first by role and text is the prompt of what follows, so that
+    every answer is packed once. Answers without a turn before, or without an id or turn, have no prompt.
+    """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    first = F.min(F.struct("role", "text"))["text"].alias("prompt")
+    before = turns.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(first)
     pairs = turns.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left")
     pairs = pairs.withColumn("example", F.concat_ws("/", "conv_id", "turn"))
     return pack_examples(pairs, public_tokenizers.path("word_bpe_49k.json"), id_col="example", prompt_col="prompt", capacity=2048, max_segments=48, max_loss=1024)

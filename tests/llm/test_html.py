@@ -101,3 +101,21 @@ def test_edges(spark):
 ])
 def test_formulae_drawings_and_fields_are_visible(html, text):
     assert html_to_text(html) == text
+
+
+def test_wide_rows_tall_cells_and_end_tags_take_linear_time():
+    cells = 60_000
+    began = time.time()
+    tall = html_to_text("<table><tr><td>" + "<br>".join("l" * 9 for _ in range(cells)) + "</td>" + "<td>x</td>" * cells + "</tr></table>")
+    lines = tall.split("\n")
+    assert len(lines) == cells and lines[0].count("x") == cells and set(lines[1:]) == {"l" * 9 + " |"} and time.time() - began < 5
+    last = html_to_text("<table><tr>" + "<td>x</td>" * 5000 + "<td>" + "<br>".join("l" for _ in range(5000)) + "</td></tr></table>")
+    assert len(last) < 400 * 5000 + 5000 * 5
+    began = time.time()
+    assert html_to_text("a<script>" + "</script " * 120_000) == "a" and time.time() - began < 5
+    assert html_to_text("a<script>x</script\n>b<title>t</title/>c") == "abc"
+
+
+def test_order_and_alignment_of_a_row():
+    page = "<table><tr><td>a<br>b<br>c</td><td>long<br>2</td><td>x</td></tr><tr><td>1</td><td></td><td>3</td></tr></table>"
+    assert html_to_text(page).split("\n") == ["a | long | x", "b | 2    |", "c |", "1 |      | 3"]
