@@ -334,10 +334,10 @@ def contingency(spark, sf_dir):
 
 
 @query(f"""WITH {PLACED}, p AS (SELECT concat(n_name, '/', o_orderpriority, '/', CAST(year(o_orderdate) AS VARCHAR)) AS t, c_mktsegment AS m, bool_or(o_orderstatus = 'P') AS ok FROM placed GROUP BY ALL)
-SELECT a.t AS "task", a.m AS "loser", array_to_string(list_sort(list(DISTINCT b.m)), ',') AS "winners" FROM p a JOIN p b ON a.t = b.t AND a.m <> b.m WHERE a.m = 'BUILDING' AND NOT a.ok AND b.ok GROUP BY a.t, a.m""")
+SELECT a.t AS "task", a.m AS "loser", array_to_string(list_sort(list(DISTINCT b.m)), ',') AS "winners" FROM p a JOIN p b ON a.t = b.t AND a.m <> b.m WHERE NOT a.ok AND b.ok GROUP BY a.t, a.m""")
 def peer_losses(spark, sf_dir):
     p = placed(spark, sf_dir).groupBy(F.concat("n_name", F.lit("/"), "o_orderpriority", F.lit("/"), F.year("o_orderdate").cast("string")).alias("t"), F.col("c_mktsegment").alias("m")).agg(F.bool_or(F.col("o_orderstatus") == "P").alias("ok"))
-    return S.peer_losses(p, "t", "m", "ok", F.col("m") == "BUILDING").select("task", "loser", F.array_join("winners", ",").alias("winners"))
+    return S.peer_losses(p, "t", "m", "ok", F.lit(True)).select("task", "loser", F.array_join("winners", ",").alias("winners"))
 
 
 @query("""SELECT conv_id AS "conv_id", count(*) AS "attempts", arg_min(role = 'assistant', turn) AS "firstPassed", arg_max(role = 'assistant', turn) AS "lastPassed", bool_or(role = 'assistant') AS "everPassed", min(turn) FILTER (role = 'assistant') AS "passedAt", CASE WHEN count(text) = count(*) THEN CAST(sum(length(text)) AS BIGINT) END AS "totalSeconds" FROM conversations GROUP BY conv_id""")
