@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.evidence import from_star
+from skyledger.evidence import LINE_ORDER, from_star
 from skyledger.operators.fingerprint import tree_digests
 from skyledger.plans.queries import SERVED, TRIALS, query, r, read
 from skyledger.sources.commits import CommitConflict, CommitLog
 from skyledger.sources.writers import stored, workspace
+from skyledger.streaming import arrivals as AR
 from skyledger.streaming import ingestion as I
 from skyledger.streaming import retries
 from skyledger.streaming import state as STATE
@@ -168,6 +169,28 @@ def retry_decisions(spark, sf_dir):
     return spark.read.schema(retries.CHAIN).parquet(f"{base}/chains")
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_returnflag <> 'R' AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS n FROM lineitem)
+SELECT concat('region-', CAST(n_regionkey AS VARCHAR)) AS "runId", CAST(o_orderkey AS VARCHAR) AS "trialId", count(*) AS "rounds", arg_min(p, n) AS "firstPassed", arg_max(p, n) AS "finalPassed", 'complete' AS "outcome"
+FROM l JOIN orders ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'P' GROUP BY n_regionkey, o_orderkey""")
+def arrived_trials(spark, sf_dir):
+    """Rounds (line items) arrive in files below a folder per region, the later ones of each trial first. Pending
+    orders declare a round more than comes, so they never count."""
+    t = {n: read(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation")}
+    order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    lines = t["lineitem"].select("l_orderkey", (F.col("l_returnflag") != "R").alias("passed"), (F.row_number().over(order) - 1).alias("round"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
+    owners = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t["nation"]), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("run"), F.col("o_orderkey").cast("string").alias("trialId"), "round",
+        (F.col("n") + (F.col("o_orderstatus") == "P").cast("int")).cast("int").alias("rounds"), "passed",
+    )
+    base = workspace(spark)
+    for wave in (0, 1):  # odd rounds come first
+        rows.where(F.col("round") % 2 == 1 - wave).write.mode("append").partitionBy("run").json(f"{base}/store")
+    trials = AR.complete_trials(AR.arriving_rounds(spark, f"{base}/store", files=5))
+    trials.writeStream.format("parquet").option("path", f"{base}/trials").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(AR.TRIAL).parquet(f"{base}/trials")
+
+
 KEPT = "kept AS (SELECT * FROM trials WHERE run_id <> 'AFRICA' AND (run_id <> 'ASIA' OR o_orderkey % 3 > 0))"
 
 
