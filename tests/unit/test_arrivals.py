@@ -21,10 +21,11 @@ def test_trials_count_once_they_are_whole(spark, tmp_path):
                 want[run, f"t{t}"] = (n, passes[0], passes[-1], "complete")
             if t == 3 and n > 1:
                 mine.insert(1, (run, mine[0][1] | {"passed": not passes[0]}))
-            rows += mine + mine[:1] * (t % 4 == 1 and n > 1)
+            rows += mine
     waves = [[], [], [], []]
     for i, row in enumerate(rows):
         waves[3 - i % 4 if row[1]["trialId"] != "t3" else i % 4].append(row)
+    waves = [wave + [row for row in wave if row[1]["trialId"].endswith("1")] for wave in waves]  # some come twice
     for k, wave in enumerate(waves):
         for run in ("run-a", "run b"):
             (tmp_path / "store" / run).mkdir(parents=True, exist_ok=True)
