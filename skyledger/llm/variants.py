@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import LOWER, UPPER, cut, tidy
 
-#: Words of a trie, and bytes of the tries that are broadcast together.
+#: Words of a trie, bytes of the tries that are broadcast together, and words that a task walks with, about.
 SHARD_WORDS = 100_000
 BATCH_BYTES = 48 << 20
+TASK_WORDS = 10_000
 
 
 class Trie:
@@ -149,6 +150,7 @@ def spelling_variants(words: DataFrame, *, ratio: int = 5, shard_words: int = SH
         batches[-1].append(shard)
         held += n
 
+    walkers = words.select("word").repartition(max(1, -(-words.count() // TASK_WORDS)))
     found = None
     for shards in batches:
         rows = tries.where(F.col("shard").isin(shards)).drop("shard").collect()  # batch_bytes, or one trie, at most
@@ -167,7 +169,7 @@ def spelling_variants(words: DataFrame, *, ratio: int = 5, shard_words: int = SH
                 kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["word", "n_near", "best", "best_n"])
 
-        some = cut(words.select("word").mapInArrow(tidy(walk), "word string, n_near long, best string, best_n long"))
+        some = cut(walkers.mapInArrow(tidy(walk), "word string, n_near long, best string, best_n long"))
         shared.destroy()
         found = some if found is None else found.unionAll(some)
     if found is None:
