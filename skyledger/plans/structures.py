@@ -8,12 +8,14 @@ import tarfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from skyledger.evidence import from_star
 from skyledger.operators import drafts as D
 from skyledger.operators import stats as ST
+from skyledger.operators import summary as S
 from skyledger.operators.layout import layout_violations
 from skyledger.plans.queries import SQL, placed, query, r, read
 from skyledger.sources import archives as A
-from skyledger.sources.writers import ordered_digest, stored
+from skyledger.sources.writers import markdown, ordered_digest, stored
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "quantity", "l_returnflag"]
 
@@ -141,3 +143,20 @@ def task_drafts(spark, sf_dir):
 def draft_violations(spark, sf_dir):
     """Drafts that their inverse doesn't undo (none), or that change nothing."""
     return D.draft_violations(part_drafts(spark, sf_dir))
+
+
+@query(f"""WITH u AS ({SQL['tool_usage']}) SELECT "modelFamily", "harnessFamily", "trials", CAST(sum("calls") AS BIGINT) AS "calls", coalesce(string_agg("tool", ',' ORDER BY "calls" DESC, "tool"), '') AS "tools" FROM u GROUP BY ALL""")
+def tools_in_order(spark, sf_dir):
+    """Each group's tools, most used first, ties by name."""
+    rows = S.tool_lists(S.tool_usage(from_star(spark, sf_dir)))
+    return rows.select("modelFamily", "harnessFamily", "trials", "calls", F.array_join(F.transform("tools", lambda t: t["tool"]), ",").alias("tools"))
+
+
+@query("""WITH t AS (SELECT r_name AS n, count(c_custkey) AS c, count(c_custkey) FILTER (c_acctbal < 0) AS d FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name)
+SELECT concat('| region | customers | inDebt |', chr(10), '| --- | --- | --- |', chr(10), string_agg(concat('| ', n, ' | ', c, ' | ', d, ' |', chr(10)), '' ORDER BY n)) AS "document" FROM t""")
+def regions_as_markdown(spark, sf_dir):
+    """A table of five regions."""
+    customers = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = read(spark, sf_dir, "region").join(customers, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy(F.col("r_name").alias("region"))
+    counted = rows.agg(F.count("c_custkey").alias("customers"), F.count_if(F.col("c_acctbal") < 0).alias("inDebt"))
+    return spark.createDataFrame([(markdown(counted.orderBy("region")),)], "document string")
