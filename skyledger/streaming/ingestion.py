@@ -106,7 +106,7 @@ def commit_batch(log: CommitLog, lines: DataFrame, slot: str, accounts: DataFram
         accepted, refused = settle(judged, known_rows(log, head, whole))
         folder = log.write(accepted, "accepted")
         created = log.spark.read.schema(ACCEPTED).parquet(folder).where("status = 201").select(*names)
-        keys = created.withColumn("key", F.explode(index_keys())).select(*names, bucket_of().alias("bucket")).distinct()
+        keys = created.withColumn("key", F.explode(index_keys())).select(*names, bucket_of().alias("bucket")).distinct().repartition("bucket")  # a file per bucket
         return {"accepted": {slot: folder}, "refused": {slot: log.write(refused, "refused")}, "keys": {slot: log.write(keys, "keys", partition_by=("bucket",))}}
 
     try:
@@ -137,7 +137,7 @@ def compact(log: CommitLog, last: str) -> Version:
         if len(slots) < 2:
             return None
         part = Version(tables={"keys": {s: head.tables["keys"][s] for s in slots}})
-        folder = log.write(log.read("keys", KEYS, part).distinct(), "keys", partition_by=("bucket",))
+        folder = log.write(log.read("keys", KEYS, part).distinct().repartition("bucket"), "keys", partition_by=("bucket",))
         return {"keys": {s: None for s in slots[:-1]} | {slots[-1]: folder}}
 
     return log.update(f"compact up to {last}", change)

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -130,7 +131,34 @@ def remove_run(table: DataFrame, run_id: str) -> DataFrame:
 INDEX = "ownerId string, clientRunId string, runId string, contentHash string, submissionId string"
 
 
-def ingest(index: DataFrame, batch: DataFrame) -> DataFrame:
+def serve(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ingest()'s rule for submissions in order, one by one; each row brings what is known of its keys."""
+    kept: dict[tuple, tuple] = {}
+    for batch in rows:
+        out = []
+        for x in batch.to_pylist():
+            keys = {"client": (x["ownerId"], x["clientRunId"]), "content": (x["contentHash"],), "run": (x["runId"],)}
+            keys = {k: (k, *v) for k, v in keys.items() if None not in v}
+            fact = lambda k: x[f"_{k}"] or kept.get(keys.get(k))  # noqa: B023, E731
+            counted = None
+            if mine := fact("client"):
+                same = x["contentHash"] is not None and mine["contentHash"] == x["contentHash"]
+                outcome, counted = ("duplicate", mine["submissionId"]) if same else ("conflict", None)
+            elif same := fact("content"):
+                outcome, counted = "duplicate", same["submissionId"]
+            elif fact("run"):
+                outcome = "conflict"
+            else:
+                outcome = "created"
+                for key in keys.values():
+                    kept[key] = {"submissionId": x["submissionId"], "contentHash": x["contentHash"]}
+            out.append((outcome, counted if counted is not None else x["submissionId"]))
+        columns = [pa.array([o[i] for o in out], pa.string()) for i in (0, 1)]
+        names = INDEX.replace(" string", "").split(", ")
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, "outcome", "countedId"])
+
+
+def ingest(index: DataFrame, batch: DataFrame, *, few: int = 50_000) -> DataFrame:
     """Each submission of a batch with its outcome and the submission id that counts, as if they came one by
     one, by submission id (null: the content hash) and then owner, client and run.
 
@@ -138,26 +166,33 @@ def ingest(index: DataFrame, batch: DataFrame) -> DataFrame:
     same content from anyone: duplicate of that. The same run with other content: conflict. Else: created, and in. A null
     key clashes with nothing. The index has one row per accepted submission and is joined by key, never collected.
 
-    A round settles what no earlier open submission can change: whoever's client is in; then, if no open one of the same
-    client comes before, whoever's content is in; then likewise by run; and the first of all three. A key that many
+    A round settles what no earlier open submission can change: whoever's client is in; then, if none of the same client
+    that may still be created comes before, whoever's content is in; then likewise by run; and the first of all three.
+    One that has a key which is in can't be created, so nothing waits for it. A key that many
     share is settled for all of them once its first one is in, so rounds are as many as the longest chain of submissions
-    that wait for each other by different keys.
+    that wait for each other by different keys. Once at most few submissions are open, one task serves them in order.
     """
     names = ["ownerId", "clientRunId", "runId", "contentHash", "submissionId"]
     by = {"client": ["ownerId", "clientRunId"], "content": ["contentHash"], "run": ["runId"]}
     rows = batch.select(*names[:4], F.coalesce("submissionId", "contentHash").alias("submissionId")).withColumn("_i", F.monotonically_increasing_id())
     pending = stored(rows.withColumn("_at", F.struct("submissionId", "ownerId", "clientRunId", "runId", "_i")))
-    place = pending.schema["_at"].dataType
     known, settled = index.select(*names), []
     while True:
+        if pending.count() <= few:
+            met = pending
+            for key, columns in by.items():
+                wanted = known.join(F.broadcast(pending.select(*columns).distinct()), columns, "left_semi")  # few rows
+                met = met.join(wanted.groupBy(*columns).agg(F.min(F.struct("submissionId", "contentHash")).alias(f"_{key}")), columns, "left")
+            served = met.select(*names, "_at", *[f"_{k}" for k in by]).repartition(1).sortWithinPartitions("_at").drop("_at")
+            return reduce(DataFrame.unionAll, [*settled, served.mapInArrow(serve, f"{INDEX}, outcome string, countedId string")])
         met = pending
         for key, columns in by.items():
-            fact = F.struct("submissionId", "contentHash")
-            here = pending.select(*columns, F.col("_at").alias("at"), F.lit(None).cast("struct<submissionId:string,contentHash:string>").alias("fact"))
-            there = known.select(*columns, F.lit(None).cast(place).alias("at"), fact.alias("fact"))
-            facts = here.unionByName(there).groupBy(*columns).agg(F.min("at").alias(f"_first_{key}"), F.min("fact").alias(f"_{key}"))
-            met = met.join(facts, columns, "left")
-        first = {k: F.col(f"_first_{k}").isNull() | (F.col(f"_first_{k}") == F.col("_at")) for k in by}
+            met = met.join(known.groupBy(*columns).agg(F.min(F.struct("submissionId", "contentHash")).alias(f"_{key}")), columns, "left")
+        met = stored(met)
+        able = met.where(" and ".join(f"_{k} is null" for k in by))  # only these can still come in, so others wait for these alone
+        for key, columns in by.items():
+            met = met.join(able.groupBy(*columns).agg(F.min("_at").alias(f"_first_{key}")), columns, "left")
+        first = {k: F.col(f"_first_{k}").isNull() | (F.col(f"_first_{k}") >= F.col("_at")) for k in by}
         mine, same, run = (F.col(f"_{k}") for k in by)
         outcome = (
             F.when(mine.isNotNull(), F.when(mine["contentHash"] == F.col("contentHash"), "duplicate").otherwise("conflict"))
@@ -171,7 +206,7 @@ def ingest(index: DataFrame, batch: DataFrame) -> DataFrame:
         pending = judged.where("outcome is null").select(*names, "_i", "_at")
         if pending.isEmpty():
             return reduce(DataFrame.unionAll, settled)
-        known = known.unionAll(judged.where("outcome = 'created'").select(*names))
+        known = stored(known.unionAll(judged.where("outcome = 'created'").select(*names)).coalesce(1 << 6))
 
 
 def index_keys() -> Column:

@@ -171,3 +171,19 @@ def test_batches_are_settled_as_if_one_by_one(spark, seed):
     assert [r.outcome for r in ingest(index, rest).collect()] == ["created"] * 4  # null keys clash with nothing
     twice = spark.createDataFrame([("o", "x", "y", "z", "s")] * 3, INDEX)
     assert sorted(r.outcome for r in ingest(index, twice).collect()) == ["created", "duplicate", "duplicate"]
+
+
+def test_the_rest_of_a_long_chain_is_served_by_one_task(spark):
+    """Rounds settle all of it, or some of it, or none: the outcome is the same."""
+    rng = random.Random(9)
+    some = lambda kind, n: None if rng.random() < 0.05 else f"{kind}{rng.randrange(n)}"
+    rows = [(some("o", 3), some("c", 12), some("r", 25), some("h", 30), f"s{i:04}" if rng.random() < 0.9 else None) for i in range(400)]
+    index = spark.createDataFrame([("o1", "c1", "r1", "h1", "before"), ("o2", "c2", "r90", "h90", "before too")], INDEX)
+    got = [sorted(map(str, ingest(index, spark.createDataFrame(rows, INDEX).coalesce(1), few=few).collect())) for few in (0, 150, 50_000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 400
+    chain = [("o", f"c{i // 2}", f"r{i}", f"h{(i + 1) // 2}", f"s{i:04}") for i in range(60)]  # each waits for the one before
+    spark.sparkContext.setJobGroup("served", "")
+    assert ingest(index.limit(0), spark.createDataFrame(chain, INDEX)).count() == 60
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("served")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 20
