@@ -30,29 +30,43 @@ def arriving_rounds(spark: SparkSession, root: str, *, files: int = 100) -> Data
     return rows.where("trialId is not null and round >= 0 and rounds > round")
 
 
-def complete_trials(rounds: DataFrame) -> DataFrame:
+def complete_trials(rounds: DataFrame, *, together: int | None = None) -> DataFrame:
     """TRIAL rows of a stream (or what came of one), each when the last of its rounds comes.
 
     outcome: complete, or conflict if rounds of the trial contradict each other (another result for a round that was
     there, another declared count; the first of each counts). Rounds are numbered from 0; a round that comes again with
     the same result changes nothing while the trial is open. A null passed is not passed. Open trials stay in state.
+
+    together: a run's trials are held in so many parts by hash, a state each, as a call of Python per trial costs more
+    than the trial's work; None is a state per trial.
     """
 
+    names = [c.split(" ")[0] for c in TRIAL.split(", ")]
+
+    def take(held: dict, n: int, declared: int, passed: bool | None) -> None:
+        passed = bool(passed) if passed is not None and passed == passed else False
+        held["rounds"] = held["rounds"] or declared
+        held["odd"] |= held["rounds"] != declared or held["seen"].setdefault(str(n), passed) != passed
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"rounds": None, "seen": {}, "odd": False}
+        trials = json.loads(state.get[0]) if state.exists else {}
         for batch in batches:
-            for n, declared, passed in zip(batch["round"].tolist(), batch["rounds"].tolist(), batch["passed"].tolist(), strict=True):
-                passed = bool(passed) if passed is not None and passed == passed else False
-                held["rounds"] = held["rounds"] or declared
-                held["odd"] |= held["rounds"] != declared or held["seen"].setdefault(str(n), passed) != passed
-        whole = all(str(n) in held["seen"] for n in range(held["rounds"])) if len(held["seen"]) >= held["rounds"] else False
-        if not whole:
-            state.update((json.dumps(held),))
-            return
-        if state.exists:
+            for trial, n, declared, passed in zip(*(batch[c].tolist() for c in ("trialId", "round", "rounds", "passed")), strict=True):
+                take(trials.setdefault(trial, {"rounds": None, "seen": {}, "odd": False}), n, declared, passed)
+        out = []
+        for trial, held in list(trials.items()):
+            if len(held["seen"]) >= held["rounds"] and all(str(n) in held["seen"] for n in range(held["rounds"])):
+                last = held["seen"][str(held["rounds"] - 1)]
+                out.append((key[0], trial, held["rounds"], held["seen"]["0"], last, "conflict" if held["odd"] else "complete"))
+                del trials[trial]
+        if trials:
+            state.update((json.dumps(trials),))
+        elif state.exists:
             state.remove()
-        last = held["seen"][str(held["rounds"] - 1)]
-        row = (*key, held["rounds"], held["seen"]["0"], last, "conflict" if held["odd"] else "complete")
-        yield pd.DataFrame([row], columns=[c.split(" ")[0] for c in TRIAL.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
-    return rounds.groupBy("runId", "trialId").applyInPandasWithState(run, TRIAL, "held string", "append", GroupStateTimeout.NoTimeout)
+    if together is None:
+        return rounds.groupBy("runId", "trialId").applyInPandasWithState(run, TRIAL, "held string", "append", GroupStateTimeout.NoTimeout)
+    keyed = rounds.withColumn("_part", F.pmod(F.xxhash64("trialId"), F.lit(together)))
+    return keyed.groupBy("runId", "_part").applyInPandasWithState(run, TRIAL, "held string", "append", GroupStateTimeout.NoTimeout)

@@ -39,3 +39,19 @@ def test_trials_count_once_they_are_whole(spark, tmp_path):
     assert len(got) == len(dict(got)) == len(want) and {k for k, _ in got} == set(want)
     assert {k: v for k, v in got if k[1] != "t3"} == {k: v for k, v in want.items() if k[1] != "t3"}
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == len({(o, r["trialId"]) for o, r in rows} - set(want)) > 0  # the trials that are not whole
+
+
+def test_parts_of_a_run_hold_many_trials(spark, tmp_path):
+    """Far fewer states than trials, which are whole across two batches; the open ones stay."""
+    store = tmp_path / "store" / "r"
+    store.mkdir(parents=True)
+    for wave in (1, 0):
+        path = store / f"{wave}.jsonl"
+        path.write_text("".join(json.dumps({"trialId": f"t{t}", "round": wave, "rounds": 2 + (t == 7), "passed": wave == t % 2}) + "\n" for t in range(200)))
+        os.utime(path, (1_700_000_000 - wave,) * 2)
+    trials = complete_trials(arriving_rounds(spark, str(tmp_path / "store"), files=1), together=8)
+    query = trials.writeStream.format("memory").queryName("parts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.table("parts").collect())
+    assert got == sorted(("r", f"t{t}", 2, t % 2 == 0, t % 2 == 1, "complete") for t in range(200) if t != 7)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
