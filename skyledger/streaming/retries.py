@@ -38,39 +38,53 @@ class RetryMachine(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _end(self, key: tuple, attempts: int, first: bool | None, passed: bool, outcome: str) -> pd.DataFrame:
+    def _forget(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.seen.clear()
         self.held.clear()
+
+    @staticmethod
+    def _row(key: tuple, attempts: int, first: bool | None, passed: bool, outcome: str) -> pd.DataFrame:
         row = (key[0], attempts, first, passed if attempts else None, passed, attempts if passed else None, max(0, attempts - 1), outcome)
         columns = [c.split(" ")[0] for c in CHAIN.split(", ")]
         return pd.DataFrame([row], columns=columns).astype({"attempts": "int64", "passedAt": "Int64", "firstPassed": "boolean", "lastPassed": "boolean"})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, first, last = self.seen.get() if self.seen.exists() else (1, None, None)
-        batch = pd.concat(list(rows))
-        for attempt, passed in zip(batch.attempt.tolist(), batch.passed.tolist(), strict=True):
-            if attempt >= at and not self.held.containsKey((attempt,)):
-                self.held.updateValue((attempt,), (bool(passed),))
-        while self.held.containsKey((at,)):
-            passed = self.held.getValue((at,))[0]
+        """State is asked once, and written only if the chain stays open: most chains begin and end in one batch."""
+        known = self.seen.exists()
+        at, first, last = self.seen.get() if known else (1, None, None)
+        waiting = {k[0]: v[0] for k, v in self.held.iterator()} if known else {}
+        before = dict(waiting)
+        for batch in rows:
+            for attempt, passed in zip(batch["attempt"].tolist(), batch["passed"].tolist(), strict=True):
+                if attempt >= at:
+                    waiting.setdefault(attempt, bool(passed))
+            last = max(x for x in (last, batch["at"].max()) if not pd.isna(x))
+        while at in waiting:
+            passed = waiting.pop(at)
             first = passed if at == 1 else first
             if passed or at > self.budget:
-                yield self._end(key, at, first, passed, "passed" if passed else "exhausted")
+                if known:
+                    self._forget()
+                yield self._row(key, at, first, passed, "passed" if passed else "exhausted")
                 return
-            self.held.removeKey((at,))
             at += 1
-        last = max(x for x in (last, batch["at"].max()) if not pd.isna(x))
+        for attempt in before.keys() - waiting.keys():
+            self.held.removeKey((attempt,))
+        for attempt in waiting.keys() - before.keys():
+            self.held.updateValue((attempt,), (waiting[attempt],))
         self.seen.update((at, first, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if known:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(int(pd.Timestamp(last).timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.idle)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.seen.exists():
             at, first, _ = self.seen.get()
-            yield self._end(key, at - 1, first, False, "abandoned")
+            self._forget()
+            yield self._row(key, at - 1, first, False, "abandoned")
 
 
 def retry_stream(attempts: DataFrame, *, budget: int, idle: str = "1 hour", late: str = "0 seconds") -> DataFrame:
