@@ -129,3 +129,14 @@ def test_more_tasks_than_a_bucket_holds(spark):
     rows = rows.withColumn("f", F.when(F.col("m") == "a", F.col("t") % 2 == 0).otherwise(F.col("t") % 3 == 0))
     got = {(r.left, r.right): r for r in ST.bitmap_overlap(rows, [], "m", "t", F.col("f")).collect()}["a", "b"]
     assert (got.shared, got.onlyLeft, got.onlyRight, got.bothPass, got.equal) == (11667, 23333, 11667, 23333, False)
+
+
+def test_chunks_of_a_file_are_small(spark, monkeypatch):
+    """A batch of 10,000 chunks must fit a worker, however large the file is."""
+    kept, plain = [], W.stored
+    monkeypatch.setattr(W, "stored", lambda df: kept.append(plain(df)) or kept[-1])
+    rows = spark.range(120_000).select("id", F.lit("some text that repeats").alias("text"))
+    got = W.ordered_digest(rows, ["id"]).collect()[0]
+    text = "".join(f'{{"id":{i},"text":"some text that repeats"}}\n' for i in range(120_000)).encode()
+    assert tuple(got) == (120_000, len(text), hashlib.sha256(text).hexdigest())
+    assert kept[0].agg(F.max(F.octet_length("body"))).collect()[0][0] < 1 << 15
