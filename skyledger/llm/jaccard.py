@@ -11,10 +11,11 @@ subclass. m follows the size bracket of the larger partner (sizes of partners di
 keeps a set's signatures linear in its prefix.
 
 Linking without all pairs. Each signature's list gets a hub, its most typical node; every node is paired with the hub.
-Components of the links found settle most lists. Long lists that are still open get further hubs from their largest
-component, with which the nodes outside it are paired. Of what is open then, every pair across components is looked
-at: pair by pair for short lists, in blocks of nodes within a task for long ones, where the nodes outside the largest
-component meet all others and those inside it don't meet each other. After that no link between different components
+Components of the links found settle most lists. Near texts share many signatures, so of lists of the same nodes one is
+kept. Lists that are still open get further hubs from their largest component, with which the nodes outside it are
+paired. Of what is open then, every pair across components is looked at: pair by pair for short lists, and there only
+in the first list that both nodes are in; in blocks of nodes within a task for long ones, where the nodes outside the
+largest component meet all others and those inside it don't meet each other. After that no link between different components
 can be missing. Lists of very frequent tokens are salted, and their hubs linked in a second level. Pairs are first
 screened by parity sketches, which bound the difference of two sets from below; the rest is verified on whole sets.
 """
@@ -34,7 +35,7 @@ from skyledger.llm.common import cut, row_key, slices, tidy
 
 BUCKETS = 1 << 16
 SHORT_LIST, CHUNK, HOT_LIST = 128, 512, 20_000
-ROUNDS, HUBS = 2, 4  # of further hubs for long lists
+ROUNDS, HUBS = 2, 4  # of further hubs for open lists
 BROADCAST_IDS = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SIZE_BITS = (1 << 24) - 1  # node.d2 holds 32 bits of hash, 24 of size (clipped), 8 free
@@ -226,6 +227,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """lists (sig, node: each once) without those that have the same nodes as another; lists are told apart by 128 bits."""
+    hashes = [F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit("second"), "node")).alias("_x"), F.count("*").alias("_n")]
+    kept = lists.groupBy("sig").agg(*hashes).groupBy("_s", "_x", "_n").agg(F.min("sig").alias("sig"))
+    return lists.join(kept.select("sig"), "sig", "left_semi")
+
+
+def pairs_across(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b of nodes) of similar size that a list (sig, node, label) has in different components. A pair comes
+    once, from the first list that both nodes are in, as near texts meet in dozens of lists."""
+    before = F.collect_list("sig").over(Window.partitionBy("node").orderBy("sig").rowsBetween(Window.unboundedPreceding, -1))
+    rows = cut(lists.select("sig", "node", "label", before.alias("before")))
+    one, two = (rows.select("sig", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "before")]) for x in "ab")
+    a, b = F.col("a_node"), F.col("b_node")
+    met = (one["sig"] == two["sig"]) & (a < b) & (F.col("a_label") != F.col("b_label")) & similar_size(a, b, percent) & ~F.arrays_overlap("a_before", "b_before")
+    return one.join(two, met).select(a.alias("a"), b.alias("b"))
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, with_keys: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -312,8 +331,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = cut(verify(cut(screened(starred, owners, percent)), rows, owners, n, percent))
     comps = components(links)
 
-    # lists of two are settled: their only pair was verified
-    longer = lists.where("size > 2 or salt > 0").select("sig", "node").distinct()
+    # lists of two are settled: their only pair was verified; of lists of the same nodes one is kept
+    longer = distinct_lists(lists.where("size > 2 or salt > 0").select("sig", "node").distinct())
 
     def still_open(among: DataFrame) -> DataFrame:
         """The lists with nodes in several components: sig, node, label, size, main (the list's largest component)."""
@@ -322,14 +341,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         per = parts.groupBy("sig").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "label"))["label"].alias("main")).where("size > 2 and parts > 1")
         return placed.join(per.drop("parts"), "sig")
 
-    left = cut(still_open(longer))
-    many, short, tried = left.where(F.col("size") > SHORT_LIST), left.where(F.col("size") <= SHORT_LIST), starred
+    left, tried = cut(still_open(longer)), starred
     for step in range(ROUNDS):
-        if many.isEmpty():
+        if left.isEmpty():
             break
-        inside = many.where(F.col("label") == F.col("main"))
+        inside = left.where(F.col("label") == F.col("main"))
         hubs = inside.groupBy("sig").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(HUBS * step + i), "node"), "node"))["node"] for i in range(HUBS)]).alias("hubs"))
-        asked = many.where(F.col("label") != F.col("main")).join(hubs, "sig").select("node", F.explode(F.array_distinct("hubs")).alias("hub")).distinct()
+        asked = left.where(F.col("label") != F.col("main")).join(hubs, "sig").select("node", F.explode(F.array_distinct("hubs")).alias("hub")).distinct()
         asked = asked.where(similar_size(F.col("node"), F.col("hub"), percent)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         asked = cut(asked.join(tried, ["a", "b"], "left_anti"))
         more = cut(verify(cut(screened(asked, owners, percent)), rows, owners, n, percent))
@@ -338,12 +356,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             break
         links = cut(links.unionAll(more))
         comps = components(links)
-        many = cut(still_open(many.select("sig", "node")))
-    if tried is not starred:  # new components can close short lists too
-        short = cut(still_open(short.select("sig", "node")))
-    one, two = (short.select("sig", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
-    across = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & similar_size(F.col("a"), F.col("b"), percent)).select("a", "b").distinct()
-    across = screened(across.join(tried, ["a", "b"], "left_anti"), owners, percent)
+        left = cut(still_open(left.select("sig", "node")))
+    many, short = left.where(F.col("size") > SHORT_LIST), left.where(F.col("size") <= SHORT_LIST)
+    across = screened(pairs_across(short, percent).join(tried, ["a", "b"], "left_anti"), owners, percent)
 
     def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Pairs across components that may link, between the two chunks of a cell or inside its only one."""

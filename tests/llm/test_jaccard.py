@@ -139,3 +139,14 @@ def test_five_words_at_eighty_percent(spark):
             assert np.intersect1d(J.signatures(a, counts, 100, 80, ends)[0], J.signatures(b, counts, 100, 80, ends)[0]).size
             assert J.may_link(J.sketch(a), J.sketch(b), len(a) + len(b), 80)
     assert met > 300
+
+
+def test_pairs_of_near_texts_are_made_once(spark):
+    """Nodes 1 to 4 share four lists, two of them the same; each pair across components comes from the first only."""
+    lists = {10: [1, 2, 3], 11: [1, 2, 3, 4], 12: [1, 2, 3, 4], 13: [2, 3, 4], 14: [3, 5]}
+    rows = [(sig, (k, 100 << 8), (1 if k < 3 else k, 0)) for sig, nodes in lists.items() for k in nodes]
+    df = spark.createDataFrame(rows, "sig long, node struct<d1: long, d2: long>, label struct<d1: long, d2: long>")
+    kept = J.distinct_lists(df.drop("label"))
+    assert sorted({r.sig for r in kept.collect()}) == [10, 11, 13, 14] and kept.count() == 12
+    got = sorted((r.a.d1, r.b.d1) for r in J.pairs_across(df, 85).collect())
+    assert got == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (3, 5)]
