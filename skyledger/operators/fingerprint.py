@@ -1,7 +1,7 @@
 """Fingerprints of dependency graphs. A node's digest covers its own payload and the digests of all it depends on.
 
 The graph is digested from its leaves upwards, a join per level. A node that many others share is digested once, and
-every edge is joined once. The children of a node are summed up in up to 4,096 buckets by the beginning of their
+every edge is joined once and then left out: a level reads only the edges and digests that no level below it has used. The children of a node are summed up in up to 4,096 buckets by the beginning of their
 digests, so that no list holds all children of a node that a large part of the graph hangs from.
 """
 
@@ -45,15 +45,16 @@ def tree_digests(nodes: DataFrame, edges: DataFrame, *, id_col: str = "id", payl
     waiting = stored(own.join(counts, "id"))
     waiting = waiting.withColumn("left", F.col("children"))
     fresh = stored(own.join(counts, "id", "left_anti").select("id", F.sha2("own", 256).alias("digest"), F.lit(0).cast("long").alias("height"), F.lit(0).cast("long").alias("children")))
-    done, arrived, height = [fresh], [], 0
+    done, arrived, height = [fresh], None, 0
     while not fresh.isEmpty():
         height += 1
-        met = stored(links.join(fresh.select(F.col("id").alias("child"), "digest"), "child").select("parent", "digest"))
-        arrived.append(met)
+        reached = stored(links.join(fresh.select(F.col("id").alias("child"), "digest"), "child", "left"))
+        links, met = reached.where("digest is null").select("parent", "child"), reached.where("digest is not null").select("parent", "digest")
+        arrived = met if arrived is None else arrived.unionAll(met)
         came = met.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("came"))
         waiting = stored(waiting.join(came, "id", "left").withColumn("left", F.col("left") - F.coalesce("came", F.lit(0))).drop("came"))
         ready = waiting.where(F.col("left") == 0)
-        known = reduce(DataFrame.unionAll, arrived).join(ready.select(F.col("id").alias("parent")), "parent", "left_semi")
+        known = arrived.join(ready.select(F.col("id").alias("parent")), "parent", "left_semi")
         bucket = F.substring("digest", 1, BUCKET).alias("bucket")
         inner = known.groupBy("parent", bucket).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "\n"), 256).alias("sum"))
         lines = inner.groupBy(F.col("parent").alias("id")).agg(F.array_sort(F.collect_list(F.concat("bucket", F.lit(":"), "sum"))).alias("lines"))
@@ -61,6 +62,7 @@ def tree_digests(nodes: DataFrame, edges: DataFrame, *, id_col: str = "id", payl
         fresh = stored(ready.join(lines, "id").select("id", whole.alias("digest"), F.lit(height).cast("long").alias("height"), "children"))
         done.append(fresh)
         waiting = waiting.where(F.col("left") > 0)
+        arrived = stored(arrived.join(waiting.select(F.col("id").alias("parent")), "parent", "left_semi"))
     stuck = [r.id for r in waiting.select("id").limit(5).collect()]
     if stuck:
         raise ValueError(f"on a cycle, or above one: {stuck}")

@@ -105,3 +105,25 @@ def test_streamed_chains_equal_the_table(spark, tmp_path):
     assert gone == {"open": (1, False, None), "gap": (1, False, None)}
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0  # every chain is over
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_levels_leave_out_the_edges_below_them(spark, monkeypatch):
+    """A level writes the edges that no lower level has used; digests are kept only for nodes that still wait."""
+    import skyledger.operators.fingerprint as FP
+
+    written = []
+    keep = FP.stored
+
+    def spy(df):
+        out = keep(df)
+        if "parent" in out.columns:
+            written.append((sorted(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(FP, "stored", spy)
+    nodes = spark.createDataFrame([(x, x) for x in "abcdefgh"], "id string, payload string")
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), *[("b", x) for x in "efgh"]], "parent string, child string")
+    got = {r.id: r.height for r in FP.tree_digests(nodes, edges).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 0, "f": 0, "g": 0, "h": 0}
+    assert [n for columns, n in written if columns == ["child", "digest", "parent"]] == [7, 2, 1, 0]
+    assert [n for columns, n in written if columns == ["digest", "parent"]] == [0, 0, 0, 0]
