@@ -200,3 +200,12 @@ def test_evidence_violations(spark):
     assert rules >= {"V09 trials", "V07 trials", "V07 rounds", "V08 rounds", "V08 first", "V10 count", "O02 contiguous", "V04 difference", "V04 category"}
     assert {r.rule for r in Q.declared_tasks(bad.trials, bad.runs).collect()} == {"V14 task"} and Q.manifest_counts(bad).collect()[0].toolCalls == 1
     assert {r.rule for r in Q.harness_versions(bad.runs, bad.profiles).collect()} == set()
+
+
+def test_lines_are_parsed_once_for_all_fields(spark):
+    import skyledger.operators.quality as QUALITY
+
+    lines = spark.createDataFrame([('{"a":1,"b":"x"}',), ('{"a":-1,"b":2}',), ("{",)], "value string")
+    found = QUALITY.scalar_types(lines, {"a": "count", "b": "string", "c": "number?"})
+    assert sorted((r.key, r.message) for r in found.collect()) == [("{", "a must be count; b must be string"), ('{"a":-1,"b":2}', "a must be count; b must be string")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
