@@ -46,7 +46,17 @@ class Evidence:
         return Evidence(**both, configurations=one.unionByName(two, allowMissingColumns=True) if one is not None and two is not None else one or two)
 
     def only(self, run_ids: list[str]) -> Evidence:
-        return replace(self, **{n: getattr(self, n).where(F.col("runId").isin(run_ids)) for n in ("runs", "profiles", "trials", "rounds", "tool_calls")})
+        """The evidence of some runs, with its measures, as a trial and its rounds are of one run."""
+        chosen = F.col("runId").isin(run_ids)
+        out = replace(self, **{n: getattr(self, n).where(chosen) for n in ("runs", "profiles", "trials", "rounds", "tool_calls")})
+        object.__setattr__(out, "measured", self.measured and self.measured.where(chosen))
+        return out
+
+    def with_rounds(self, rounds: DataFrame) -> Evidence:
+        """The same evidence, its rounds read from a copy of them (a stored one, say)."""
+        out = replace(self, rounds=rounds)
+        object.__setattr__(out, "measured", self.measured)
+        return out
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:

@@ -45,6 +45,11 @@ def profile_identity(profiles: DataFrame) -> DataFrame:
     )
 
 
+def identities(evidence: Evidence) -> DataFrame:
+    """A row per profile of a known run, with the identity of both."""
+    return run_identity(evidence.runs).join(profile_identity(evidence.profiles), "runId")
+
+
 def selected(value: Column, chosen: Sequence | None) -> Column:
     """an empty selection takes everything; a selection that lists None takes nulls too."""
     if not chosen:
@@ -69,24 +74,32 @@ def matches(filters: Mapping[str, Sequence]) -> Column:
     return out
 
 
-def trial_facts(evidence: Evidence, filters: Mapping[str, Sequence] | None = None, stats: DataFrame | None = None) -> DataFrame:
+def trial_facts(evidence: Evidence, filters: Mapping[str, Sequence] | None = None, stats: DataFrame | None = None, *, known: DataFrame | None = None, beside: Sequence[DataFrame] = ()) -> DataFrame:
     """A row per trial of a known run and profile, with identity, passes and metrics.
 
     A metric counts only if all declared rounds were seen and each reported it. Rounds are aggregated before the join;
-    evidence that comes with measured trials needs neither.
+    evidence that comes with measured trials needs neither. known: identities(), where they are at hand; beside: tables by
+    runId and trialId. The further columns of both follow the facts. Trials get what is beside them while they are narrow.
     """
+    known = identities(evidence) if known is None else known
     source = evidence.measured if stats is None else None
     together = source is not None
     carried = [c for c in source.columns if c not in evidence.trials.columns] if together else []
     trials = (source if together else evidence.trials).select("runId", "trialId", "taskId", "profileId", F.coalesce("firstExactPassed", F.lit(False)).alias("first"), F.coalesce("finalExactPassed", F.lit(False)).alias("final"), "rounds", "infrastructureFailure", task_family(F.col("taskId")).alias("taskFamily"), *carried)
-    joined = trials.join(run_identity(evidence.runs), "runId").join(profile_identity(evidence.profiles), ["runId", "profileId"]).where(matches(filters or {}))
+    key = ["runId", "trialId"]
     if not together:
-        joined = joined.join(round_stats(evidence.rounds) if stats is None else stats, ["runId", "trialId"], "left")
+        trials = trials.join(round_stats(evidence.rounds) if stats is None else stats, key, "left")
+    further = {c: f"_beside_{c}" for t in beside for c in t.columns if c not in key}  # facts have names of their own
+    for t in beside:
+        trials = trials.join(t.withColumnsRenamed(further), key, "left")
+    joined = trials.join(known, ["runId", "profileId"]).where(matches(filters or {}))
+    rest = [c for c in known.columns if c not in {*COMPARISON, *PROVENANCE, "declared", "runnerVersion"}]
     whole = F.coalesce(F.col("seenRounds") == F.col("rounds"), F.lit(False))
     values = [F.when(whole & (F.col(f"{m}_seen") == F.col("rounds")), F.col(f"{m}_sum")).alias(m) for m in METRICS]
     return joined.select(
         *COMPARISON, *[c for c in PROVENANCE if c not in COMPARISON], "trialId", "taskId", "taskFamily", "first", "final", "rounds", F.coalesce(F.col("infrastructureFailure") != "", F.lit(False)).alias("infra"),
         F.when(whole, F.col("timeouts")).otherwise(0).alias("timeouts"), (whole & F.coalesce("providerFailed", F.lit(False))).alias("providerFailed"), *values,
+        *[F.col(own).alias(c) for c, own in further.items()], *rest,
     )
 
 

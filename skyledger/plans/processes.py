@@ -201,11 +201,12 @@ round((0.75 * avg(f / tasks.n) + 0.25 * avg(g / tasks.n)) * count(*) / max(n.n),
 def maintained_views(spark, sf_dir):
     """The exact view after runs were added, one was corrected and one removed, group by group."""
     e = from_star(spark, sf_dir)
-    state, counts = stored(STATE.create_state(e)), stored(V.run_counts(e.runs))
+    e = e.with_rounds(stored(e.rounds))  # usage, calls and digests all stand on them
+    state, counts = STATE.create_state(e), stored(V.run_counts(e.runs))
     kept = V.MaintainedViews(CommitLog(spark, workspace(spark)), state.schema, views={"exact": V.exact_view})
     kept.apply("all runs", state, counts)
-    asia = F.col("runId") == "ASIA"
-    kept.apply("correction", state.where(asia & (F.col("trialId").cast("long") % 3 > 0)), counts.where(asia))
+    corrected = kept.state(slots=["ASIA"]).where(F.col("trialId").cast("long") % 3 > 0)
+    kept.apply("correction", corrected, counts.where(F.col("runId") == "ASIA"))
     kept.apply("removal", remove=["AFRICA"])
     return kept.view("exact").select("modelFamily", "harnessFamily", "observations", "firstExactPasses", "finalExactPasses", r("score").alias("score"))
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skyledger.evidence import Evidence
 from skyledger.functions.identity import canonical_json
-from skyledger.operators.cells import METRICS, cells, trial_facts
+from skyledger.operators.cells import METRICS, cells, identities, trial_facts
 from skyledger.operators.summary import USAGE
 from skyledger.sources.writers import stored
 
@@ -44,14 +44,15 @@ def create_state(evidence: Evidence) -> DataFrame:
     """What leaderboards, efficiency, samples and tool counts need of every trial, with the digest of its run.
 
     Per trial: identity, passes, metrics under the coverage rule, sums of its rounds' usage with how many reported each,
-    and its calls by tool. The raw rounds and calls are not needed again.
+    and its calls by tool. The raw rounds and calls are not needed again. Identities with digests, a row per profile, are
+    stored: every merge asks for them, they stand on all the evidence, and Spark then knows how few they are.
     """
+    known = stored(identities(evidence).join(run_digests(evidence), "runId"))
     usage = evidence.rounds.groupBy("runId", "trialId").agg(F.count("*").alias("seenRounds"), *[x for c in USAGE for x in (F.sum(c).alias(f"sum_{c}"), F.count(c).alias(f"seen_{c}"))])
     per_round = evidence.tool_calls.groupBy("runId", "roundId", "tool").agg(F.count("*").alias("n"))
     per_trial = per_round.join(evidence.rounds.select("runId", "roundId", "trialId"), ["runId", "roundId"]).groupBy("runId", "trialId", "tool").agg(F.sum("n").alias("n"))
     tools = per_trial.groupBy("runId", "trialId").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("tools"))
-    key = ["runId", "trialId"]
-    return trial_facts(evidence).join(usage, key, "left").join(tools, key, "left").join(run_digests(evidence), "runId")
+    return trial_facts(evidence, known=known, beside=[usage, tools])
 
 
 def merge_cells(state: DataFrame) -> DataFrame:

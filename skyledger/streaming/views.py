@@ -97,23 +97,23 @@ class MaintainedViews:
         an error, as is a run that is both added and removed. A writer that was overtaken makes its views again from
         the state as it has become.
         """
-        log, spark = self.log, self.log.spark
-        added: dict[str, tuple[str, str]] = {}
+        log = self.log
+        added: dict[str, str] = {}
+        declared: dict[str, str] = {}
         if rows is not None:
-            runs = [r.runId for r in rows.select("runId").distinct().collect()]  # the runs of one submission
-            if set(runs) & set(remove):
-                raise ValueError(f"added and removed: {sorted(set(runs) & set(remove))}")
-            for run in runs:
-                own = rows.where(F.col("runId") == run).withColumn("tag", self._tag())
-                declared = counts.where(F.col("runId") == run).select(*COUNTS) if counts is not None else spark.createDataFrame([], ", ".join([*(f"{c} string" for c in BENCHMARK), "benchmarkTasks long"]))
-                added[run] = (log.write(own, "state", partition_by=("tag",)), log.write(declared.withColumn("benchmarkTasks", F.col("benchmarkTasks").cast("long")), "counts"))
+            # rows may be costly to make, so they are asked for once; folders that no version names are nobody's
+            added = log.write_slots(rows.withColumn("tag", self._tag()), "state", "runId", partition_by=("tag",))
+            if both := sorted(set(added) & set(remove)):
+                raise ValueError(f"added and removed: {both}")
+            if counts is not None:
+                declared = log.write_slots(counts.select("runId", *BENCHMARK, F.col("benchmarkTasks").cast("long").alias("benchmarkTasks")), "counts", "runId")
 
         def change(head: Version) -> Changes:
             have = head.tables.get("state", {})
             if unknown := sorted(set(remove) - set(have)):
                 raise ValueError(f"no runs {unknown}")
-            state = {run: None for run in remove} | {run: folder for run, (folder, _) in added.items()}
-            counted = {run: None for run in remove} | {run: folder for run, (_, folder) in added.items()}
+            state = {run: None for run in remove} | added
+            counted = {run: None for run in remove} | {run: declared.get(run) for run in added}
             after = Version(tables={"state": {k: v for k, v in (have | state).items() if v}, "counts": {k: v for k, v in (head.tables.get("counts", {}) | counted).items() if v}})
             same_counts = self._counts(head).exceptAll(self._counts(after)).isEmpty() and self._counts(after).exceptAll(self._counts(head)).isEmpty()
             gone = Version(tables={"state": {r: have[r] for r in state if r in have}})

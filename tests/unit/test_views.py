@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyledger.evidence import from_star
+from skyledger.operators.cells import round_stats, trial_facts
 from skyledger.sources.commits import CommitConflict, CommitLog
 from skyledger.sources.writers import stored
 from skyledger.streaming import state as STATE
@@ -79,6 +80,34 @@ def test_an_overtaken_change_is_made_again(spark, tmp_path):
         log.commit(log.at(0), "stale", {})
 
 
+def test_a_change_makes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    ddl = "runId string, trialId string, modelFamily string, harnessFamily string"
+    rows = spark.createDataFrame([(f"r/{i % 5} = ü", f"t{i}", "ab"[i % 2], "x") for i in range(20)], ddl).mapInArrow(counted, ddl)
+    views = {"n": lambda state, counts: state.groupBy("modelFamily").agg(F.count("*").alias("n"))}
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    kept = V.MaintainedViews(log, rows.schema, views=views)
+    version = kept.apply("runs of odd names", rows)
+    assert made.value == 20 and set(version.tables["state"]) == {f"r/{i} = ü" for i in range(5)}
+    assert kept.state(slots=["r/3 = ü"]).count() == 4 and sorted(tuple(r) for r in kept.view("n").collect()) == [("a", 10), ("b", 10)]
+    assert log.unnamed("state") == []  # nothing is left beside the folders that the version names
+
+
+def test_measures_stay_with_chosen_runs(spark):
+    e = from_star(spark, SF)
+    some = e.only(["ASIA", "EUROPE"])
+    assert some.measured is not None
+    same(trial_facts(some), trial_facts(some, stats=round_stats(some.rounds)))
+    stored_rounds = e.with_rounds(stored(e.rounds))
+    same(STATE.create_state(stored_rounds).drop("tools"), STATE.create_state(e).drop("tools"))
+
+
 def test_documents(spark):
     e = from_star(spark, SF)
     views = json.loads(V.views_document({"totals": V.totals_view(STATE.create_state(e), None)}, {"totals": ["modelFamily", "harnessFamily"]}).first()[0])
