@@ -5,7 +5,8 @@ capacity in each dimension. A task streams its examples through a bounded pool a
 pooled piece whose demand has the largest dot product with the bin's remaining capacity (Panigrahy et al., "Heuristics
 for vector bin packing"). When nothing fits whole, one piece is cut to fill the bin exactly, so bins are padded only
 where the segment or loss limit closes them. What is left at a task's end goes to sequences whose lengths are powers
-of two. A task keeps the pool, one bin and a bounded token cache; nothing is shuffled.
+of two. A task keeps the pool, one bin, a tokenizer and a bounded token cache, which all go at its end, as Python
+workers live on through other stages; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -103,11 +104,6 @@ class ChunkIds(dict):
             ids = b"".join(found)
         return ids
 
-    def forget(self) -> None:
-        """Drop what was cached; Python workers live on through other stages."""
-        for x in (self, self.old, self.known):
-            x.clear()
-
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split()))
 
@@ -119,13 +115,8 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_encoders: dict[str, ChunkIds] = {}
-
-
 def encoder(path: str) -> ChunkIds:
-    if path not in _encoders:
-        _encoders[path] = ChunkIds(path)
-    return _encoders[path]
+    return ChunkIds(path)
 
 
 class Packer:
@@ -266,7 +257,6 @@ def pack_examples(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
                     out.clear()
         packer.finish()
         yield from rows_of(out, last)
-        table.forget()
 
     def rows_of(out: list, key_type: pa.DataType | None) -> Iterator[pa.RecordBatch]:
         if out:

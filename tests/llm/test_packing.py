@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from skyledger.llm.packing import Packer, encoder, pack_examples
@@ -95,3 +96,18 @@ def test_short_documents_leave_little_padding():
         lengths = [sum(b - a for _, a, b in x) for x in bins]
         assert sum(lengths) == sizes.sum() and max(lengths) <= 2048
         assert sum(0 if x & (x - 1) == 0 else 2048 - x for x in lengths) <= 0.001 * sizes.sum()
+
+
+def test_no_tokenizer_outlives_its_task(spark):
+    import gc
+
+    def left(batches):
+        from skyledger.llm.packing import ChunkIds
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, ChunkIds) for x in gc.get_objects())])], ["n"])
+
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(8)], "doc_id long, text string").repartition(4)
+    assert pack_examples(docs, public_tokenizers.path("word_bpe_49k.json")).count() >= 8
+    found = [r.n for r in spark.range(0, 400, 1, 8).mapInArrow(left, "n long").collect()]  # the same workers
+    assert found and set(found) == {0}
