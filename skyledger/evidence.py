@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cache
 
@@ -28,8 +29,8 @@ def round_sums() -> list[Column]:
 
 @dataclass(frozen=True)
 class Evidence:
-    """measured: the trials with round_sums() beside them, where a source makes both in one pass. It holds for these
-    trials and rounds only, so no constructor takes it and replace() drops it."""
+    """measured: the trials with round_sums() beside them, where a source makes both in one pass; what else trials have is
+    null. It holds for these trials and rounds only, so no constructor takes it and replace() drops it."""
 
     runs: DataFrame
     profiles: DataFrame
@@ -58,6 +59,17 @@ class Evidence:
         object.__setattr__(out, "measured", self.measured)
         return out
 
+    def copied(self, copy: Callable[[DataFrame], DataFrame]) -> Evidence:
+        """The same evidence, its tables read from copies of them (stored ones, say); trials and measures share theirs."""
+        measured = None
+        if self.measured is not None:
+            lacking = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.trials.schema if f.name not in self.measured.columns]
+            measured = copy(self.measured.select("*", *lacking))
+        trials = copy(self.trials) if measured is None else measured.select(*self.trials.columns)
+        out = replace(self, trials=trials, **{n: copy(getattr(self, n)) for n in ("runs", "profiles", "rounds", "tool_calls")})
+        object.__setattr__(out, "measured", measured)
+        return out
+
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """df with exactly the columns of ddl: missing ones null, others dropped, types cast."""
@@ -84,7 +96,7 @@ def from_star(spark: SparkSession, sf_dir: str) -> Evidence:
     regions = read("region")
     nations = read("nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     customers = read("customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    tasks = orders.select(task_id().alias("t")).agg(F.array_sort(F.collect_set("t")).alias("taskIds"))
+    tasks = orders.select(task_id().alias("t")).distinct().agg(F.array_sort(F.collect_list("t")).alias("taskIds"))
     runs = regions.crossJoin(F.broadcast(tasks)).select(
         F.col("r_name").alias("runId"), F.concat(F.lit("submission-"), F.col("r_regionkey").cast("string")).alias("submissionId"), F.lit("orders-contract").alias("contract"), F.lit("tasks").alias("taskSetSha256"), F.lit("verifier").alias("verifierSha256"),
         F.struct(F.lit(2).alias("oracleRecoveries"), F.lit(0).alias("retryFailures"), (F.col("r_regionkey") + 1).cast("int").alias("concurrency"), F.lit(120000).cast("long").alias("timeoutMs")).alias("policy"),

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BinaryType, BooleanType, ByteType, DateType, IntegerType, NumericType, ShortType, StringType, TimestampNTZType, TimestampType
 
 from skyledger.evidence import Evidence
 from skyledger.functions.identity import canonical_json
@@ -23,21 +24,31 @@ from skyledger.operators.summary import USAGE
 from skyledger.sources.writers import stored
 
 TABLES = ("profiles", "trials", "rounds", "tool_calls")
+#: Types that are hashed as they are; others as JSON, as hashes pass over nulls inside them.
+FLAT = (BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType)
 
 
 def run_digests(evidence: Evidence) -> DataFrame:
     """A digest per run of all its evidence: profiles, trials, rounds and calls, as multisets of rows.
 
-    It is made of a count, a sum and an exclusive or of row hashes, so tasks merge it and no run is ever one list.
+    It is made of a count, sums and an exclusive or of row hashes, so tasks merge it and no run is ever one list. Columns
+    are hashed by name and value, with a mask of those that are null; whole numbers of any width are the same. A hash is
+    summed in parts, which no number of rows takes beyond a long and which cost less than decimals.
     """
     def hashed(name: str) -> DataFrame:
         df = getattr(evidence, name)
-        row = canonical_json(F.struct(*sorted(df.columns)))
-        return df.select("runId", F.xxhash64(F.lit(name), row).alias("a"), F.xxhash64(F.lit("second"), F.lit(name), row).alias("b"))
+        fields = sorted(df.schema, key=lambda f: f.name)
+        flat = {f.name: F.col(f.name).cast("long") if isinstance(f.dataType, (ByteType, ShortType, IntegerType)) else F.col(f.name) for f in fields if isinstance(f.dataType, FLAT)}
+        nested = [f.name for f in fields if f.name not in flat]
+        values = list(flat.values())
+        nulls = [reduce(Column.bitwiseOR, [F.shiftleft(c.isNull().cast("long"), i) for i, c in enumerate(values[at : at + 64])]) for at in range(0, len(values), 64)]
+        row = [F.lit("\t".join([name, *flat])), *nulls, *values, *([canonical_json(F.struct(*nested))] if nested else [])]
+        return df.select("runId", F.xxhash64(*row).alias("a"), F.xxhash64(F.lit("second"), *row).alias("b"))
 
     rows = reduce(DataFrame.unionAll, [hashed(n) for n in TABLES])
-    per = rows.groupBy("runId").agg(F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(20,0)")).alias("a"), F.bit_xor("b").alias("b"))
-    return per.select("runId", F.sha2(F.concat_ws("/", "n", F.col("a").cast("string"), "b"), 256).alias("digest"))
+    parts = [F.sum(F.shiftrightunsigned("a", at).bitwiseAND(F.lit((1 << 22) - 1))).alias(f"a{at}") for at in (0, 22, 44)]
+    per = rows.groupBy("runId").agg(F.count("*").alias("n"), *parts, F.bit_xor("b").alias("b"))
+    return per.select("runId", F.sha2(F.concat_ws("/", "n", "a0", "a22", "a44", "b"), 256).alias("digest"))
 
 
 def create_state(evidence: Evidence) -> DataFrame:
@@ -80,10 +91,11 @@ def classify_runs(known: DataFrame, new: DataFrame) -> DataFrame:
 
 def append_state(state: DataFrame, new: DataFrame) -> DataFrame:
     """State with the runs of new that it lacks; the same evidence again changes nothing, other evidence fails."""
-    conflicts = classify_runs(state, new).where("outcome = 'conflict'").limit(5).collect()
+    outcomes = stored(classify_runs(state, new))  # a row per run; without it, each later use would make both states again
+    conflicts = outcomes.where("outcome = 'conflict'").limit(5).collect()
     if conflicts:
         raise ValueError(f"conflicting evidence for runs {[r.runId for r in conflicts]}")
-    return state.unionByName(new.join(state.select("runId").distinct(), "runId", "left_anti").select(state.columns))
+    return state.unionByName(new.join(outcomes.where("outcome <> 'new'"), "runId", "left_anti").select(state.columns))
 
 
 def state_binding(state: DataFrame, runs: DataFrame, position: str | None = None) -> DataFrame:

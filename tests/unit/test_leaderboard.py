@@ -137,6 +137,40 @@ def test_state_equals_rebuild_and_conflicts(spark):
         STATE.remove_run(both, "none")
 
 
+def test_an_appended_state_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    ddl = "runId string, trialId string, digest string"
+    rows = [(run, f"{run}{i}", run) for run in "abc" for i in range(10)] + [(None, "none", "d")]
+    state, new = (spark.createDataFrame([r for r in rows if r[0] in runs], ddl).mapInArrow(counted, ddl) for runs in (("a", "b"), ("b", "c", None)))
+    both = STATE.append_state(state, new)
+    made.value = 0
+    assert sorted(both.collect(), key=str) == sorted(rows, key=str) and made.value == 41
+
+
+def test_digests_tell_values_apart(spark):
+    def digest(trials=(), calls=()):
+        e = evidence(spark, profiles=[], trials=[{"runId": "a", **r} for r in trials], rounds=[], calls=[{"runId": "a", **r} for r in calls])
+        return STATE.run_digests(e).collect()
+
+    differ = [
+        ([{"taskId": "x"}], [{"profileId": "x"}], "trials"), ([{"taskId": None}], [{"taskId": ""}], "trials"), ([{"rounds": 0}], [{"rounds": None}], "trials"), ([{"rounds": 1}], [{"rounds": 1}] * 2, "trials"), ([{"rounds": 1}] * 2, [{"rounds": 2}] * 2, "trials"),
+        ([{"commandFeatures": []}], [{"commandFeatures": None}], "calls"), ([{"commandFeatures": [None]}], [{"commandFeatures": []}], "calls"), ([{"commandFeatures": ["x", None]}], [{"commandFeatures": [None, "x"]}], "calls"),
+    ]
+    for one, two, name in differ:
+        assert digest(**{name: one}) != digest(**{name: two}), (one, two)
+    same = [{"runId": "a", "trialId": str(i), "rounds": i} for i in range(5)]
+    assert digest(same) == digest(same[::-1])
+    e = evidence(spark, profiles=[], trials=same, rounds=[])
+    wide = replace(e, trials=e.trials.withColumn("rounds", F.col("rounds").cast("long")))
+    assert STATE.run_digests(wide).collect() == STATE.run_digests(e).collect()
+
+
 def test_complete_runs_and_exclusion(spark):
     e = evidence(spark, profiles=[profile(), profile(profileId="lazy", configurationHash="c2")])
     assert FA.complete_evidence(e).trials.count() == 0  # lazy has no trials

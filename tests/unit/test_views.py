@@ -1,12 +1,14 @@
 """Maintained views against a rebuild, and which folders a change touches."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from skyledger.evidence import from_star
 from skyledger.operators.cells import round_stats, trial_facts
+from skyledger.plans.queries import QUERIES
 from skyledger.sources.commits import CommitConflict, CommitLog
 from skyledger.sources.writers import stored
 from skyledger.streaming import state as STATE
@@ -108,6 +110,21 @@ def test_measures_stay_with_chosen_runs(spark):
     same(STATE.create_state(stored_rounds).drop("tools"), STATE.create_state(e).drop("tools"))
 
 
+def test_copied_evidence_is_the_same(spark):
+    e = from_star(spark, SF)
+    made = []
+    copies = e.copied(lambda df: made.append(df) or stored(df))
+    assert len(made) == 5  # trials and their measures are one table
+    same(STATE.run_digests(copies), STATE.run_digests(e))
+    same(trial_facts(copies.only(["ASIA"])), trial_facts(e.only(["ASIA"])))
+    assert copies.trials.schema.simpleString() == e.trials.schema.simpleString() and replace(e).copied(stored).measured is None
+
+
+def test_three_states_derive_their_evidence_once(spark):
+    plan = QUERIES["incremental_equals_rebuild"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_custkey" not in plan and "seenRounds" in plan
+
+
 def test_documents(spark):
     e = from_star(spark, SF)
     views = json.loads(V.views_document({"totals": V.totals_view(STATE.create_state(e), None)}, {"totals": ["modelFamily", "harnessFamily"]}).first()[0])
