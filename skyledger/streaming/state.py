@@ -181,7 +181,8 @@ def ingest(index: DataFrame, batch: DataFrame, *, few: int = 50_000) -> DataFram
 
     A round settles what no earlier open submission can change: whoever's client is in; then, if none of the same client
     that may still be created comes before, whoever's content is in; then likewise by run; and the first of all three.
-    One that has a key which is in can't be created, so nothing waits for it. A key that many
+    A submission meets only what comes before it in order (the index comes before all): a later one may be in already,
+    as one that has an earlier key which is in can't be created and nothing waits for it. A key that many
     share is settled for all of them once its first one is in, so rounds are as many as the longest chain of submissions
     that wait for each other by different keys. Once at most few submissions are open, one task serves them in order.
     """
@@ -189,18 +190,25 @@ def ingest(index: DataFrame, batch: DataFrame, *, few: int = 50_000) -> DataFram
     by = {"client": ["ownerId", "clientRunId"], "content": ["contentHash"], "run": ["runId"]}
     rows = batch.select(*names[:4], F.coalesce("submissionId", "contentHash").alias("submissionId")).withColumn("_i", F.monotonically_increasing_id())
     pending = stored(rows.withColumn("_at", F.struct("submissionId", "ownerId", "clientRunId", "runId", "_i")))
-    known, settled = index.select(*names), []
+    known, settled = index.select(*names, F.lit(None).cast(pending.schema["_at"].dataType).alias("_at")), []
+
+    def meeting(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+        """rows with what is in by a key and comes before them. A key is in by rows of the index or by one of the batch."""
+        found = facts.groupBy(*by[key]).agg(F.min(F.struct("submissionId", "contentHash")).alias("_fact"), F.min("_at").alias("_since"))
+        before = F.col("_since").isNull() | (F.col("_since") < F.col("_at"))
+        return rows.join(found, by[key], "left").withColumn(f"_{key}", F.when(before, F.col("_fact"))).drop("_fact", "_since")
+
     while True:
         if pending.count() <= few:
             met = pending
             for key, columns in by.items():
                 wanted = known.join(F.broadcast(pending.select(*columns).distinct()), columns, "left_semi")  # few rows
-                met = met.join(wanted.groupBy(*columns).agg(F.min(F.struct("submissionId", "contentHash")).alias(f"_{key}")), columns, "left")
+                met = meeting(met, wanted, key)
             served = met.select(*names, "_at", *[f"_{k}" for k in by]).repartition(1).sortWithinPartitions("_at").drop("_at")
             return reduce(DataFrame.unionAll, [*settled, served.mapInArrow(serve, f"{INDEX}, outcome string, countedId string")])
         met = pending
-        for key, columns in by.items():
-            met = met.join(known.groupBy(*columns).agg(F.min(F.struct("submissionId", "contentHash")).alias(f"_{key}")), columns, "left")
+        for key in by:
+            met = meeting(met, known, key)
         met = stored(met)
         able = met.where(" and ".join(f"_{k} is null" for k in by))  # only these can still come in, so others wait for these alone
         for key, columns in by.items():
@@ -219,7 +227,7 @@ def ingest(index: DataFrame, batch: DataFrame, *, few: int = 50_000) -> DataFram
         pending = judged.where("outcome is null").select(*names, "_i", "_at")
         if pending.isEmpty():
             return reduce(DataFrame.unionAll, settled)
-        known = stored(known.unionAll(judged.where("outcome = 'created'").select(*names)).coalesce(1 << 6))
+        known = stored(known.unionAll(judged.where("outcome = 'created'").select(*names, "_at")).coalesce(1 << 6))
 
 
 def index_keys() -> Column:

@@ -173,6 +173,15 @@ def test_batches_are_settled_as_if_one_by_one(spark, seed):
     assert sorted(r.outcome for r in ingest(index, twice).collect()) == ["created", "duplicate", "duplicate"]
 
 
+@pytest.mark.parametrize("few", [0, 2])
+def test_a_submission_meets_nothing_that_comes_after_it(spark, few):
+    """s4 can't be created, as its run is in by s0, but waits for s3, whose client it has; meanwhile s5, of the same content, is created."""
+    keys = [("u", "r0", "h0"), ("t", "r0", "h1"), ("v", "r5", "h1"), ("b", "r5", "h3"), ("b", "r0", "h4"), ("y", "r6", "h4")]
+    rows = [("o", *k, f"s{i}") for i, k in enumerate(keys)]
+    got = {r.submissionId: (r.outcome, r.countedId) for r in ingest(spark.createDataFrame([], INDEX), spark.createDataFrame(rows, INDEX), few=few).collect()}
+    assert got == one_by_one(rows) and got["s4"] == ("conflict", "s4") and got["s5"] == ("created", "s5")
+
+
 def test_the_rest_of_a_long_chain_is_served_by_one_task(spark):
     """Rounds settle all of it, or some of it, or none: the outcome is the same."""
     rng = random.Random(9)
