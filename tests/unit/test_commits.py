@@ -182,6 +182,18 @@ def test_a_submission_meets_nothing_that_comes_after_it(spark, few):
     assert got == one_by_one(rows) and got["s4"] == ("conflict", "s4") and got["s5"] == ("created", "s5")
 
 
+def test_a_clash_with_an_earlier_run_is_refused_in_rounds_too(spark, monkeypatch):
+    """The same submissions as lines: s4 is in the refused table, and not accepted as a duplicate of s5."""
+    monkeypatch.setattr(I, "ingest", lambda index, batch: ingest(index, batch, few=0))
+    keys = [("u", "r0", "h0"), ("t", "r0", "h1"), ("v", "r5", "h1"), ("b", "r5", "h3"), ("b", "r0", "h4"), ("y", "r6", "h4")]
+    names = ("clientRunId", "runId", "contentHash")
+    lines = [json.dumps({"ownerId": "o", "submissionId": f"s{i}"} | dict(zip(names, k, strict=True))) for i, k in enumerate(keys)]
+    judged = I.judge_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    accepted, refused = I.settle(judged, spark.createDataFrame([], INDEX))
+    assert {r.line: (r.status, r.message) for r in refused.collect()} == {lines[i]: (400, "already used for different content") for i in (1, 3, 4)}
+    assert sorted((r.submissionId, r.code) for r in accepted.collect()) == [(s, "created") for s in ("s0", "s2", "s5")]
+
+
 def test_the_rest_of_a_long_chain_is_served_by_one_task(spark):
     """Rounds settle all of it, or some of it, or none: the outcome is the same."""
     rng = random.Random(9)
