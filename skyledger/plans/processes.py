@@ -149,17 +149,18 @@ def retry_decisions(spark, sf_dir):
     day = F.dayofmonth("ts")
     order = Window.partitionBy("user_id", day).orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "purchase").alias("passed"))
-    tries = e.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), day.cast("string")).alias("chain"), F.row_number().over(order).alias("attempt"), "passed", F.col("ts").cast("timestamp").alias("at"))
     # a source would not run what comes after a chain's end
-    ended = F.coalesce(F.max("passed").over(Window.partitionBy("chain").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    asked = tries.withColumn("_over", ended).where(~F.col("_over") & (F.col("attempt") <= 3)).drop("_over")
+    ended = F.coalesce(F.max("passed").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    tries = e.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), day.cast("string")).alias("chain"), F.row_number().over(order).alias("attempt"), "passed", F.col("ts").cast("timestamp").alias("at"), ended.alias("_over"))
+    asked = tries.where(~F.col("_over") & (F.col("attempt") <= 3)).drop("_over")
     base = workspace(spark)
-    asked.repartitionByRange(4, "at").write.parquet(f"{base}/attempts")
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))  # in two batches
+    asked.repartitionByRange(files, "at").write.parquet(f"{base}/attempts")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     retries.use_rocks(spark)
     try:
-        stream = spark.readStream.schema("chain string, attempt int, passed boolean, at timestamp").option("maxFilesPerTrigger", 2).parquet(f"{base}/attempts")
-        chains = retries.retry_stream(stream, budget=2, idle="3650 days", late="3650 days")
+        stream = spark.readStream.schema("chain string, attempt int, passed boolean, at timestamp").option("maxFilesPerTrigger", (files + 1) // 2).parquet(f"{base}/attempts")
+        chains = retries.retry_stream(stream, budget=2, idle="3650 days", late="3650 days", together=4096)
         chains.writeStream.format("parquet").option("path", f"{base}/chains").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         if before is None:

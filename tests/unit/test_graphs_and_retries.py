@@ -107,6 +107,30 @@ def test_streamed_chains_equal_the_table(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_parts_hold_many_chains(spark, tmp_path):
+    """Far fewer states than chains, which end across batches; those of a part that fell silent go, the others stay."""
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    silent = {f"c{c}" for c in range(200) if c % 10 == 7}
+    waves = [[(f"c{c}", 1, c % 2 == 0, "00") for c in range(200)], [(f"c{c}", 2, c % 3 == 0, "01") for c in range(1, 200, 2) if f"c{c}" not in silent]]
+    waves[1] += [(f"c{c}", 3, True, "01") for c in range(1, 200, 2) if c % 3 and f"c{c}" not in silent] + [(f"open{c}", 1, False, "09") for c in range(30)]
+    for n, wave in enumerate([*waves, [("last", 1, True, "12")]]):
+        (incoming / f"{n}.json").write_text("".join(json.dumps({"chain": c, "attempt": a, "passed": p, "at": f"2024-01-01T{hour}:00:00Z"}) + "\n" for c, a, p, hour in wave[::-1]))
+        os.utime(incoming / f"{n}.json", (1_700_000_000 + n,) * 2)
+    retries.use_rocks(spark)
+    stream = spark.readStream.schema("chain string, attempt int, passed boolean, at timestamp").option("maxFilesPerTrigger", 1).json(str(incoming))
+    chains = retries.retry_stream(stream, budget=2, idle="8 hours", together=3)
+    query = chains.writeStream.format("memory").queryName("parts_of_chains").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.table("parts_of_chains").collect()
+    table = spark.createDataFrame([r[:3] for w in waves for r in w] + [("last", 1, True)], "chain string, attempt int, passed boolean")
+    want = retries.bounded_chains(table, budget=2).collect()
+    assert sorted(r for r in got if r.outcome != "abandoned") == sorted(want) and len(want) == 181
+    assert sorted((r.chain, r.attempts) for r in got if r.outcome == "abandoned") == sorted((c, 1) for c in silent)
+    assert 1 <= query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3  # 30 open chains
+
+
 def test_levels_leave_out_the_edges_below_them(spark, monkeypatch):
     """A level writes the edges that no lower level has used; digests are kept only for nodes that still wait."""
     import skyledger.operators.fingerprint as FP
